@@ -290,8 +290,8 @@ def q_end_rates(spark, sf):
     first = f.where("ends").groupBy("conv_id").agg(F.min("pos").alias("turn"))
     new = first.groupBy("turn").agg(F.count(F.lit(1)).alias("_new"))
     turns = f.select(F.col("pos").alias("turn")).distinct()
-    n = fx.dialogues.agg(F.count(F.lit(1)).alias("_n"))
-    j = turns.join(new, "turn", "left").crossJoin(n).withColumn("_new", F.coalesce("_new", F.lit(0)))
+    n = fx.dialogues.agg(F.count(F.lit(1))).scalar()        # scalar subquery, no join
+    j = turns.join(new, "turn", "left").withColumns({"_new": F.coalesce("_new", F.lit(0)), "_n": n})
     r = running_totals(j, [], "turn", {"_cum": F.col("_new")})
     return r.select(F.col("turn").cast("bigint").alias("turn"),
                     F.round(F.lit(100.0) * F.col("_cum") / F.col("_n"), 6).alias("pct_ended"),
@@ -460,3 +460,71 @@ def q_judge_agreement(spark, sf):
 def q_stratified_sample(spark, sf):
     docs = Fixtures(spark, sf).table("documents").select("lang", "doc_id")
     return judge.stratified_sample(docs, "lang", "doc_id", 5)
+
+
+# --- streaming and the driver loop -------------------------------------------------------
+
+@query
+def q_stream_ingest(spark, sf):
+    """ST1: completion files arrive in reversed order with one file repeated."""
+    from turnforge.session import scratch_path
+    from turnforge.streaming.ingest import ingest
+    lines = Fixtures(spark, sf).completion_lines.where(F.col("e") > 1).select(
+        "value", (F.col("conv_id") % 4).alias("_f"))
+    base = scratch_path(spark, "stream-ingest")
+    for k in (3, 2, 1, 0, 1):
+        lines.where(F.col("_f") == k).select("value").write.mode("append").text(f"{base}/in")
+    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=2)
+    return spark.read.parquet(f"{base}/out").select("custom_id", "content")
+
+
+@query
+def q_stream_rate_audit(spark, sf):
+    """ST2: the per-minute load of ``rate_audit`` computed by a watermarked stream."""
+    from turnforge.session import scratch_path
+    from turnforge.streaming import audit
+    # Watermarks need TIMESTAMP; NTZ -> TIMESTAMP -> formatted minute round-trips the wall clock.
+    ev = Fixtures(spark, sf).table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    base = scratch_path(spark, "stream-audit")
+    # Staged files carry no arrival order, so the backlog is one micro-batch: events behind the
+    # watermark would otherwise be dropped as late (that behaviour is covered by a unit test).
+    ev.write.parquet(f"{base}/in")
+    audit.run(spark, f"{base}/in", ev.schema, f"{base}/out", f"{base}/chk", "ts", "10 minutes")
+    return audit.latest(spark, f"{base}/out", AUDIT_LIMIT)
+
+
+def _replay_loop(spark, sf, flow: str):
+    from turnforge.plans.loop import run_loop
+    from turnforge.session import scratch_path
+    fx = Fixtures(spark, sf)
+    a = fx.attempts.where(F.col("flow") == flow)
+    answers = a.select("custom_id", "attempt", "content", "verdict")
+    first = a.where(F.col("attempt") == 0).select("custom_id", F.col("conv_id").alias("row_idx"),
+                                                   F.col("pos").alias("turn"))
+    if flow == "turn":
+        ctx = fx.snapshots("user", 1).select(
+            "row_idx", "turn",
+            render.user_turn_prompt(F.col("scene"), F.col("dialogue"), None).alias("base"),
+            render.user_turn_prompt(F.col("scene"), F.col("dialogue"), "").alias("prompt"))
+        base = first.join(ctx, ["row_idx", "turn"]).select("custom_id", "base", "prompt")
+    else:
+        scenes = fx.dialogues.select("row_idx", F.col("scene").alias("prompt"))
+        base = first.join(scenes, "row_idx").select("custom_id", F.col("prompt").alias("base"), "prompt")
+    gen = lambda p: p.join(answers.select("custom_id", "attempt", "content"), ["custom_id", "attempt"])
+    jud = lambda c: c.join(answers.select("custom_id", "attempt", "verdict"), ["custom_id", "attempt"])
+    rounds = K.MAX_TURN_ROUNDS if flow == "turn" else K.MAX_STARTER_ROUNDS
+    res = run_loop(spark, base, gen, jud, flow, rounds, scratch_path(spark, f"{flow}-loop"))
+    return res.folded.select("custom_id", F.col("winning_attempt").cast("bigint").alias("winning_attempt"),
+                             "final_content")
+
+
+@query
+def q_turn_loop(spark, sf):
+    """O2: the round-by-round loop with a replay backend; must equal ``turn_fold``."""
+    return _replay_loop(spark, sf, "turn")
+
+
+@query
+def q_starter_loop(spark, sf):
+    """O2: the starter loop (no feedback, attempt-0 fallback); must equal ``starter_fold``."""
+    return _replay_loop(spark, sf, "starter")

@@ -191,5 +191,7 @@ def parse_completion_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     error = (F.when(F.col("_e.response.body").isNotNull(), F.array_join(F.col("_e.response.body"), "; "))
              .when(F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull(), F.lit("malformed"))
              .when(content.isNull(), F.lit("empty")))
-    return out.withColumns({"content": content, "error": error,
-                            "is_error": content.isNull()}).drop("_p", "_e")
+    cols = {"content": content, "error": error, "is_error": content.isNull()}
+    if "custom_id" not in lines.columns:
+        cols["custom_id"] = F.col("_p.custom_id")
+    return out.withColumns(cols).drop("_p", "_e")

@@ -520,6 +520,14 @@ WHERE r <= 5
 """
 
 
+ORACLE["stream_ingest"] = """
+SELECT custom_id, content FROM fx_comp WHERE e > 1
+"""
+ORACLE["stream_rate_audit"] = ORACLE["rate_audit"]
+ORACLE["turn_loop"] = ORACLE["turn_fold"]
+ORACLE["starter_loop"] = ORACLE["starter_fold"]
+
+
 def oracle_sql() -> dict[str, str]:
     """Complete statements: the fixture CTEs followed by each query body."""
     out = {}
