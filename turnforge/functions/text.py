@@ -90,3 +90,9 @@ def history_text(dialogue, newline: str = "delete", sep: str = "\n", terminate:
     if terminate:
         return F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit(sep))), "")
     return F.array_join(lines, sep)
+
+
+def scene_text(fields: dict) -> Column:
+    """Render named scene fields as ``Label: value`` lines (NULL fields skipped)."""
+    return F.concat_ws("\n", *[F.when(_c(c).isNotNull(), F.concat(F.lit(f"{label}: "), _c(c).cast("string")))
+                               for label, c in fields.items()])
