@@ -44,7 +44,9 @@ def running_totals(
     inner_w = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     inner = staged.withColumns({f"_in_{n}": F.sum(f"_v_{n}").over(inner_w) for n in names})
 
-    totals = staged.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    # Block totals come from the level-1 output, which is already clustered by (keys, block):
+    # no second pass over the input and no extra exchange.
+    totals = inner.groupBy(*keys, "_blk").agg(*[F.max_by(f"_in_{n}", order).alias(f"_t_{n}") for n in names])
     before_w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_blk").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -82,7 +84,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, value_cols: S
     inner = staged.withColumns({f"_lag_{v}": F.lag(v).over(w) for v in value_cols}).withColumn(
         "_first", F.row_number().over(w) == 1
     )
-    last = staged.groupBy(*keys, "_blk").agg(
+    last = inner.groupBy(*keys, "_blk").agg(
         F.max_by(F.struct(*[F.col(v) for v in value_cols]), F.col(order)).alias("_last")
     )
     bw = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_blk")

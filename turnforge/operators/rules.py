@@ -81,14 +81,19 @@ def language_profile(docs: DataFrame, lang: str = "lang", text: str = "text", to
 
 
 def detect_language(msgs: DataFrame, profile: DataFrame) -> DataFrame:
-    """Best-scoring profile per message (token hits, ties by name), ``unknown`` if none."""
-    mt = msgs.select(KEY, POS, F.explode(tokens(F.col("content"))).alias("tok"))
-    hits = mt.join(profile, "tok").groupBy(KEY, POS, "lang").agg(F.count(F.lit(1)).alias("_h"))
-    w = Window.partitionBy(KEY, POS).orderBy(F.col("_h").desc(), F.col("lang").asc())
-    best = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select(
-        KEY, POS, F.col("lang").alias("detected"))
-    return msgs.join(best, [KEY, POS], "left").withColumn(
-        "detected", F.coalesce(F.col("detected"), F.lit("unknown")))
+    """Best-scoring profile per message (token hits, ties by name), ``unknown`` if none.
+
+    One pass over the messages: tokens are exploded with ``explode_outer`` and
+    left-joined to the (small) profile, so a message without any hit keeps a
+    single NULL-language row instead of needing a join back.  The winner is
+    ``min_by(lang, (-hits, lang))``.
+    """
+    mt = msgs.select(KEY, POS, "role", F.explode_outer(tokens(F.col("content"))).alias("tok"))
+    hits = mt.join(profile, "tok", "left").groupBy(KEY, POS, "role", "lang").agg(
+        F.count(F.col("lang")).alias("_h"))
+    best = hits.groupBy(KEY, POS, "role").agg(
+        F.min_by(F.col("lang"), F.struct((-F.col("_h")).alias("h"), F.col("lang").alias("l"))).alias("detected"))
+    return best.withColumn("detected", F.coalesce(F.col("detected"), F.lit("unknown")))
 
 
 def language(msgs: DataFrame, profile: DataFrame) -> DataFrame:
@@ -97,9 +102,11 @@ def language(msgs: DataFrame, profile: DataFrame) -> DataFrame:
     ``unknown`` counts as a mismatch unless the first user message is unknown too.
     """
     det = detect_language(msgs, profile)
-    first = det.where(F.col("role") == "user").groupBy(KEY).agg(
-        F.min_by(F.col("detected"), F.col(POS)).alias("_first"))
-    j = det.join(first, KEY, "left")
+    # One window over the detections: a self-join would plan the detection subtree twice
+    # (the two sides prune different columns, so their exchanges cannot be reused).
+    is_user = F.col("role") == "user"
+    first = F.min_by(F.when(is_user, F.col("detected")), F.when(is_user, F.col(POS))).over(Window.partitionBy(KEY))
+    j = det.withColumn("_first", first)
     return j.select(KEY, POS, F.col("detected").alias("metric"),
                     F.coalesce(F.col("detected") != F.col("_first"), F.lit(False)).alias("flag"))
 

@@ -150,8 +150,10 @@ class Fixtures:
     def rules_msgs(self) -> DataFrame:
         """``fx_rules``: messages with three injected faults."""
         m = self.msgs
-        donor = m.where(F.col("pos") == 0).select((F.col("conv_id") - 1).alias("conv_id"),
-                                                  F.col("content").alias("_donor"))
+        # Text at pos 0 of each conversation = its earliest user/assistant message.
+        donor = (self.table("conversations").where(F.col("role").isin("user", "assistant"))
+                 .groupBy("conv_id").agg(F.min_by("text", "turn").alias("_donor"))
+                 .select((F.col("conv_id") - 1).alias("conv_id"), "_donor"))
         switch = (F.col("conv_id") % 10 == 7) & (F.col("pos") == 2)
         j = m.join(donor, "conv_id", "left")
         content = (F.when(switch & F.col("_donor").isNotNull(), F.col("_donor"))

@@ -1,4 +1,14 @@
-"""Read the input tables (one Parquet file or directory per table)."""
+"""Read the input tables (one Parquet file or directory per table).
+
+A table stored as one file with a single row group scans as ONE task, so all
+row-level work before the first shuffle (tokenising document text,
+rendering prompts) would run on one core.  ``read_table`` therefore checks
+the scan's split count and, only when it is below the cluster's default
+parallelism, hash-partitions the rows by the table's natural key.  On a
+cluster reading many files the check is a no-op; when it fires the hash
+key is the one later group-bys use (``conv_id``, ``doc_id``), so that
+exchange is reused rather than added.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+# Natural key per table used when a single-split scan is spread.
+SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id", "labels": "doc_id",
+               "pages": "page_id"}
+
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    if spread and key:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartition(parts, key)
+    return df
