@@ -174,10 +174,22 @@ def q_starter_regen(spark, sf):
                       _last_content(req).alias("user_content"))
 
 
+REQUEST_LINE = ("custom_id string, method string, url string, body struct<model string, "
+                "messages array<struct<role string, content string>>, temperature double, top_p double, "
+                "frequency_penalty double, presence_penalty double, max_tokens int>")
+
+
 @query
 def q_request_jsonl(spark, sf):
+    """Each request as one JSON line, read back with the declared line schema."""
     req = render.starter_requests(_doc_scenes(spark, sf), RUN_ID, "docs", GEN_MODEL)
-    return req.select("custom_id", F.length(render.request_json(req)).cast("bigint").alias("line_length"))
+    line = req.select(render.request_json(req).alias("line"))
+    back = line.select(F.from_json("line", REQUEST_LINE).alias("r")).select("r.*")
+    return back.select("custom_id", "method", "url", F.col("body.model").alias("model"),
+                       F.size("body.messages").cast("bigint").alias("n_messages"),
+                       F.element_at("body.messages", -1)["content"].alias("user_content"),
+                       F.col("body.temperature").alias("temperature"), F.col("body.top_p").alias("top_p"),
+                       F.col("body.max_tokens").cast("bigint").alias("max_tokens"))
 
 
 # --- completions ---------------------------------------------------------------

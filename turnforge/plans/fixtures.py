@@ -18,8 +18,7 @@ from turnforge.functions.identity import starter_custom_id, turn_custom_id
 from turnforge.operators.ordering import ordinal
 from turnforge.operators.render import starter_user_content
 from turnforge.operators.triage import accepted_by_flow
-from turnforge.operators.transcript import dialogues_from_messages
-from turnforge.schemas import COMPLETION_ERRORS_WIRE, COMPLETION_WIRE
+from turnforge.schemas import COMPLETION_ERRORS_WIRE, COMPLETION_WIRE, MESSAGES
 from turnforge.sources.tables import read_table
 
 # Fixed fixture values (FIXTURES.md).
@@ -60,24 +59,32 @@ class Fixtures:
     # -- 3.2 ----------------------------------------------------------------
     @cached_property
     def dialogues(self) -> DataFrame:
-        """``fx_dialogues``: one row per conversation with the message array."""
+        """``fx_dialogues``: one row per conversation with the message array.
+
+        A single aggregation over ``conversations`` (seed scene and messages
+        together); queries that need only ``conv_id``/``lang`` get the
+        ``collect_list`` pruned away by the optimizer.
+        """
         conv = self.table("conversations")
         is_msg = F.col("role").isin("user", "assistant")
         model = F.when(F.col("role") == "user", "user-a").otherwise("bot-1")
-        msgs = conv.select("conv_id", "turn", "role", F.col("text").alias("content"))
-        arrays = dialogues_from_messages(msgs.where(is_msg), "conv_id", "turn", model)
-        seeds = conv.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("_sys"))
+        item = F.struct(F.col("turn").alias("o"), F.col("role").alias("role"), F.col("text").alias("content"),
+                        model.alias("model"))
+        g = conv.groupBy("conv_id").agg(
+            F.max(F.when(F.col("role") == "system", F.col("text"))).alias("_sys"),
+            F.sort_array(F.collect_list(F.when(is_msg, item))).alias("_items"))
         lang = lang_of(F.col("conv_id"))
         seed_scene = F.coalesce(F.col("_sys"), F.concat(F.lit("Scene "), _s(F.col("conv_id"))))
-        return seeds.join(arrays, "conv_id", "left").select(
+        return g.select(
             "conv_id",
             F.col("conv_id").alias("row_idx"),
             lang.alias("lang"),
             F.concat(F.lit("fx-"), _s(F.col("conv_id"))).alias("source"),
             seed_scene.alias("seed_scene"),
             starter_user_content(seed_scene, lang).alias("scene"),
-            F.coalesce(F.col("dialogue"), F.array().cast("array<struct<role:string,content:string>>")).alias("dialogue"),
-            F.coalesce(F.col("models"), F.array().cast("array<string>")).alias("models"),
+            F.transform("_items", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+            .cast(MESSAGES).alias("dialogue"),
+            F.transform("_items", lambda m: m["model"]).alias("models"),
             F.lit(False).alias("ended"),
         )
 
