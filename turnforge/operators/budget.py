@@ -38,7 +38,7 @@ def estimate_tokens(messages: Column, allowance: Column | int = COMPAT_COMPLETIO
 
 def rate_plan(df: DataFrame, order: str, tokens: str, requests_per_minute: int, tokens_per_minute: int,
               block_bits: int = 16) -> DataFrame:
-    """Earliest start (seconds) of each request under both budgets, in ``order``.
+    """W4 (+ W2 ``task_id``): earliest start (seconds) of each request under both budgets, in ``order``.
 
     With all requests ready at t=0 and in-order admission, request i (1-based)
     with running token sum C_i starts no earlier than
@@ -50,7 +50,9 @@ def rate_plan(df: DataFrame, order: str, tokens: str, requests_per_minute: int,
     over = F.col(tokens) > F.lit(tokens_per_minute)
     staged = df.withColumn("oversize", over)
     rt = running_totals(staged, [], order,
-                        {"_i": F.when(~over, F.lit(1)), "_c": F.when(~over, F.col(tokens))}, block_bits)
+                        {"_t": F.lit(1), "_i": F.when(~over, F.lit(1)), "_c": F.when(~over, F.col(tokens))},
+                        block_bits)
+    rt = rt.withColumn("task_id", (F.col("_t") - 1).cast("bigint")).drop("_t")      # W2
     r, k = float(requests_per_minute), float(tokens_per_minute)
     start = F.greatest(F.lit(0.0), F.lit(60.0) * (F.col("_i") - F.lit(requests_per_minute)) / F.lit(r),
                        F.lit(60.0) * (F.col("_c") - F.lit(tokens_per_minute)) / F.lit(k))

@@ -13,18 +13,25 @@ from turnforge.schemas import MESSAGES
 
 
 def dialogues_from_messages(msgs: DataFrame, key: str = "conv_id", order: str = "turn",
-                            model_of_role: Column | None = None) -> DataFrame:
+                            model_of_role: Column | None = None, keep: Column | None = None,
+                            extra: dict | None = None) -> DataFrame:
     """Long-form messages to one row per dialogue, messages in ``order``.
 
     One row per dialogue is the table's data model; the array is as large as
     the dialogue, and each dialogue is gathered once (not per turn).
+    ``keep`` selects which rows become messages; ``extra`` adds aggregates
+    computed in the same pass (e.g. the seed scene).
     """
     model = model_of_role if model_of_role is not None else F.lit(None).cast("string")
     item = F.struct(F.col(order).alias("o"), F.col("role").alias("role"), F.col("content").alias("content"),
                     model.alias("model"))
-    g = msgs.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    if keep is not None:
+        item = F.when(keep, item)
+    extra = extra or {}
+    g = msgs.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_items"),
+                              *[c.alias(n) for n, c in extra.items()])
     return g.select(
-        key,
+        key, *extra.keys(),
         F.transform("_items", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
         .cast(MESSAGES).alias("dialogue"),
         F.transform("_items", lambda m: m["model"]).alias("models"),

@@ -372,16 +372,19 @@ def q_rate_plan(spark, sf):
     docs = Fixtures(spark, sf).table("documents").select(
         "doc_id", budget.chars_estimator(F.col("text")).alias("est_tokens"))
     plan = budget.rate_plan(docs, "doc_id", "est_tokens", PLAN_RPM, PLAN_TPM)
-    return plan.select("doc_id", "start_s", "oversize")
+    return plan.select("doc_id", "task_id", "start_s", "oversize")
 
 
 def _ledger(spark, sf) -> DataFrame:
     ev = Fixtures(spark, sf).table("events")
     et = F.col("event_type")
     task = (F.col("user_id") * 10 + F.col("event_id") % 10).alias("task")
-    kind = (F.when(et == "error", "rate_limit").when(et == "view", "api").when(et == "signup", "other"))
+    # Failed tries carry an error message; F7 classifies it by case-insensitive text.
+    message = (F.when(et == "error", F.lit("Rate limit reached, retry later"))
+               .when(et == "view", F.lit("API error: upstream returned 502"))
+               .when(et == "signup", F.lit("Connection reset by peer")))
     return budget.retry_ledger(ev.select(task, "ts", "event_id", "event_type"), "task", ["ts", "event_id"],
-                               et.isin("click", "purchase"), kind)
+                               et.isin("click", "purchase"), triage.error_kind(message))
 
 
 @query

@@ -18,7 +18,8 @@ from turnforge.functions.identity import starter_custom_id, turn_custom_id
 from turnforge.operators.ordering import ordinal
 from turnforge.operators.render import starter_user_content
 from turnforge.operators.triage import accepted_by_flow
-from turnforge.schemas import COMPLETION_ERRORS_WIRE, COMPLETION_WIRE, MESSAGES
+from turnforge.operators.transcript import dialogues_from_messages
+from turnforge.schemas import COMPLETION_ERRORS_WIRE, COMPLETION_WIRE
 from turnforge.sources.tables import read_table
 
 # Fixed fixture values (FIXTURES.md).
@@ -65,14 +66,11 @@ class Fixtures:
         together); queries that need only ``conv_id``/``lang`` get the
         ``collect_list`` pruned away by the optimizer.
         """
-        conv = self.table("conversations")
+        conv = self.table("conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))
         is_msg = F.col("role").isin("user", "assistant")
         model = F.when(F.col("role") == "user", "user-a").otherwise("bot-1")
-        item = F.struct(F.col("turn").alias("o"), F.col("role").alias("role"), F.col("text").alias("content"),
-                        model.alias("model"))
-        g = conv.groupBy("conv_id").agg(
-            F.max(F.when(F.col("role") == "system", F.col("text"))).alias("_sys"),
-            F.sort_array(F.collect_list(F.when(is_msg, item))).alias("_items"))
+        g = dialogues_from_messages(conv, "conv_id", "turn", model, keep=is_msg, extra={
+            "_sys": F.max(F.when(F.col("role") == "system", F.col("content")))})
         lang = lang_of(F.col("conv_id"))
         seed_scene = F.coalesce(F.col("_sys"), F.concat(F.lit("Scene "), _s(F.col("conv_id"))))
         return g.select(
@@ -82,9 +80,7 @@ class Fixtures:
             F.concat(F.lit("fx-"), _s(F.col("conv_id"))).alias("source"),
             seed_scene.alias("seed_scene"),
             starter_user_content(seed_scene, lang).alias("scene"),
-            F.transform("_items", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-            .cast(MESSAGES).alias("dialogue"),
-            F.transform("_items", lambda m: m["model"]).alias("models"),
+            "dialogue", "models",
             F.lit(False).alias("ended"),
         )
 

@@ -427,7 +427,7 @@ r AS (
          sum(est) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
   FROM e WHERE est <= 5000
 )
-SELECT e.doc_id,
+SELECT e.doc_id, CAST(row_number() OVER (ORDER BY e.doc_id) - 1 AS BIGINT) AS task_id,
        CASE WHEN e.est > 5000 THEN NULL
             ELSE round(greatest(0.0::DOUBLE, 60.0::DOUBLE * (r.i - 200) / 200.0::DOUBLE,
                                 60.0::DOUBLE * (r.c - 5000) / 5000.0::DOUBLE), 6) END AS start_s,
