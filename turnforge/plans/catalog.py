@@ -484,12 +484,13 @@ def q_stream_ingest(spark, sf):
     """ST1: completion files arrive in reversed order with one file repeated."""
     from turnforge.session import scratch_path
     from turnforge.streaming.ingest import ingest
-    lines = Fixtures(spark, sf).completion_lines.where(F.col("e") > 1).select(
-        "value", (F.col("conv_id") % 4).alias("_f"))
     base = scratch_path(spark, "stream-ingest")
+    Fixtures(spark, sf).completion_lines.where(F.col("e") > 1).select(
+        "value", (F.col("conv_id") % 4).alias("_f")).write.parquet(f"{base}/staged")
+    lines = spark.read.parquet(f"{base}/staged")
     for k in (3, 2, 1, 0, 1):
         lines.where(F.col("_f") == k).select("value").write.mode("append").text(f"{base}/in")
-    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=2)
+    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=32)
     return spark.read.parquet(f"{base}/out").select("custom_id", "content")
 
 
@@ -513,7 +514,10 @@ def _replay_loop(spark, sf, flow: str):
     from turnforge.session import scratch_path
     fx = Fixtures(spark, sf)
     a = fx.attempts.where(F.col("flow") == flow)
-    answers = a.select("custom_id", "attempt", "content", "verdict")
+    root = scratch_path(spark, f"{flow}-loop")
+    # The replay backend's saved answers: a table on shared storage, written once.
+    a.select("custom_id", "attempt", "content", "verdict").write.parquet(f"{root}/answers")
+    answers = spark.read.parquet(f"{root}/answers")
     first = a.where(F.col("attempt") == 0).select("custom_id", F.col("conv_id").alias("row_idx"),
                                                    F.col("pos").alias("turn"))
     if flow == "turn":
@@ -528,7 +532,7 @@ def _replay_loop(spark, sf, flow: str):
     gen = lambda p: p.join(answers.select("custom_id", "attempt", "content"), ["custom_id", "attempt"])
     jud = lambda c: c.join(answers.select("custom_id", "attempt", "verdict"), ["custom_id", "attempt"])
     rounds = K.MAX_TURN_ROUNDS if flow == "turn" else K.MAX_STARTER_ROUNDS
-    res = run_loop(spark, base, gen, jud, flow, rounds, scratch_path(spark, f"{flow}-loop"))
+    res = run_loop(spark, base, gen, jud, flow, rounds, root)
     return res.folded.select("custom_id", F.col("winning_attempt").cast("bigint").alias("winning_attempt"),
                              "final_content")
 

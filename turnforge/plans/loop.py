@@ -48,6 +48,9 @@ def run_loop(spark: SparkSession, base: DataFrame, generate: Step, judge: Step,
     policy = FLOW_POLICY[flow]
     feedback = (flow == "turn") if feedback is None else feedback
     log_path = f"{root}/attempts"
+    # Rendered once and read back: every round reuses it without re-running its lineage.
+    base.select("custom_id", "base", "prompt").write.parquet(f"{root}/base")
+    base = spark.read.parquet(f"{root}/base")
     pending = base.select("custom_id", F.lit(0).alias("attempt"), "prompt")
     remaining: list[int] = []
     for r in range(max_rounds + 1):

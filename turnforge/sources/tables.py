@@ -22,8 +22,18 @@ SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "eve
                "pages": "page_id"}
 
 
+# Declared input schemas (no inference; also saves a footer read per scan on the driver).
+SCHEMAS = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = SPREAD_KEYS.get(name)
     if spread and key:
         target = spark.sparkContext.defaultParallelism
