@@ -8,8 +8,8 @@ from turnforge.plans.catalog import QUERIES
 from .conftest import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-ALLOWED_PYTHON = {"echo_complete"}
-EAGER = {"stream_ingest", "stream_rate_audit", "turn_loop", "starter_loop"}
+ALLOWED_PYTHON: set = set()
+EAGER = {"stream_ingest", "stream_rate_audit", "turn_loop", "starter_loop", "echo_complete"}
 
 
 def plan(df):
@@ -23,6 +23,11 @@ def test_no_python_outside_the_backend(spark, key):
     assert has_python == (key in ALLOWED_PYTHON), p[:2000]
 
 
+def test_backend_output_is_read_from_storage(spark):
+    p = plan(QUERIES["echo_complete"](spark, SF_SMALL))
+    assert "MapInPandas" not in p and "FileScan parquet" in p
+
+
 def test_rate_plan_has_no_unpartitioned_window_over_rows(spark):
     df = QUERIES["rate_plan"](spark, SF_SMALL)
     p = df._jdf.queryExecution().executedPlan().toString()

@@ -47,3 +47,13 @@ def test_stream_audit_equals_batch(spark):
     a = sorted(tuple(r) for r in QUERIES["stream_rate_audit"](spark, SF_SMALL).collect())
     b = sorted(tuple(r) for r in QUERIES["rate_audit"](spark, SF_SMALL).collect())
     assert a == b
+
+
+def test_watermarked_dedup_for_unbounded_runs(spark, scratch):
+    line = ('{"custom_id":"a-1","response":{"body":{"choices":[{"message":{"role":"user","content":"x"}}]}}}')
+    df = spark.createDataFrame([(line,)], "value string")
+    for _ in range(3):
+        df.write.mode("append").text(f"{scratch}/in")
+    ingest(spark, f"{scratch}/in", f"{scratch}/out", f"{scratch}/chk", max_files_per_trigger=1, watermark="1 hour")
+    out = spark.read.parquet(f"{scratch}/out")
+    assert out.count() == 1 and out.first().content == "x"

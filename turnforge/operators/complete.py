@@ -98,3 +98,16 @@ def replay(requests: DataFrame, completions: DataFrame) -> DataFrame:
     j = requests.select("custom_id", "attempt").join(saved, ["custom_id", "attempt"], "left")
     return j.select("custom_id", "attempt", "content",
                     F.when(F.col("_found").isNull(), F.lit("missing")).otherwise(F.col("error")).alias("error"))
+
+
+def complete_to_table(requests: DataFrame, backend_factory: Callable[[], Backend], path: str,
+                      max_tries: int = MAX_TRIES) -> DataFrame:
+    """U1, the safe way: run the backend once, write its output to ``path``, read it back.
+
+    Downstream plans read the written table, so re-running an action (or a
+    lost executor re-running a stage) never calls the model again.  Rows
+    produced twice by a re-executed task are removed by ``(custom_id, attempt)``.
+    """
+    complete(requests, backend_factory, max_tries).write.mode("errorifexists").parquet(path)
+    spark = requests.sparkSession
+    return spark.read.parquet(path).dropDuplicates(["custom_id", "attempt"])

@@ -215,7 +215,8 @@ def q_echo_complete(spark, sf):
     a = Fixtures(spark, sf).attempts.where(F.col("attempt") == 0)
     reqs = a.select("custom_id", "attempt", F.lit(GEN_MODEL).alias("model"),
                     F.array(render.msg("system", F.lit("s")), render.msg("user", F.col("content"))).alias("messages"))
-    out = complete.complete(reqs, complete.EchoBackend)
+    from turnforge.session import scratch_path
+    out = complete.complete_to_table(reqs, complete.EchoBackend, scratch_path(spark, "echo-complete"))
     return out.select("custom_id", "content")
 
 

@@ -31,13 +31,28 @@ SCHEMAS = {
 }
 
 
+SPREAD_BYTES_PER_PARTITION = 1 << 20
+
+
+def _input_bytes(spark: SparkSession, df: DataFrame) -> int:
+    """Total size of the files behind a scan (file-system metadata only, no data read)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    total = 0
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
     df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = SPREAD_KEYS.get(name)
     if spread and key:
         target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartition(parts, key)
+        splits = df.rdd.getNumPartitions()
+        if splits < target:
+            wanted = min(2 * target, -(-_input_bytes(spark, df) // SPREAD_BYTES_PER_PARTITION))
+            if wanted > splits:
+                df = df.repartition(int(wanted), key)
     return df

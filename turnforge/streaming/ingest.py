@@ -18,25 +18,29 @@ KEYS = ["custom_id", "attempt"]
 
 
 def completion_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None,
-                      watermark: tuple[str, str] | None = None) -> DataFrame:
+                      watermark: str | None = None) -> DataFrame:
+    """Parsed, de-duplicated completion stream.
+
+    ``watermark`` (a delay such as ``"1 hour"``) switches to
+    ``dropDuplicatesWithinWatermark`` on the file's arrival time
+    (``_metadata.file_modification_time``), which bounds the state of an
+    unbounded run; without it the state covers every key seen.
+    """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.load(src_dir)
-    parsed = parse_completion_lines(lines)
-    if "attempt" not in parsed.columns:
-        parsed = parsed.withColumn("attempt", F.lit(0))
-    parsed = parsed.select("custom_id", "attempt", "content", "error", "is_error",
-                           *([watermark[0]] if watermark and watermark[0] in parsed.columns else []))
+    lines = reader.load(src_dir).select("value", F.col("_metadata.file_modification_time").alias("arrived"))
+    parsed = parse_completion_lines(lines).withColumn("attempt", F.lit(0))
+    parsed = parsed.select("custom_id", "attempt", "content", "error", "is_error", "arrived")
     if watermark:
-        return parsed.withWatermark(*watermark).dropDuplicatesWithinWatermark(KEYS)
+        return parsed.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(KEYS)
     return parsed.dropDuplicates(KEYS)
 
 
 def ingest(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
-           max_files_per_trigger: int | None = None) -> None:
+           max_files_per_trigger: int | None = None, watermark: str | None = None) -> None:
     """Run the ingest over everything present now and stop (``availableNow``)."""
-    stream = completion_stream(spark, src_dir, max_files_per_trigger)
+    stream = completion_stream(spark, src_dir, max_files_per_trigger, watermark)
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out_dir))
     q.awaitTermination()
