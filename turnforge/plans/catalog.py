@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnforge import constants as K
 from turnforge.functions.identity import decode_row_idx, eval_custom_id, model_short, turn_custom_id
 from turnforge.functions.text import clean_compat, clean_prefix, has_end_marker, history_text
 from turnforge.operators import budget, complete, fold, judge, render, rules, transcript, triage
-from turnforge.operators.ordering import ordinal, running_totals
+from turnforge.operators.ordering import ordinal
 from turnforge.plans.fixtures import (ASSISTANT_MODEL, GEN_MODEL, RUN_ID, STARTER_DATASET, Fixtures,
                                       parse_completion_lines)
 
@@ -305,7 +305,10 @@ def q_end_rates(spark, sf):
     turns = f.select(F.col("pos").alias("turn")).distinct()
     n = fx.dialogues.agg(F.count(F.lit(1))).scalar()        # scalar subquery, no join
     j = turns.join(new, "turn", "left").withColumns({"_new": F.coalesce("_new", F.lit(0)), "_n": n})
-    r = running_totals(j, [], "turn", {"_cum": F.col("_new")})
+    # One row per turn position (an aggregate's output, as long as the longest dialogue): a plain
+    # ordered window is enough here.
+    w = Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    r = j.withColumn("_cum", F.sum("_new").over(w))
     return r.select(F.col("turn").cast("bigint").alias("turn"),
                     F.round(F.lit(100.0) * F.col("_cum") / F.col("_n"), 6).alias("pct_ended"),
                     F.round(F.lit(100.0) * F.col("_new") / F.col("_n"), 6).alias("pct_new"))
@@ -418,9 +421,15 @@ def q_rule_placeholder(spark, sf):
     return rules.placeholder(Fixtures(spark, sf).rules_msgs)
 
 
+def _shared_rules_msgs(fx: Fixtures) -> DataFrame:
+    """``fx_rules`` read by several branches of one plan: materialised once."""
+    from turnforge.session import materialize
+    return materialize(fx.rules_msgs)
+
+
 @query
 def q_rule_repetition(spark, sf):
-    return rules.repetition(Fixtures(spark, sf).rules_msgs, REPETITION_THRESHOLD)
+    return rules.repetition(_shared_rules_msgs(Fixtures(spark, sf)), REPETITION_THRESHOLD)
 
 
 def _language_flags(fx: Fixtures) -> DataFrame:
@@ -434,13 +443,15 @@ def q_rule_language(spark, sf):
 
 @query
 def q_rule_role(spark, sf):
-    return rules.role_confusion(Fixtures(spark, sf).rules_msgs)
+    return rules.role_confusion(_shared_rules_msgs(Fixtures(spark, sf)))
 
 
 @query
 def q_clean_dialogues(spark, sf):
     fx = Fixtures(spark, sf)
-    return rules.clean_dialogues(rules.role_confusion(fx.rules_msgs), _language_flags(fx))
+    msgs = _shared_rules_msgs(fx)
+    lang = rules.language(msgs, rules.language_profile(fx.table("documents")))
+    return rules.clean_dialogues(rules.role_confusion(msgs), lang)
 
 
 # --- judge ------------------------------------------------------------------------------

@@ -65,3 +65,14 @@ def is_local_path(path: str) -> bool:
 def ensure_dir(path: str) -> None:
     if is_local_path(path):
         os.makedirs(path.removeprefix("file:"), exist_ok=True)
+
+
+def materialize(df):
+    """Write an intermediate that several branches read to the shared checkpoint folder.
+
+    A reliable ``checkpoint`` (never ``localCheckpoint``): it survives the
+    loss of an executor and cuts the lineage, so branches that prune
+    different columns do not each recompute the same subtree.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
