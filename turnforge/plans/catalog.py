@@ -61,8 +61,8 @@ def q_custom_ids(spark, sf):
 # --- requests ----------------------------------------------------------------
 
 def _doc_scenes(spark, sf) -> DataFrame:
-    docs = Fixtures(spark, sf).table("documents").select(
-        "doc_id", "lang", F.substring("text", 1, 400).alias("scene"))
+    """Scenes from ``documents``: the whole text is the scene (no prefix)."""
+    docs = Fixtures(spark, sf).table("documents").select("doc_id", "lang", F.col("text").alias("scene"))
     return ordinal(docs, ["lang"], "doc_id", "row_idx")
 
 

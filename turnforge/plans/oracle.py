@@ -207,7 +207,7 @@ FROM fx_dial
 
 ORACLE["starter_requests"] = f"""
 SELECT 'r1-docs-' || lang || '-m1-' || row_idx AS custom_id, row_idx, lang,
-       substring(text, 1, 400) || {q(P.LANG_LINE)} || lang AS user_content,
+       text || {q(P.LANG_LINE)} || lang AS user_content,
        CAST({K.STARTER_PARAMS['temperature']} AS DOUBLE) AS temperature,
        CAST({K.STARTER_PARAMS['max_tokens']} AS BIGINT) AS max_tokens
 FROM (SELECT doc_id, lang, text, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS row_idx
@@ -217,7 +217,7 @@ FROM (SELECT doc_id, lang, text, CAST(row_number() OVER (PARTITION BY lang ORDER
 ORACLE["request_jsonl"] = f"""
 SELECT 'r1-docs-' || lang || '-m1-' || row_idx AS custom_id, 'POST' AS method, {q(K.CHAT_URL)} AS url,
        'm1' AS model, CAST(2 AS BIGINT) AS n_messages,
-       substring(text, 1, 400) || {q(P.LANG_LINE)} || lang AS user_content,
+       text || {q(P.LANG_LINE)} || lang AS user_content,
        CAST({K.STARTER_PARAMS['temperature']} AS DOUBLE) AS temperature,
        CAST({K.STARTER_PARAMS['top_p']} AS DOUBLE) AS top_p,
        CAST({K.STARTER_PARAMS['max_tokens']} AS BIGINT) AS max_tokens
