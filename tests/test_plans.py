@@ -56,3 +56,28 @@ def test_filters_reach_the_scan(spark):
     df = Fixtures(spark, SF_SMALL).msgs.where(F.col("conv_id") < 5)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(conv_id), LessThan(conv_id,5)" in p or "LessThan(conv_id,5)" in p
+
+
+def test_ledger_first_tries_limited_before_shuffle(spark):
+    p = plan(QUERIES["attempt_ledger"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_language_profile_limited_before_shuffle(spark):
+    from turnforge.operators.rules import language_profile
+    from turnforge.sources.tables import read_table
+    p = plan(language_profile(read_table(spark, SF_SMALL, "documents")))
+    assert "WindowGroupLimit" in p
+
+
+def test_per_language_row_index_is_two_level(spark):
+    # The row-level window is partitioned by (lang, block), never by lang alone.
+    p = plan(QUERIES["starter_requests"](spark, SF_SMALL))
+    row_windows = [ln for ln in p.splitlines() if "Window [sum(" in ln and "lang" in ln]
+    assert row_windows and all("_blk" in ln for ln in row_windows)
+
+
+def test_no_cartesian_products(spark):
+    for key in sorted(set(QUERIES) - EAGER):
+        p = plan(QUERIES[key](spark, SF_SMALL))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key

@@ -55,7 +55,9 @@ def running_totals(
         F.col("_blk").alias("_k_blk"),
         *[F.coalesce(F.sum(f"_t_{n}").over(before_w), F.lit(0)).alias(f"_o_{n}") for n in names],
     )
-    cond = [inner["_blk"] == offsets["_k_blk"]] + [inner[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys]
+    # Null-safe on every key: a plain equality would let the optimizer infer an ``isnotnull``
+    # filter on one side only, and the two branches would no longer share their exchange.
+    cond = [inner["_blk"].eqNullSafe(offsets["_k_blk"])] + [inner[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys]
     joined = inner.join(offsets, cond, "inner")
     out = joined.withColumns({n: F.col(f"_in_{n}") + F.col(f"_o_{n}") for n in names})
     drop = ["_blk", "_k_blk"] + [f"_k_{k}" for k in keys]
@@ -93,7 +95,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: str, value_cols: S
         F.col("_blk").alias("_k_blk"),
         F.lag("_last").over(bw).alias("_carry"),
     )
-    cond = [inner["_blk"] == carry["_k_blk"]] + [inner[k].eqNullSafe(carry[f"_k_{k}"]) for k in keys]
+    cond = [inner["_blk"].eqNullSafe(carry["_k_blk"])] + [inner[k].eqNullSafe(carry[f"_k_{k}"]) for k in keys]
     joined = inner.join(carry, cond, "inner")
     out = joined.withColumns(
         {f"{prefix}{v}": F.when(F.col("_first"), F.col("_carry")[v]).otherwise(F.col(f"_lag_{v}"))
