@@ -40,14 +40,33 @@ def _s(c: Column) -> Column:
 
 
 class Fixtures:
-    """Lazily built fixture DataFrames for one input directory."""
+    """Lazily built fixture DataFrames for one input directory.
+
+    ``Fixtures(spark, sf_dir)`` returns one shared instance per session and
+    directory, so the (lazy, immutable) plans are built once on the driver and
+    reused by every query; each query still reads and computes its data.
+    """
+
+    _instances: dict = {}
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+        inst = cls._instances.get(key)
+        if inst is None:
+            inst = super().__new__(cls)
+            inst.spark = spark
+            inst.sf_dir = sf_dir
+            inst._tables = {}
+            cls._instances[key] = inst
+        return inst
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
+        pass
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
     # -- 3.1 ----------------------------------------------------------------
     @cached_property
