@@ -58,3 +58,29 @@ def test_mapinpandas_backend_retries_then_dead_letters(spark):
                                  "custom_id string, attempt int, model string, messages array<struct<role:string,content:string>>")
     r = complete.complete(reqs, Flaky, max_tries=3).first()
     assert r.content is None and r.tries == 3 and r.error.count("rate limit") == 3
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["Yes.", "No.", "n/a", None, "Not sure", "No. Yes"]),
+                         min_size=4, max_size=4), min_size=1, max_size=12),
+       st.sampled_from(["turn", "starter"]))
+def test_loop_equals_fold_on_random_verdicts(spark, verdict_rows, flow):
+    from turnforge.plans.loop import run_loop
+    from turnforge.session import scratch_path
+    rounds = 3
+    rows = [(f"id-{i}", a, f"text {i}/{a}", v) for i, vs in enumerate(verdict_rows) for a, v in enumerate(vs)]
+    answers = spark.createDataFrame(rows, "custom_id string, attempt int, content string, verdict string")
+    base = answers.where("attempt = 0").select("custom_id", F.lit("b").alias("base"), F.lit("p").alias("prompt"))
+    gen = lambda p: p.join(answers.select("custom_id", "attempt", "content"), ["custom_id", "attempt"])
+    jud = lambda c: c.join(answers.select("custom_id", "attempt", "verdict"), ["custom_id", "attempt"])
+    res = run_loop(spark, base, gen, jud, flow, rounds, scratch_path(spark, "prop-loop"))
+    from turnforge.operators.triage import FLOW_POLICY, accepted
+    log = answers.withColumn("accepted", accepted(F.col("verdict"), FLOW_POLICY[flow]))
+    want = fold.fold_attempts(log, policy=flow, max_attempt=rounds)
+    assert _sorted(res.folded) == _sorted(want)
+    # the loop stops as soon as nothing is rejected, and never runs past the limit
+    assert len(res.remaining) <= rounds + 1 and all(n > 0 for n in res.remaining[:-1])
