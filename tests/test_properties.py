@@ -84,3 +84,37 @@ def test_loop_equals_fold_on_random_verdicts(spark, verdict_rows, flow):
     assert _sorted(res.folded) == _sorted(want)
     # the loop stops as soon as nothing is rejected, and never runs past the limit
     assert len(res.remaining) <= rounds + 1 and all(n > 0 for n in res.remaining[:-1])
+
+
+def test_loop_with_a_python_backend_calls_it_once_per_round(spark, scratch):
+    """U1 inside the loop: generation output is stored before the judge and the join read it."""
+    import os
+
+    from turnforge.operators.complete import Backend, complete
+    from turnforge.plans.loop import run_loop
+
+    calls_dir = f"{scratch}-calls"
+    os.makedirs(calls_dir, exist_ok=True)
+
+    class Counting(Backend):
+        def complete(self, batch):
+            for cid, a in zip(batch["custom_id"], batch["attempt"]):
+                open(f"{calls_dir}/{cid}-{a}", "a").write("x")
+            return [f"draft {a}" for a in batch["attempt"]]
+
+    base = spark.range(6).select(F.concat(F.lit("id-"), F.col("id").cast("string")).alias("custom_id"),
+                                 F.lit("b").alias("base"), F.lit("p").alias("prompt"))
+
+    def gen(p):
+        reqs = p.select("custom_id", "attempt", F.lit("m").alias("model"),
+                        F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")))
+                        .alias("messages"))
+        return complete(reqs, Counting)
+
+    jud = lambda c: c.select("custom_id", "attempt",
+                             F.when(F.col("attempt") >= 1, "Yes.").otherwise("No.").alias("verdict"))
+    res = run_loop(spark, base, gen, jud, "turn", 3, scratch)
+    assert res.remaining == [6, 0]
+    assert res.folded.where(F.col("winning_attempt") == 1).count() == 6
+    counts = [len(open(f"{calls_dir}/{f}").read()) for f in os.listdir(calls_dir)]
+    assert len(counts) == 12 and set(counts) == {1}

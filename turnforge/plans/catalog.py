@@ -544,7 +544,8 @@ def _replay_loop(spark, sf, flow: str):
     gen = lambda p: p.join(answers.select("custom_id", "attempt", "content"), ["custom_id", "attempt"])
     jud = lambda c: c.join(answers.select("custom_id", "attempt", "verdict"), ["custom_id", "attempt"])
     rounds = K.MAX_TURN_ROUNDS if flow == "turn" else K.MAX_STARTER_ROUNDS
-    res = run_loop(spark, base, gen, jud, flow, rounds, root)
+    # Both steps are joins against the stored answer table, so they need no extra write per round.
+    res = run_loop(spark, base, gen, jud, flow, rounds, root, store_steps=False)
     return res.folded.select("custom_id", F.col("winning_attempt").cast("bigint").alias("winning_attempt"),
                              "final_content")
 

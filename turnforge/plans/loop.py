@@ -35,7 +35,7 @@ class LoopResult:
 
 
 def run_loop(spark: SparkSession, base: DataFrame, generate: Step, judge: Step, flow: str, max_rounds: int,
-             root: str, feedback: bool | None = None) -> LoopResult:
+             root: str, feedback: bool | None = None, store_steps: bool = True) -> LoopResult:
     """Run the loop for ``base`` (``custom_id``, ``base``, ``prompt``).
 
     ``prompt`` is the round-0 prompt; later rounds use ``base`` plus, in the
@@ -43,7 +43,11 @@ def run_loop(spark: SparkSession, base: DataFrame, generate: Step, judge: Step,
     starter flow re-sends the same request (P10).
     ``generate`` maps ``(custom_id, attempt, prompt)`` to ``(custom_id,
     attempt, content)``; ``judge`` maps that to ``(custom_id, attempt,
-    verdict)``.
+    verdict)``.  With ``store_steps`` (the default, required for model
+    backends) each step's output is written before anything reads it, so a
+    model is called once per request and round even though the completions
+    feed both the judge and the join; replay steps that are already joins
+    against a stored table may pass ``store_steps=False``.
     """
     policy = FLOW_POLICY[flow]
     feedback = (flow == "turn") if feedback is None else feedback
@@ -55,7 +59,13 @@ def run_loop(spark: SparkSession, base: DataFrame, generate: Step, judge: Step,
     remaining: list[int] = []
     for r in range(max_rounds + 1):
         comp = generate(pending).select("custom_id", "attempt", "content")
+        if store_steps:
+            comp.write.parquet(f"{root}/completions/round={r}")
+            comp = spark.read.parquet(f"{root}/completions/round={r}")
         verd = judge(comp).select("custom_id", "attempt", "verdict")
+        if store_steps:
+            verd.write.parquet(f"{root}/verdicts/round={r}")
+            verd = spark.read.parquet(f"{root}/verdicts/round={r}")
         att = comp.join(verd, ["custom_id", "attempt"], "left").withColumn(
             "accepted", policy_accepts(F.col("verdict"), policy))
         att.drop("attempt").write.mode("overwrite").parquet(f"{log_path}/attempt={r}")
