@@ -7,7 +7,6 @@ the session and invents a scratch folder only when it is unset (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -41,15 +40,23 @@ def local_session(app: str = "turnforge", cores: str = "*", extra: dict | None =
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Set only when the session leaves it unset (tests); on a cluster the
-    platform names a folder every executor can reach.
+    A session that names no folder takes the one its context was given
+    (``setCheckpointDir``).  With neither, a local master (tests) gets a
+    temporary folder; any other master raises, because executors could not
+    see a folder that the driver made for itself.
     """
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        given = context.getCheckpointDir()
+        root = given.rpartition("/")[0] if given else None  # Spark appends a folder of its own
+    if not root:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="turnforge-chk-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    spark.conf.set("spark.checkpoint.dir", root)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -58,21 +65,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/turnforge/{label}-{uuid.uuid4().hex}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
+def stored(df, label: str):
+    """Write ``df`` to the shared folder as Parquet and return the written table.
 
-def ensure_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.removeprefix("file:"), exist_ok=True)
+    Cuts the lineage: a lost executor never re-runs what led to the table, and
+    branches that read different columns of it are pruned by the scan.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df):
-    """Write an intermediate that several branches read to the shared checkpoint folder.
-
-    A reliable ``checkpoint`` (never ``localCheckpoint``): it survives the
-    loss of an executor and cuts the lineage, so branches that prune
-    different columns do not each recompute the same subtree.
-    """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``stored`` under the name the rule queries use."""
+    return stored(df, "materialized")
