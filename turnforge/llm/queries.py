@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decontaminate, packing
+from turnforge.llm import decontaminate, near_dup, packing
 from turnforge.llm.common import read
 
 
@@ -17,12 +17,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op5_near_duplicates": op5_near_duplicates,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
@@ -53,3 +58,24 @@ select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0)
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from w left join hit using (doc_id) left join its using (doc_id)
 """
+
+SQL["op5_near_duplicates"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents),
+sh as materialized (
+  select distinct doc_id, unnest(case when len(words) = 1 then [words[1]] else [words[p] || ' ' || words[p + 1] for p in generate_series(1, len(words) - 1)] end) as s
+  from w where len(words) > 0),
+n as materialized (select doc_id, count(*) as n from sh group by doc_id),
+links as materialized (
+  select x.a, x.b from (select p.doc_id as a, q.doc_id as b, count(*) as both from sh p join sh q on p.s = q.s and p.doc_id < q.doc_id group by all) x
+  join n na on na.doc_id = x.a join n nb on nb.doc_id = x.b
+  where 100 * x.both >= 80 * (na.n + nb.n - x.both)),
+edges as materialized (select a, b from links union select b, a from links),
+reach(node, other) as (
+  select a, b from edges union select r.node, e.b from reach r join edges e on r.other = e.a),
+low as (select node, least(node, min(other)) as component_id from reach group by node)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(low.component_id, w.doc_id) as component_id,
+  coalesce(low.component_id, w.doc_id) = w.doc_id as kept
+from w left join n using (doc_id) left join low on low.node = w.doc_id
+"""
