@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decontaminate, near_dup, packing
+from turnforge.llm import decision_list, decontaminate, near_dup, packing
 from turnforge.llm.common import read
+from turnforge.llm.stats import BASE
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, _ = decision_list.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return got.select("doc_id", *BASE, "base_failed", "kept")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -27,6 +33,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
