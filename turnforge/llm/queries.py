@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decision_list, decontaminate, near_dup, packing
+from turnforge.llm import decision_list, decontaminate, near_dup, packing, rule_ensemble
 from turnforge.llm.common import read
 from turnforge.llm.stats import BASE
 
@@ -31,11 +31,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 SQL: dict[str, str] = {}
