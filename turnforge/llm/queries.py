@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decision_list, decontaminate, near_dup, packing, rule_ensemble, secrets
+from turnforge.llm import decision_list, decontaminate, maxent, near_dup, packing, rule_ensemble, secrets
 from turnforge.llm.common import read
 from turnforge.llm.stats import BASE
 
@@ -41,6 +41,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.language_model_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_quality_rules": op4_quality_rules,
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_language_model": op10_language_model,
 }
 
 SQL: dict[str, str] = {}
