@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decision_list, decontaminate, maxent, near_dup, packing, rule_ensemble, secrets
+from turnforge.llm import decision_list, decontaminate, html_text, maxent, near_dup, packing, rule_ensemble, secrets
 from turnforge.llm.common import read
 from turnforge.llm.stats import BASE
 
@@ -18,6 +18,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got, _ = decision_list.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return got.select("doc_id", *BASE, "base_failed", "kept")
@@ -47,6 +51,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_secret_scan": op7_secret_scan,
