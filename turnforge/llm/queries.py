@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decision_list, decontaminate, html_text, maxent, near_dup, packing, rule_ensemble, secrets
+from turnforge.llm import decision_list, decontaminate, html_text, maxent, near_dup, packing, rule_ensemble, secrets, warc
 from turnforge.llm.common import read
 from turnforge.llm.stats import BASE
 
@@ -31,6 +31,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.round_trip(read(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.with_spans(read(spark, sf_dir, "documents"), ["doc_id"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_warc_index": op6_warc_index,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
@@ -108,3 +114,17 @@ select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(low.co
   coalesce(low.component_id, w.doc_id) = w.doc_id as kept
 from w left join n using (doc_id) left join low on low.node = w.doc_id
 """
+
+SQL["op6_warc_index"] = r"""
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+b as (
+  select page_id, html, hex, array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, 10 * (k // 8) + 1, 10) as bigint) >> (35 - 5 * (k % 8))) & 31), 1)
+    for k in generate_series(0, 31)], '') as digest
+  from p),
+r as (select html, max(page_id) as first from p group by html)
+select b.page_id, cast(octet_length(encode(b.html)) as bigint) as payload_bytes, digest as payload_digest,
+  case when b.page_id = r.first then 'response' else 'revisit' end as record_type,
+  case when b.page_id = r.first then null else r.first end as refers_to
+from b join r on b.html = r.html
+"""
