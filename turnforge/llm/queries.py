@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decision_list, decontaminate, html_text, maxent, near_dup, packing, rule_ensemble, secrets, warc
+from turnforge.llm import decision_list, decontaminate, html_text, maxent, near_dup, packing, rule_ensemble, secrets, suffix_dedup, warc
 from turnforge.llm.common import read
 from turnforge.llm.stats import BASE
 
@@ -18,6 +18,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(read(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
@@ -94,6 +99,27 @@ select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0)
 from w left join hit using (doc_id) left join its using (doc_id)
 """
 
+SQL["op2_suffix_dedup"] = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as materialized (
+  select doc_id, h, p, substr(h, 2 * p + 1, 100) as s
+  from (select doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) as p from d where length(h) >= 100)),
+least as (select s, min(doc_id) as first from s group by s having min(doc_id) < max(doc_id)),
+m as (
+  select doc_id, p, lag(p) over w as before from (select s.doc_id, s.p from s join least using (s) where s.doc_id > first) x
+  window w as (partition by doc_id order by p)),
+g as (select doc_id, p, sum(case when before is null or p > before + 50 then 1 else 0 end) over (partition by doc_id order by p) as k from m),
+r as (select doc_id, k, min(p) as a, max(p) + 50 as b from g group by doc_id, k),
+e as (
+  select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as since from r),
+kept as (
+  select doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by a) as h, max(b) as upto, count(*) as n_spans, sum(b - a) as n_removed
+  from e join d using (doc_id) group by doc_id)
+select d.doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(case when kept.doc_id is null then d.h else kept.h || substr(d.h, 2 * upto + 1) end)) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
 SQL["op5_near_duplicates"] = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
