@@ -1,8 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of at most ``capacity`` tokens.
 
 1. Tokenise: ids of each document and one end id, cut into pieces of ``capacity``
-   ids (the last may be shorter).  Tasks split a text at ASCII white space, which
-   the tokenizer drops and never joins across, and keep the ids of recent words.
+   ids (the last may be shorter).  Tasks keep the ids of recent words.
 2. Range-sort: lengths are whole numbers up to ``capacity``, so pieces and gaps in
    order of size are told by their counts per size.  Spark counts the pieces; the
    counts, at most ``capacity`` rows, are all the driver sees of them.
@@ -24,7 +23,10 @@ each; null ids stay null; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -37,12 +39,13 @@ from turnforge.llm.common import stored
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 CACHE_BYTES = 48  # longer words are not kept
-BLOCK_BITS = 16
+BLOCK_BITS = 10
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long"
-_CACHE: dict[str, tuple] = {}
+STOP = re.compile(rb"(?<=[a-z0-9])([.,])")
+_CACHE: dict = {}
 
 
 def tokenizer_path() -> str:
@@ -50,8 +53,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def little_endian(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordIds:
-    """Ids, as little-endian bytes, of texts; remembers those of recent words."""
+    """Ids, as little-endian bytes, of texts; remembers those of recent words.
+
+    A text is cut at ASCII white space and before a full stop or comma that
+    follows an ASCII letter or digit: the tokenizer cuts there too, and it
+    lower-cases, so that one entry serves many forms of a word.  Words in use stay:
+    those of the last two generations of CACHE_WORDS words are kept.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,19 +75,20 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.kept: dict[bytes, bytes] = {}
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        got = self.encode([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+        self.older: dict[bytes, bytes] = {}
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.kept
-        new = list(set().union(*split).difference(known)) if split else []
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set().union(*split))
-        known.update(zip(new, self.ids(new), strict=True))
+        split = [STOP.sub(rb" \1", t.lower()).split() for t in texts]
+        words = set().union(*split)
+        if len(self.kept) + len(words) > CACHE_WORDS:
+            self.older, self.kept = self.kept, {}
+        known, older = self.kept, self.older
+        new = words.difference(known)
+        again = new.intersection(older)
+        known.update((w, older[w]) for w in again)
+        new = list(new - again)
+        for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False), strict=True):
+            known[w] = little_endian(e.ids)
         out = [b"".join([known[w] for w in words]) for words in split]
         for w in new:
             if len(w) > CACHE_BYTES:
@@ -86,7 +103,7 @@ def word_ids(path: str) -> WordIds:
 
 
 def _cut(path: str, capacity: int, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = little_endian([end_id])
 
     def cut(batches):
         encoder, task = word_ids(path), TaskContext.get().partitionId()
