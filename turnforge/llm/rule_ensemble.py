@@ -139,3 +139,10 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), rows:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, all columns as they were."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select("doc_id", "text", whole.alias("__row"))
+    return scored(packed, labels, ("__row",), rows).where("predicted = 1").select("__row.*")
