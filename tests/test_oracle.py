@@ -5,12 +5,13 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from turnforge.plans.catalog import QUERIES
+from turnforge.plans.oracle import oracle_sql
 from turnforge.sources.tables import TABLES
 
 from .conftest import SF_SMALL
 
-KEYS = sorted(queries())
+KEYS = sorted(QUERIES)
 SQL = oracle_sql()
 
 
@@ -41,7 +42,7 @@ def test_every_key_has_an_oracle_or_is_rows_only():
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    df = queries()[key](spark, SF_SMALL)
+    df = QUERIES[key](spark, SF_SMALL)
     cols = df.columns
     got = [tuple(r) for r in df.collect()]
     assert len(set(cols)) == len(cols)
@@ -59,3 +60,9 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.columns == ["turn", "pct_ended", "pct_new"]
     assert df.count() >= 0
+
+
+def test_entry_registers_every_key():
+    from __spark_entry__ import oracle_sql as registered_sql
+    from __spark_entry__ import queries
+    assert set(KEYS) <= set(queries()) and set(SQL) <= set(registered_sql())

@@ -9,6 +9,7 @@ from .conftest import SF_SMALL
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 ALLOWED_PYTHON: set = set()
+# Run a stream, a loop or the backend while they are built.
 EAGER = {"stream_ingest", "stream_rate_audit", "turn_loop", "starter_loop", "echo_complete"}
 
 
@@ -29,12 +30,11 @@ def test_backend_output_is_read_from_storage(spark):
 
 
 def test_rate_plan_has_no_unpartitioned_window_over_rows(spark):
-    df = QUERIES["rate_plan"](spark, SF_SMALL)
-    p = df._jdf.queryExecution().executedPlan().toString()
+    p = plan(QUERIES["rate_plan"](spark, SF_SMALL))
     # The only window without partition keys runs over per-block totals (an aggregate's output).
-    lines = [ln for ln in p.splitlines() if "Window [" in ln]
-    assert any("_blk" in ln for ln in lines)
-    assert "SinglePartition" not in "".join(ln for ln in p.splitlines() if "Exchange" in ln and "text" in ln)
+    windows = [ln for ln in p.splitlines() if "Window [" in ln]
+    assert windows and all("_blk" in ln for ln in windows)
+    assert "text" not in "".join(ln for ln in p.splitlines() if "Sort [" in ln or "SinglePartition" in ln)
 
 
 def test_scan_prunes_columns(spark):
@@ -63,18 +63,20 @@ def test_ledger_first_tries_limited_before_shuffle(spark):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
-def test_language_profile_limited_before_shuffle(spark):
-    from turnforge.operators.rules import language_profile
-    from turnforge.sources.tables import read_table
-    p = plan(language_profile(read_table(spark, SF_SMALL, "documents")))
-    assert "WindowGroupLimit" in p
+def test_one_cell_of_the_grid_reads_one_partition(spark, scratch):
+    from turnforge.sources import io
+    d = spark.range(12).selectExpr("id AS row_idx", "concat('l', id % 3) AS lang", "concat('u', id % 2) AS user_model")
+    io.write_dialogues(d, scratch, ("lang", "user_model"))
+    cell = spark.read.schema("row_idx bigint, lang string, user_model string").parquet(scratch).where("lang = 'l1' and user_model = 'u0'")
+    p = plan(cell)
+    assert "PartitionFilters: [isnotnull(lang" in p and "(lang" in p.split("PartitionFilters")[1] and cell.count() == 2
 
 
-def test_per_language_row_index_is_two_level(spark):
-    # The row-level window is partitioned by (lang, block), never by lang alone.
-    p = plan(QUERIES["starter_requests"](spark, SF_SMALL))
-    row_windows = [ln for ln in p.splitlines() if "Window [sum(" in ln and "lang" in ln]
-    assert row_windows and all("_blk" in ln for ln in row_windows)
+def test_same_plan_at_every_size(spark):
+    from turnforge.sources.tables import read_table
+
+    from .conftest import SF_MID
+    assert all("Exchange" not in plan(read_table(spark, sf, "documents")) for sf in (SF_SMALL, SF_MID))
 
 
 def test_no_cartesian_products(spark):

@@ -13,10 +13,27 @@ from .conftest import SF_SMALL
 
 
 def test_stream_ingest_equals_batch(spark):
-    got = sorted(tuple(r) for r in QUERIES["stream_ingest"](spark, SF_SMALL).collect())
-    lines = Fixtures(spark, SF_SMALL).completion_lines.where(F.col("e") > 1)
-    want = sorted(tuple(r) for r in parse_completion_lines(lines).select("custom_id", "content").collect())
-    assert got == want and len(got) == len({g[0] for g in got})
+    got = sorted((tuple(r) for r in QUERIES["stream_ingest"](spark, SF_SMALL).collect()), key=repr)
+    lines = Fixtures(spark, SF_SMALL).completion_lines.select("value", "attempt")
+    want = sorted((tuple(r) for r in parse_completion_lines(lines).select("custom_id", "attempt", "content", "error").collect()), key=repr)
+    assert got == want
+
+
+GOOD = '{"custom_id":"a-1","response":{"body":{"choices":[{"message":{"role":"user","content":"%s"}}]}}}'
+
+
+def test_every_malformed_line_is_a_dead_letter(spark, scratch):
+    spark.createDataFrame([("{oops",), ("",), ("[1, 2",), ("{oops",)], "value string").coalesce(1).write.text(f"{scratch}/in")
+    ingest(spark, f"{scratch}/in", f"{scratch}/out", f"{scratch}/chk")
+    out = spark.read.parquet(f"{scratch}/out")
+    assert out.count() == 3 and out.where("custom_id is null and error = 'malformed'").count() == 3
+
+
+def test_a_regenerated_completion_keeps_its_attempt(spark, scratch):
+    df = spark.createDataFrame([(GOOD % "first", 0), (GOOD % "second", 1)], "value string, attempt int")
+    df.write.partitionBy("attempt").text(f"{scratch}/in")
+    ingest(spark, f"{scratch}/in", f"{scratch}/out", f"{scratch}/chk")
+    assert sorted((r.attempt, r.content) for r in spark.read.parquet(f"{scratch}/out").collect()) == [(0, "first"), (1, "second")]
 
 
 def test_replayed_files_are_deduplicated(spark, scratch):
@@ -31,16 +48,23 @@ def test_replayed_files_are_deduplicated(spark, scratch):
     assert spark.read.parquet(f"{scratch}/out").count() == 1
 
 
-def test_stream_audit_drops_events_behind_the_watermark(spark, scratch):
+def test_stream_audit_counts_late_events(spark, scratch):
     t0 = dt.datetime(2024, 1, 1, 12, 0, 0)
     first = spark.createDataFrame([(1, t0 + dt.timedelta(minutes=30))], "event_id long, ts timestamp")
     late = spark.createDataFrame([(2, t0)], "event_id long, ts timestamp")
     first.write.parquet(f"{scratch}/in/a")
-    audit.run(spark, f"{scratch}/in/*", first.schema, f"{scratch}/out", f"{scratch}/chk", delay="5 minutes")
+    audit.run(spark, f"{scratch}/in/*", first.schema, f"{scratch}/out", f"{scratch}/chk")
     late.write.parquet(f"{scratch}/in/b")
-    audit.run(spark, f"{scratch}/in/*", first.schema, f"{scratch}/out", f"{scratch}/chk", delay="5 minutes")
-    minutes = {r.minute for r in audit.latest(spark, f"{scratch}/out", 2).collect()}
-    assert minutes == {"2024-01-01 12:30:00"}
+    audit.run(spark, f"{scratch}/in/*", first.schema, f"{scratch}/out", f"{scratch}/chk")
+    minutes = {r.minute: r.n for r in audit.latest(spark, f"{scratch}/out", 2).collect()}
+    assert minutes == {"2024-01-01 12:30:00": 1, "2024-01-01 12:00:00": 1}
+
+
+def test_stream_audit_one_file_a_trigger_loses_nothing(spark, scratch):
+    ev = spark.range(1000).select("id", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id * 7919 % 1000 as int))").alias("ts"))
+    ev.repartition(6).write.parquet(f"{scratch}/in")
+    audit.run(spark, f"{scratch}/in", ev.schema, f"{scratch}/out", f"{scratch}/chk", max_files_per_trigger=1)
+    assert audit.latest(spark, f"{scratch}/out", 2).agg(F.sum("n")).first()[0] == 1000
 
 
 def test_stream_audit_equals_batch(spark):

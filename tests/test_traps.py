@@ -161,6 +161,11 @@ def test_t14_error_list_and_malformed_lines(spark):
     assert got["en_r1_m_turn-1-17"] == ("hi", None, False)
     assert got["en_r1_m_turn-1-18"] == (None, "timeout; rate limit", True)
     assert got["en_r1_m_turn-1-20"] == (None, "empty", True)
+    triples = spark.createDataFrame([
+        ('[7, {"custom_id":"x-7","method":"POST"}, {"choices":[{"message":{"role":"assistant","content":"[ok]"}}]}]',),
+        ('[8, {"custom_id":"x-8"}, ["e1", "e2"], {"row": 1}]',)], "value string")
+    assert [(r.custom_id, r.content, r.error) for r in parse_completion_lines(triples).orderBy("custom_id").collect()] == [
+        ("x-7", "[ok]", None), ("x-8", None, "e1; e2")]
     malformed = [r for r in parse_completion_lines(lines).collect() if r.error == "malformed"]
     assert len(malformed) == 1 and malformed[0].content is None
 
@@ -184,6 +189,70 @@ def test_identity_decode_only_last_field(spark):
     assert [r[0] for r in bad.select(decode_row_idx(F.col("c"))).collect()] == [12, None, None, None]
 
 
+def test_new_dialogues_keeps_languages_and_requests_apart(spark):
+    """The same row index in two languages; one request has no completion, one has two equal ones."""
+    reqs = spark.createDataFrame(
+        [(f"r-d-{la}-m-{i}", [("user", f"{la}{i}")]) for la in ("en", "fr") for i in range(2)],
+        T.StructType([T.StructField("custom_id", T.StringType()), T.StructField("messages", MESSAGES)]))
+    comp = spark.createDataFrame([("r-d-en-m-0", "a"), ("r-d-fr-m-0", "b"), ("r-d-fr-m-0", "b"), ("r-d-en-m-1", "c")],
+                                 "custom_id string, content string")
+    out = {r.source: r for r in transcript.new_dialogues(comp, reqs, "user", "m", None).collect()}
+    assert len(out) == 4
+    assert out["r-d-fr-m-0"].dialogue[0].content == "b" and out["r-d-en-m-0"].scene == "en0"
+    assert out["r-d-fr-m-1"].missing and out["r-d-fr-m-1"].dialogue == []
+    import pytest
+    with pytest.raises(ValueError, match="1 requests without"):
+        transcript.require_same_ids(comp, reqs)
+
+
+def test_error_class_is_where_it_failed(spark):
+    df = spark.createDataFrame([("The server had an error", True), ("Cannot connect to host api.x.com", False),
+                                ("Rate Limit reached", True), ("rate limit", False), (None, True)], "m string, b boolean")
+    assert [r[0] for r in df.select(triage.error_kind(F.col("m"), F.col("b"))).collect()] == [
+        "api", "other", "rate_limit", "other", None]
+
+
+def test_tokens_of_all_scripts(spark):
+    df = one_col(spark, ["cœur 你好 Über-maß don't 3x"])
+    assert df.select(X.tokens("s")).first()[0] == ["cœur", "你", "好", "über", "maß", "don", "t", "x"]
+
+
+def test_two_equal_chinese_messages_are_a_repetition(spark):
+    from turnforge.operators import rules
+    msgs = spark.createDataFrame([(1, 0, "user", "你好世界"), (1, 1, "user", "你好世界")], "conv_id long, pos long, role string, content string")
+    assert {r.pos: (r.metric, r.flag) for r in rules.repetition(msgs).collect()} == {0: (0.0, False), 1: (1.0, True)}
+
+
+def test_append_turn_twice_the_same_completion(spark):
+    schema = T.StructType([T.StructField("row_idx", T.LongType()), T.StructField("dialogue", MESSAGES),
+                           T.StructField("models", T.ArrayType(T.StringType())), T.StructField("ended", T.BooleanType())])
+    d = spark.createDataFrame([(1, [("user", "a")], ["u"], False)], schema)
+    new = spark.createDataFrame([(1, "r"), (1, "r")], "row_idx long, content string")
+    rows = transcript.append_turn(d, new, ["row_idx"], "assistant", "bot").collect()
+    assert len(rows) == 1 and len(rows[0].dialogue) == 2
+
+
+def test_checkpoint_root_needs_a_shared_folder_on_a_cluster():
+    import pytest
+
+    from turnforge.session import checkpoint_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
+
+
 def test_append_turn_left_join_keeps_unmatched(spark):
     schema = T.StructType([T.StructField("row_idx", T.LongType()), T.StructField("dialogue", MESSAGES),
                            T.StructField("models", T.ArrayType(T.StringType())),

@@ -26,18 +26,17 @@ RATING_KEY = "overall_quality_rating"
 STARTER_PARAMS = {"temperature": 1.5, "top_p": 1.0, "frequency_penalty": 1.0,
                   "presence_penalty": 0.6, "max_tokens": 1024}
 STARTER_VERDICT_PARAMS = {"temperature": 0.1, "max_tokens": 64}
-USER_TURN_PARAMS = {"temperature": 0.9, "top_p": 0.95, "frequency_penalty": 0.0,
-                    "presence_penalty": 0.0, "max_tokens": 512}
+USER_TURN_PARAMS = {"temperature": 0.9, "top_p": 0.95, "frequency_penalty": 1.0,
+                    "presence_penalty": 0.6, "max_tokens": 512}
 TURN_VERDICT_MODEL = "verdict-model"
-TURN_VERDICT_TEMPERATURE = 0.1
-JUDGE_MAX_TOKENS = 2048
+TURN_VERDICT_PARAMS = {"temperature": 0.1, "top_p": 0.95, "frequency_penalty": 1.0,
+                       "presence_penalty": 0.6, "max_tokens": 512}
+JUDGE_PARAMS = {"temperature": 0.0, "top_p": 1.0, "max_tokens": 2048}
 
 MAX_STARTER_ROUNDS = 10
 MAX_TURN_ROUNDS = 5
 MAX_TRIES = 5
 
-REQUESTS_PER_MINUTE = 1000
-TOKENS_PER_MINUTE = 100_000
 COMPAT_COMPLETION_ALLOWANCE = 15
 
 CHAT_URL = "/v1/chat/completions"

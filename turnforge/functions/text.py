@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from turnforge.constants import END_MARKER
 
 # Fixed patterns.
-TOKEN_PATTERN = "[a-zà-ÿ]+"
+# A run of letters of any script, or one Han character (Chinese has no spaces between words).
+TOKEN_PATTERN = "\\p{IsHan}|[^\\P{L}\\p{IsHan}]+"
 SENTENCE_SPLIT = "[.!?。！？]+"
 PLACEHOLDER_PATTERN = "Person ?[XYZ]"
 SPEAKER_TAG_PATTERN = "(?i)(user|assistant):"
@@ -47,7 +48,7 @@ def has_end_marker(c) -> Column:
 
 
 def tokens(c) -> Column:
-    """Lower-cased letter runs (Latin letters including accented ones)."""
+    """Lower-cased letter runs, and single Han characters."""
     return F.regexp_extract_all(F.lower(_c(c)), F.lit(TOKEN_PATTERN), 0)
 
 

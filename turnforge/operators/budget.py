@@ -36,8 +36,8 @@ def estimate_tokens(messages: Column, allowance: Column | int = COMPAT_COMPLETIO
     return (per + 2 + allow.cast("bigint")).cast("bigint")
 
 
-def rate_plan(df: DataFrame, order: str, tokens: str, requests_per_minute: int, tokens_per_minute: int,
-              block_bits: int = 16) -> DataFrame:
+def rate_plan(df: DataFrame, order: str, tokens: str, requests_per_minute: int,
+              tokens_per_minute: int) -> DataFrame:
     """W4 (+ W2 ``task_id``): earliest start (seconds) of each request under both budgets, in ``order``.
 
     With all requests ready at t=0 and in-order admission, request i (1-based)
@@ -50,8 +50,7 @@ def rate_plan(df: DataFrame, order: str, tokens: str, requests_per_minute: int,
     over = F.col(tokens) > F.lit(tokens_per_minute)
     staged = df.withColumn("oversize", over)
     rt = running_totals(staged, [], order,
-                        {"_t": F.lit(1), "_i": F.when(~over, F.lit(1)), "_c": F.when(~over, F.col(tokens))},
-                        block_bits)
+                        {"_t": F.lit(1), "_i": F.when(~over, F.lit(1)), "_c": F.when(~over, F.col(tokens))})
     rt = rt.withColumn("task_id", (F.col("_t") - 1).cast("bigint")).drop("_t")      # W2
     r, k = float(requests_per_minute), float(tokens_per_minute)
     start = F.greatest(F.lit(0.0), F.lit(60.0) * (F.col("_i") - F.lit(requests_per_minute)) / F.lit(r),
@@ -61,17 +60,17 @@ def rate_plan(df: DataFrame, order: str, tokens: str, requests_per_minute: int,
 
 
 def retry_ledger(attempts: DataFrame, task: str, order: Sequence[str], success: Column, error_kind: Column,
-                 max_tries: int = MAX_TRIES) -> DataFrame:
-    """W5 + A7: tries used (<= max_tries), outcome and ordered error kinds per task.
+                 message: Column, max_tries: int = MAX_TRIES) -> DataFrame:
+    """W5 + A7: tries used (<= max_tries), outcome, ordered error kinds and error texts per task.
 
     ``row_number() <= max_tries`` lets Spark push a per-task limit below the
     shuffle (WindowGroupLimit), so a task with millions of rows ships only
     ``max_tries`` rows; the per-task arrays below are bounded by it.
     """
     w = Window.partitionBy(task).orderBy(*order)
-    first = (attempts.withColumn("_ok", success).withColumn("_kind", error_kind)
+    first = (attempts.withColumn("_ok", success).withColumn("_kind", error_kind).withColumn("_msg", message)
              .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_tries))
-    g = first.groupBy(task).agg(F.sort_array(F.collect_list(F.struct("_rn", "_ok", "_kind"))).alias("_t"))
+    g = first.groupBy(task).agg(F.sort_array(F.collect_list(F.struct("_rn", "_ok", "_kind", "_msg"))).alias("_t"))
     fs = F.array_min(F.transform(F.filter("_t", lambda t: t["_ok"]), lambda t: t["_rn"]))
     failed_tries = F.filter("_t", lambda t: t["_rn"] < F.coalesce(fs, F.lit(max_tries + 1)))
     return g.select(
@@ -81,6 +80,7 @@ def retry_ledger(attempts: DataFrame, task: str, order: Sequence[str], success:
         .otherwise("in_progress").alias("status"),
         F.size(failed_tries).cast("bigint").alias("n_errors"),
         F.array_join(F.transform(failed_tries, lambda t: t["_kind"]), ",").alias("errors"),
+        F.array_join(F.transform(failed_tries, lambda t: t["_msg"]), "; ").alias("messages"),
     )
 
 

@@ -34,15 +34,16 @@ def parse_judgements(df: DataFrame, raw: str = "raw", keys: Sequence[str] = JUDG
                        label.alias("label"), F.coalesce(F.col("_ok") & in_range, F.lit(False)).alias("is_valid"))
 
 
-def issue_rates(parsed: DataFrame, by: str = "lang", total_label: str = "ALL") -> DataFrame:
+def issue_rates(parsed: DataFrame, by: Sequence[str] = ("evaluator", "lang", "model"), total_label: str = "ALL") -> DataFrame:
     """Rate (mean label) and count of valid labels per issue and group, with a
-    per-issue total row from ``rollup``."""
+    total row per issue (its group columns are ``total_label``)."""
+    by = list(by)
     v = parsed.where(F.col("is_valid"))
-    g = v.rollup("issue", by).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                  F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"),
-                                  F.grouping(by).alias("_g"))
-    return g.where(F.col("issue").isNotNull()).select(
-        F.when(F.col("_g") == 1, F.lit(total_label)).otherwise(F.col(by)).alias(by), "issue", "n", "rate")
+    g = v.groupingSets([["issue", *by], ["issue"]], "issue", *by).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.round(F.avg(F.col("label").cast("double")), 6).alias("rate"),
+        F.grouping(by[0]).alias("_g"))
+    return g.select(*[F.when(F.col("_g") == 1, F.lit(total_label)).otherwise(F.col(c)).alias(c) for c in by],
+                    "issue", "n", "rate")
 
 
 def agreement(df: DataFrame, judge: str, truth: str, pred: str) -> DataFrame:

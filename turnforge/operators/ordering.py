@@ -1,13 +1,12 @@
 """Ordered computations that must not put one whole group into one task.
 
-``running_totals`` is a two-level prefix sum.  Rows are cut into blocks of
-``2**block_bits`` consecutive values of a unique integral order key.  Level 1
-is a window *within* (group, block); level 2 is a window over the per-block
-totals, which is ``2**block_bits`` times smaller than the data, and is joined
-back on (group, block).  A group holding a third of all rows is therefore
-spread over many tasks; the only single-task step is the window over block
-totals (a few rows per block).  AQE decides at run time whether the offsets
-table is small enough to broadcast.
+``running_totals`` is a two-level prefix sum over narrow rows (keys, order,
+values).  They are range-partitioned by (keys, order) and stored, so a block
+is a partition: its bounds are sampled quantiles of the keys, however sparse
+or skewed they are, and a group that holds most rows has many blocks.  Level
+1 is a window within (group, block); level 2 is a window over the per-block
+totals, at most one row per partition and group, joined back.  Wide columns
+(texts) are joined on at the end and never sorted.
 
 The order key must be unique within the group; otherwise two rows with the
 same key would get an arbitrary order (and the global-window oracle would
@@ -17,58 +16,52 @@ disagree).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnforge.session import stored
+
 DEFAULT_BLOCK_BITS = 12
 
 
-def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    sums: Mapping[str, Column],
-    block_bits: int = DEFAULT_BLOCK_BITS,
-) -> DataFrame:
+def _same(left: DataFrame, right: DataFrame, names: Mapping[str, str]) -> Column:
+    return reduce(Column.__and__, (left[a].eqNullSafe(right[b]) for a, b in names.items()))
+
+
+def block_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(stored narrow rows with their block ``_blk``, total of each value per group and block)."""
+    values = [F.coalesce(c, F.lit(0)).alias(f"_v_{n}") for n, c in sums.items()]
+    placed = stored(df.select(*keys, order, *values).repartitionByRange(*keys, order)
+                    .withColumn("_blk", F.spark_partition_id()), "ordered")
+    totals = placed.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    return placed, totals
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, Column]) -> DataFrame:
     """Append inclusive running sums ``name`` for each ``sums[name]`` expression.
 
     Rows whose sum expression is NULL add nothing but still receive the
     running value.
     """
-    keys = list(keys)
-    names = list(sums)
-    staged = df.withColumn("_blk", F.shiftright(F.col(order), block_bits)).withColumns(
-        {f"_v_{n}": F.coalesce(sums[n], F.lit(0)) for n in names}
-    )
+    keys, names = list(keys), list(sums)
+    placed, totals = block_totals(df, keys, order, sums)
     inner_w = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = staged.withColumns({f"_in_{n}": F.sum(f"_v_{n}").over(inner_w) for n in names})
-
-    # Block totals come from the level-1 output, which is already clustered by (keys, block):
-    # no second pass over the input and no extra exchange.
-    totals = inner.groupBy(*keys, "_blk").agg(*[F.max_by(f"_in_{n}", order).alias(f"_t_{n}") for n in names])
-    before_w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_blk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_blk").alias("_k_blk"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before_w), F.lit(0)).alias(f"_o_{n}") for n in names],
-    )
-    # Null-safe on every key: a plain equality would let the optimizer infer an ``isnotnull``
-    # filter on one side only, and the two branches would no longer share their exchange.
-    cond = [inner["_blk"].eqNullSafe(offsets["_k_blk"])] + [inner[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys]
-    joined = inner.join(offsets, cond, "inner")
-    out = joined.withColumns({n: F.col(f"_in_{n}") + F.col(f"_o_{n}") for n in names})
-    drop = ["_blk", "_k_blk"] + [f"_k_{k}" for k in keys]
-    drop += [f"_{p}_{n}" for n in names for p in ("v", "in", "o")]
-    return out.drop(*drop)
+    inner = placed.withColumns({f"_in_{n}": F.sum(f"_v_{n}").over(inner_w) for n in names})
+    before_w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_blk").alias("_k_blk"),
+                            *[F.coalesce(F.sum(f"_t_{n}").over(before_w), F.lit(0)).alias(f"_o_{n}") for n in names])
+    both = inner.join(offsets, _same(inner, offsets, {"_blk": "_k_blk", **{k: f"_k_{k}" for k in keys}}))
+    numbered = both.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col(order).alias("_n_order"),
+                           *[(F.col(f"_in_{n}") + F.col(f"_o_{n}")).alias(n) for n in names])
+    out = df.join(numbered, _same(df, numbered, {order: "_n_order", **{k: f"_n_{k}" for k in keys}}))
+    return out.drop("_n_order", *[f"_n_{k}" for k in keys])
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str = "pos",
-            base: int = 0, block_bits: int = DEFAULT_BLOCK_BITS) -> DataFrame:
+def ordinal(df: DataFrame, keys: Sequence[str], order: str, name: str = "pos", base: int = 0) -> DataFrame:
     """0-based (or ``base``-based) position of each row within ``keys`` by ``order``."""
-    out = running_totals(df, keys, order, {"_n": F.lit(1)}, block_bits)
+    out = running_totals(df, keys, order, {"_n": F.lit(1)})
     return out.withColumn(name, (F.col("_n") - 1 + base).cast("bigint")).drop("_n")
 
 

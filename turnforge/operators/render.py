@@ -124,18 +124,23 @@ def turn_verdict_prompt(scene: Column, dialogue: Column, role: Column, response:
                     role, F.lit(": "), F.coalesce(response, F.lit("")))
 
 
-def turn_verdict_requests(completions: DataFrame, dialogues: DataFrame, on: Sequence[str] = ("row_idx",),
+def turn_verdict_requests(completions: DataFrame, dialogues: DataFrame, on: Sequence[str] = ("lang", "row_idx"),
                           role: str = "user", model: str = K.TURN_VERDICT_MODEL,
-                          prompts: Mapping[str, str] = P.DEFAULT_PROMPTS) -> DataFrame:
-    """J3 + P8 + P17: completion joined to its dialogue by row index (and turn)."""
-    joined = completions.join(dialogues.select(*on, "scene", "dialogue", "lang"), list(on), "inner")
+                          prompts: Mapping[str, str] = P.DEFAULT_PROMPTS,
+                          params: Mapping = K.TURN_VERDICT_PARAMS) -> DataFrame:
+    """J3 + P8 + P17: completion joined to its dialogue by language and row index (and turn).
+
+    A row index is unique inside one language only.  The verdict keeps the
+    turn's sampling parameters but for the temperature.
+    """
+    joined = completions.join(dialogues.select(*dict.fromkeys([*on, "scene", "dialogue", "lang"])), list(on), "inner")
     prompt = turn_verdict_prompt(F.col("scene"), F.col("dialogue"), F.lit(role), F.col("content"))
     messages = F.array(msg("system", F.lit(prompts["turn_verdict_system"])), msg("user", prompt))
     attempt = F.col("attempt") if "attempt" in completions.columns else 0
     turn = F.col("turn") if "turn" in joined.columns else 0
     return _request(joined, F.col("custom_id"), "verdict", F.col("lang"), None, model, "user", turn,
                     F.col("row_idx"), attempt,
-                    messages, params_struct(temperature=K.TURN_VERDICT_TEMPERATURE))
+                    messages, params_struct(**params))
 
 
 def regeneration_block(content: Column, verdict: Column) -> Column:
@@ -173,7 +178,8 @@ def dialogue_eval_prompt(dialogue: Column) -> Column:
 
 
 def dialogue_eval_requests(dialogues: DataFrame, path: Column | str, judge_model: str,
-                           prompts: Mapping[str, str] = P.DEFAULT_PROMPTS) -> DataFrame:
+                           prompts: Mapping[str, str] = P.DEFAULT_PROMPTS,
+                           params: Mapping = K.JUDGE_PARAMS) -> DataFrame:
     """P11 over every dialogue, ended ones included."""
     from turnforge.functions.identity import eval_custom_id
     path_c = F.col(path) if isinstance(path, str) else path
@@ -181,8 +187,7 @@ def dialogue_eval_requests(dialogues: DataFrame, path: Column | str, judge_model
                        msg("user", dialogue_eval_prompt(F.col("dialogue"))))
     return _request(dialogues, eval_custom_id(path_c, F.col("row_idx")), "judge", F.col("lang"), None,
                     judge_model, "user", 0, F.col("row_idx"), 0, messages,
-                    params_struct(temperature=K.TURN_VERDICT_TEMPERATURE, max_tokens=K.JUDGE_MAX_TOKENS,
-                                  response_format="json_object"))
+                    params_struct(**params, response_format="json_object"))
 
 
 def typed_parts(messages: Column, model: Column) -> Column:

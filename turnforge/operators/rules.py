@@ -14,6 +14,7 @@ from turnforge.functions.text import has_speaker_tag, placeholder_hits, sentence
 from turnforge.operators.ordering import previous_value
 
 KEY, POS = "conv_id", "pos"
+SALTS = 4
 
 
 def concise(msgs: DataFrame, role: str = "user", max_sentences: int = 2) -> DataFrame:
@@ -35,8 +36,9 @@ def earlier_similarity(msgs: DataFrame, earlier: Column | None = None, same_role
     Exact, via an inverted index: only pairs sharing at least one token can
     have a non-zero Jaccard, so messages are exploded to distinct tokens and
     joined on ``(conv_id, [role,] token)``; pair intersections are counted with
-    a map-side partial aggregate.  The join key includes the token, so a very
-    long dialogue is spread over many tasks.  ``earlier`` optionally filters
+    a map-side partial aggregate.  A token that is common in a long dialogue is
+    spread over ``SALTS`` keys: later messages are dealt over them by position and
+    the earlier ones are copied to each.  ``earlier`` optionally filters
     which earlier messages count (e.g. only assistant ones).
     Returns ``conv_id, pos, sim`` for every message (0 when nothing matches).
     """
@@ -51,7 +53,9 @@ def earlier_similarity(msgs: DataFrame, earlier: Column | None = None, same_role
         later = later.withColumnRenamed("_rb", "_role")
         prior = prior.withColumnRenamed("_ra", "_role")
         on = [KEY, "_role", "_tok"]
-    pairs = later.join(prior, on).where(F.col("_pa") < F.col("_pb"))
+    later = later.withColumn("_salt", F.pmod(F.xxhash64("_pb"), F.lit(SALTS)))
+    prior = prior.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    pairs = later.join(prior, [*on, "_salt"]).where(F.col("_pa") < F.col("_pb"))
     inter = pairs.groupBy(KEY, "_pb", "_pa").agg(F.count(F.lit(1)).alias("_i"), F.first("_na").alias("_na"),
                                                  F.first("_nb").alias("_nb"))
     jac = F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i"))
@@ -67,24 +71,26 @@ def repetition(msgs: DataFrame, threshold: float = 0.5) -> DataFrame:
         "flag", F.col("metric") >= threshold)
 
 
-def language_profile(docs: DataFrame, lang: str = "lang", text: str = "text", top_n: int = 50) -> DataFrame:
-    """Top ``top_n`` tokens per language by count (ties by token).
+def language_profile(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(tok, lang): for every token of the corpus the language it is most frequent in (ties by name).
 
-    Partial aggregation shrinks the token stream to one row per
-    (language, token) before the shuffle; ``row_number() <= top_n`` is planned
-    as a per-partition group limit below the exchange.
+    Frequencies are counts divided by the language's tokens.  Partial
+    aggregation shrinks the token stream to one row per (language, token)
+    and task before the shuffle.
     """
     counts = docs.select(F.col(lang).alias("lang"), F.explode(tokens(F.col(text))).alias("tok")).groupBy(
         "lang", "tok").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("lang").orderBy(F.col("cnt").desc(), F.col("tok").asc())
-    return counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n).select("lang", "tok")
+    total = counts.groupBy("lang").agg(F.sum("cnt").alias("total"))
+    share = counts.join(total, "lang").withColumn("share", F.col("cnt") / F.col("total"))
+    return share.groupBy("tok").agg(
+        F.min_by("lang", F.struct((-F.col("share")).alias("s"), F.col("lang").alias("l"))).alias("lang"))
 
 
 def detect_language(msgs: DataFrame, profile: DataFrame) -> DataFrame:
-    """Best-scoring profile per message (token hits, ties by name), ``unknown`` if none.
+    """Language with most token hits per message (ties by name), ``unknown`` if none.
 
     One pass over the messages: tokens are exploded with ``explode_outer`` and
-    left-joined to the (small) profile, so a message without any hit keeps a
+    left-joined to the profile, so a message without any hit keeps a
     single NULL-language row instead of needing a join back.  The winner is
     ``min_by(lang, (-hits, lang))``.
     """
@@ -102,11 +108,11 @@ def language(msgs: DataFrame, profile: DataFrame) -> DataFrame:
     ``unknown`` counts as a mismatch unless the first user message is unknown too.
     """
     det = detect_language(msgs, profile)
-    # One window over the detections: a self-join would plan the detection subtree twice
-    # (the two sides prune different columns, so their exchanges cannot be reused).
-    is_user = F.col("role") == "user"
-    first = F.min_by(F.when(is_user, F.col("detected")), F.when(is_user, F.col(POS))).over(Window.partitionBy(KEY))
-    j = det.withColumn("_first", first)
+    # The first user message per dialogue is a partial aggregate, joined back: no dialogue is
+    # gathered into one window.
+    first = det.where(F.col("role") == "user").groupBy(F.col(KEY).alias("_k")).agg(
+        F.min_by("detected", POS).alias("_first"))
+    j = det.join(first, F.col(KEY) == F.col("_k"), "left")
     return j.select(KEY, POS, F.col("detected").alias("metric"),
                     F.coalesce(F.col("detected") != F.col("_first"), F.lit(False)).alias("flag"))
 

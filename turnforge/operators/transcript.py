@@ -43,9 +43,10 @@ def append_turn(dialogues: DataFrame, turns: DataFrame, on: Sequence[str], role:
     """Left join new texts onto the dialogue table.
 
     A text containing the end marker ends the dialogue and appends nothing;
-    unmatched dialogues pass through unchanged.
+    unmatched dialogues pass through unchanged.  A key with several texts
+    counts once (the smallest text), so a dialogue is never duplicated.
     """
-    new = turns.select(*on, F.col("content").alias("_new"), F.lit(True).alias("_matched"))
+    new = turns.groupBy(*on).agg(F.min("content").alias("_new")).withColumn("_matched", F.lit(True))
     j = dialogues.join(new, list(on), "left")
     ends = F.coalesce(F.col("_matched"), F.lit(False)) & has_end_marker(F.col("_new"))
     add = F.coalesce(F.col("_matched"), F.lit(False)) & ~ends & F.col("_new").isNotNull()
@@ -58,27 +59,39 @@ def append_turn(dialogues: DataFrame, turns: DataFrame, on: Sequence[str], role:
     }).drop("_new", "_matched")
 
 
+def require_same_ids(completions: DataFrame, requests: DataFrame) -> None:
+    """Raise unless both sides have the same ids (one count each; run before a table is built)."""
+    from turnforge.sources.io import orphans
+    row = orphans(completions.select("custom_id").distinct(), requests.select("custom_id").distinct()).first()
+    if row[0] or row[1]:
+        raise ValueError(f"{row[0]} completions without request, {row[1]} requests without completion")
+
+
 def new_dialogues(completions: DataFrame, requests: DataFrame, role: str, model: str, lang,
                   clean_mode: str = "prefix", compat_ended: bool = False) -> DataFrame:
-    """A fresh dialogue table from starter completions and their requests.
+    """A fresh dialogue table from starter completions and their requests, one row per request.
 
-    ``source`` is the request id and ``scene`` the last request message.  With
+    Joined on the whole ``custom_id`` (a row index repeats across languages).
+    ``source`` is the request id and ``scene`` the last request message.  A
+    request without completion keeps an empty dialogue, ``missing = true``; an
+    id completed more than once counts once (the smallest text).  With
     ``compat_ended`` a starter carrying the end marker still yields
     ``ended = false`` (T7); by default it is ended.
     """
-    c = completions.select(decode_row_idx(F.col("custom_id")).alias("row_idx"), F.col("content"))
+    c = completions.groupBy("custom_id").agg(F.min("content").alias("content")).withColumnRenamed("custom_id", "_id")
+    lang_c = lang if isinstance(lang, Column) else F.lit(lang)
     r = requests.select(decode_row_idx(F.col("custom_id")).alias("row_idx"), F.col("custom_id").alias("source"),
-                        F.element_at(F.col("messages"), -1)["content"].alias("scene"))
-    j = c.join(r, "row_idx", "inner")
+                        F.element_at(F.col("messages"), -1)["content"].alias("scene"), lang_c.cast("string").alias("lang"))
+    j = r.join(c, F.col("source") == F.col("_id"), "left")
     ends = has_end_marker(F.col("content"))
+    none = ends | F.col("content").isNull()
     message = F.struct(F.lit(role).alias("role"), clean(F.col("content"), clean_mode).alias("content"))
-    lang_c = lang if isinstance(lang, Column) else F.lit(lang)
     return j.select(
-        "row_idx", "source", "scene", lang_c.alias("lang"),
-        F.when(ends, F.array().cast(MESSAGES)).otherwise(F.array(message)).alias("dialogue"),
-        F.when(ends, F.array().cast("array<string>")).otherwise(F.array(F.lit(model))).alias("models"),
+        "row_idx", "source", "scene", "lang",
+        F.when(none, F.array().cast(MESSAGES)).otherwise(F.array(message)).alias("dialogue"),
+        F.when(none, F.array().cast("array<string>")).otherwise(F.array(F.lit(model))).alias("models"),
         (F.lit(False) if compat_ended else ends).alias("ended"),
-        ends.alias("ended_now"),
+        ends.alias("ended_now"), F.col("content").isNull().alias("missing"),
     )
 
 

@@ -47,13 +47,13 @@ def triage_counts(df: DataFrame, by: Sequence[str], flag: str = "accepted") -> D
     )
 
 
-def error_kind(message: Column) -> Column:
-    """classify an error message by case-insensitive text."""
-    low = F.lower(message)
+def error_kind(message: Column, from_body: Column) -> Column:
+    """an error that the service sent in a response body is an API error, any
+    other (the call raised) is ``other``; only a body's text can tell a rate limit."""
+    limited = F.coalesce(F.lower(message).contains("rate limit"), F.lit(False))
     return (F.when(message.isNull(), F.lit(None).cast("string"))
-            .when(low.contains("rate limit"), F.lit("rate_limit"))
-            .when(low.contains("api"), F.lit("api"))
-            .otherwise(F.lit("other")))
+            .when(~F.coalesce(from_body, F.lit(False)), F.lit("other"))
+            .when(limited, F.lit("rate_limit")).otherwise(F.lit("api")))
 
 
 def open_only(df: DataFrame, ended: str = "ended") -> DataFrame:

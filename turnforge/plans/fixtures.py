@@ -152,9 +152,9 @@ class Fixtures:
     # -- 3.4 ----------------------------------------------------------------
     @cached_property
     def completion_lines(self) -> DataFrame:
-        """``fx_completions`` as raw JSON lines (one per attempt-0 row)."""
-        a = self.attempts.where(F.col("attempt") == 0)
-        e = (F.col("conv_id") + F.col("pos")) % 17
+        """``fx_completions`` as raw lines, one per attempt, in all shapes of P12."""
+        a = self.attempts
+        e = (F.col("conv_id") + F.col("pos") + F.col("attempt")) % 17
         ok = F.to_json(F.struct(
             F.col("custom_id"),
             F.struct(F.struct(F.array(F.struct(F.struct(F.lit("user").alias("role"), F.col("content").alias("content"))
@@ -162,10 +162,22 @@ class Fixtures:
         err = F.to_json(F.struct(
             F.col("custom_id"),
             F.struct(F.array(*[F.lit(x) for x in ERROR_STRINGS]).alias("body")).alias("response")))
+        # The throttled caller's [task_id, request, response or errors, metadata].
+        request = F.to_json(F.struct(F.col("custom_id"), F.lit("POST").alias("method")))
+        answer = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("content").alias("content"))
+                                                     .alias("message"))).alias("choices")))
+        head = F.concat(F.lit("["), _s(F.col("conv_id")), F.lit(","), request, F.lit(","))
         line = (F.when(e == 0, err)
                 .when(e == 1, F.substring(ok, F.lit(1), F.floor(F.length(ok) / 2).cast("int")))
+                .when(e == 2, F.concat(head, answer, F.lit("]")))
+                .when(e == 3, F.concat(head, F.lit('["boom","again"],{"k":1}]')))
                 .otherwise(ok))
-        return a.select("conv_id", "pos", "flow", "lang", "custom_id", e.alias("e"), line.alias("value"))
+        return a.select("conv_id", "pos", "flow", "lang", "custom_id", "attempt", e.alias("e"), line.alias("value"))
+
+    @cached_property
+    def parsed_lines(self) -> DataFrame:
+        """``completion_lines`` with content, error and is_error."""
+        return parse_completion_lines(self.completion_lines)
 
     # -- 3.6 ----------------------------------------------------------------
     @cached_property
@@ -205,17 +217,32 @@ class Fixtures:
 def parse_completion_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Pull the text out of a completion line, keeping failures as an error column.
 
-    Fixed schemas, no inference: a malformed line, an error-list body or a
-    missing choice gives NULL content and a reason, never an exception (T14).
+    Three shapes: the batch line ``{custom_id, response}``, its form whose
+    body is a list of error strings, and the throttled caller's array
+    ``[task_id, request, response or errors, metadata?]``, whose id is the
+    request's.  Fixed schemas, no inference: a malformed line, an error list
+    or a missing choice gives NULL content and a reason, never an exception (T14).
     """
-    p = F.from_json(F.col(col), COMPLETION_WIRE, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    errs = F.from_json(F.col(col), COMPLETION_ERRORS_WIRE)
-    out = lines.withColumns({"_p": p, "_e": errs})
-    content = F.try_element_at(F.col("_p.response.body.choices"), F.lit(1))["message"]["content"]
-    error = (F.when(F.col("_e.response.body").isNotNull(), F.array_join(F.col("_e.response.body"), "; "))
-             .when(F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull(), F.lit("malformed"))
-             .when(content.isNull(), F.lit("empty")))
-    cols = {"content": content, "error": error, "is_error": content.isNull()}
+    is_array = F.ltrim(F.col(col)).startswith("[")
+    # An array's elements differ in type: each is taken as JSON text, then parsed by its own schema.
+    parts = F.when(is_array, F.from_json(F.col(col), "array<string>"))
+    triple = F.struct(F.get_json_object(F.try_element_at(parts, F.lit(2)), "$.custom_id").alias("custom_id"),
+                      F.try_element_at(parts, F.lit(3)).alias("body"))
+    opts = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    out = lines.withColumn("_t", triple).withColumn(
+        "_p", F.when(~is_array, F.from_json(F.col(col), COMPLETION_WIRE, opts)))
+    choices = F.coalesce(F.col("_p.response.body.choices"),
+                         F.from_json(F.col("_t.body"), COMPLETION_WIRE["response"].dataType["body"].dataType)["choices"])
+    out = out.withColumn("_c", F.try_element_at(choices, F.lit(1))["message"]["content"])
+    failed = F.col("_c").isNull()
+    errs = F.when(failed & ~is_array, F.from_json(F.col(col), COMPLETION_ERRORS_WIRE)["response"]["body"]).when(
+        failed & F.col("_t.body").startswith("["), F.from_json(F.col("_t.body"), "array<string>"))
+    out = out.withColumn("_e", errs)
+    broken = F.when(is_array, F.col("_t.custom_id").isNull() | F.col("_t.body").isNull()).otherwise(
+        F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull())
+    error = (F.when(~failed, F.lit(None).cast("string")).when(F.col("_e").isNotNull(), F.array_join("_e", "; "))
+             .when(F.coalesce(broken, F.lit(True)), F.lit("malformed")).otherwise(F.lit("empty")))
+    cols = {"content": F.col("_c"), "error": error, "is_error": failed}
     if "custom_id" not in lines.columns:
-        cols["custom_id"] = F.col("_p.custom_id")
-    return out.withColumns(cols).drop("_p", "_e")
+        cols["custom_id"] = F.coalesce(F.col("_p.custom_id"), F.col("_t.custom_id"))
+    return out.withColumns(cols).drop("_p", "_e", "_t", "_c")

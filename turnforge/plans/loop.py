@@ -25,6 +25,7 @@ from turnforge.operators.triage import accepted as policy_accepts
 from turnforge.operators.triage import FLOW_POLICY
 
 Step = Callable[[DataFrame], DataFrame]
+LOG_SCHEMA = "custom_id string, content string, verdict string, error string, accepted boolean, attempt int"
 
 
 @dataclass
@@ -41,6 +42,7 @@ def run_loop(spark: SparkSession, base: DataFrame, generate: Step, judge: Step,
     ``prompt`` is the round-0 prompt; later rounds use ``base`` plus, in the
     user-turn flow, one feedback block per earlier rejected attempt (P9); the
     starter flow re-sends the same request (P10).
+    An id that ``generate`` or ``judge`` leaves out stays pending.
     ``generate`` maps ``(custom_id, attempt, prompt)`` to ``(custom_id,
     attempt, content)``; ``judge`` maps that to ``(custom_id, attempt,
     verdict)``.  With ``store_steps`` (the default, required for model
@@ -52,37 +54,38 @@ def run_loop(spark: SparkSession, base: DataFrame, generate: Step, judge: Step,
     policy = FLOW_POLICY[flow]
     feedback = (flow == "turn") if feedback is None else feedback
     log_path = f"{root}/attempts"
+
+    def stored(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     # Rendered once and read back: every round reuses it without re-running its lineage.
-    base.select("custom_id", "base", "prompt").write.parquet(f"{root}/base")
-    base = spark.read.parquet(f"{root}/base")
-    pending = base.select("custom_id", F.lit(0).alias("attempt"), "prompt")
+    pending = stored(base.select("custom_id", F.lit(0).alias("attempt"), "prompt", "base"), f"{root}/pending/round=0")
     remaining: list[int] = []
     for r in range(max_rounds + 1):
-        comp = generate(pending).select("custom_id", "attempt", "content")
+        asked = pending.select("custom_id", "attempt", "prompt")
+        comp = generate(asked).select("custom_id", "attempt", "content")
         if store_steps:
-            comp.write.parquet(f"{root}/completions/round={r}")
-            comp = spark.read.parquet(f"{root}/completions/round={r}")
+            comp = stored(comp, f"{root}/completions/round={r}")
         verd = judge(comp).select("custom_id", "attempt", "verdict")
         if store_steps:
-            verd.write.parquet(f"{root}/verdicts/round={r}")
-            verd = spark.read.parquet(f"{root}/verdicts/round={r}")
-        att = comp.join(verd, ["custom_id", "attempt"], "left").withColumn(
-            "accepted", policy_accepts(F.col("verdict"), policy))
-        att.drop("attempt").write.mode("overwrite").parquet(f"{log_path}/attempt={r}")
-        this_round = spark.read.parquet(f"{log_path}/attempt={r}")
-        rejected = this_round.where(~F.col("accepted")).select("custom_id")
+            verd = stored(verd, f"{root}/verdicts/round={r}")
+        # Every pending id stays: one without a text is a rejected attempt with an error.
+        att = (pending.select("custom_id", "attempt").join(comp, ["custom_id", "attempt"], "left")
+               .join(verd, ["custom_id", "attempt"], "left"))
+        has_text = F.col("content").isNotNull()
+        att = att.select("custom_id", "content", "verdict", F.when(~has_text, F.lit("missing")).alias("error"),
+                         (has_text & policy_accepts(F.col("verdict"), policy)).alias("accepted"))
+        this_round = stored(att, f"{log_path}/attempt={r}")
+        rejected = this_round.where(~F.col("accepted"))
         remaining.append(rejected.count())
         if remaining[-1] == 0 or r == max_rounds:
             break
-        if feedback:
-            log = spark.read.parquet(log_path).join(rejected, "custom_id", "left_semi")
-            tries = log.groupBy("custom_id").agg(
-                F.sort_array(F.collect_list(F.struct("attempt", "content", "verdict"))).alias("tries"))
-            blocks = F.array_join(F.transform("tries", lambda t: regeneration_block(t["content"], t["verdict"])), "")
-            pending = tries.join(base, "custom_id").select(
-                "custom_id", F.lit(r + 1).alias("attempt"), F.concat(F.col("base"), blocks).alias("prompt"))
-        else:
-            pending = base.join(rejected, "custom_id", "left_semi").select(
-                "custom_id", F.lit(r + 1).alias("attempt"), "prompt")
-    log = spark.read.parquet(log_path)
+        again = pending.drop("attempt").join(rejected.select("custom_id", "content", "verdict"), "custom_id")
+        if feedback:  # the prompt so far and the newest block
+            so_far = F.concat("base", regeneration_block(F.col("content"), F.col("verdict")))
+            again = again.withColumn("base", so_far).withColumn("prompt", F.col("base"))
+        pending = stored(again.select("custom_id", F.lit(r + 1).alias("attempt"), "prompt", "base"),
+                         f"{root}/pending/round={r + 1}")
+    log = spark.read.schema(LOG_SCHEMA).parquet(log_path)
     return LoopResult(fold_attempts(log, ["custom_id"], flow), remaining, log_path)

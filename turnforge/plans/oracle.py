@@ -18,6 +18,7 @@ def q(s: str) -> str:
 
 LANGS_SQL = "[" + ", ".join(q(x) for x in K.LANGUAGES) + "]"
 NL = "chr(10)"
+TOKEN = q(r"\p{Han}|[^\P{L}\p{Han}]+")
 END = q(K.END_MARKER)
 
 FIXTURE_CTES = f"""
@@ -82,11 +83,12 @@ fx_fold AS (
   LEFT JOIN fx_attempts aw ON aw.custom_id = w.custom_id AND aw.attempt = w.a_star
 ),
 fx_comp AS (
-  SELECT custom_id, conv_id, pos, lang, (conv_id + pos) % 17 AS e,
-         CASE WHEN (conv_id + pos) % 17 IN (0, 1) THEN NULL ELSE content END AS content,
-         CASE WHEN (conv_id + pos) % 17 = 0 THEN 'timeout; rate limit'
-              WHEN (conv_id + pos) % 17 = 1 THEN 'malformed' END AS error
-  FROM fx_attempts WHERE attempt = 0
+  SELECT custom_id, conv_id, pos, lang, attempt, (conv_id + pos + attempt) % 17 AS e,
+         CASE WHEN (conv_id + pos + attempt) % 17 IN (0, 1, 3) THEN NULL ELSE content END AS content,
+         CASE WHEN (conv_id + pos + attempt) % 17 = 0 THEN 'timeout; rate limit'
+              WHEN (conv_id + pos + attempt) % 17 = 1 THEN 'malformed'
+              WHEN (conv_id + pos + attempt) % 17 = 3 THEN 'boom; again' END AS error
+  FROM fx_attempts
 ),
 fx_rules AS (
   SELECT m.conv_id, m.pos, m.role,
@@ -97,7 +99,7 @@ fx_rules AS (
   WHERE NOT (m.conv_id % 10 = 3 AND m.pos = 1)
 ),
 fx_tok AS (
-  SELECT conv_id, pos, role, list_distinct(regexp_extract_all(lower(content), '[a-zà-ÿ]+')) AS toks
+  SELECT conv_id, pos, role, list_distinct(regexp_extract_all(lower(content), {TOKEN})) AS toks
   FROM fx_rules
 ),
 fx_pairsim AS (
@@ -107,13 +109,14 @@ fx_pairsim AS (
          END AS jac
   FROM fx_tok b JOIN fx_tok a ON a.conv_id = b.conv_id AND a.pos < b.pos
 ),
+fx_count AS (
+  SELECT lang, tok, count(*) AS cnt FROM (SELECT lang, unnest(regexp_extract_all(lower(text), {TOKEN})) AS tok FROM documents) GROUP BY lang, tok
+),
 fx_profile AS (
-  SELECT lang, tok FROM (
-    SELECT lang, tok, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, tok ASC) AS r
-    FROM (SELECT lang, tok, count(*) AS cnt
-          FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS tok FROM documents)
-          GROUP BY lang, tok))
-  WHERE r <= 50
+  SELECT tok, lang FROM (
+    SELECT c.tok, c.lang, row_number() OVER (PARTITION BY c.tok ORDER BY c.cnt / t.total DESC, c.lang ASC) AS r
+    FROM fx_count c JOIN (SELECT lang, sum(cnt)::BIGINT AS total FROM fx_count GROUP BY lang) t USING (lang))
+  WHERE r = 1
 ),
 fx_detect AS (
   SELECT r.conv_id, r.pos, r.role, coalesce(b.lang, 'unknown') AS detected
@@ -121,7 +124,7 @@ fx_detect AS (
     SELECT conv_id, pos, lang FROM (
       SELECT conv_id, pos, lang, row_number() OVER (PARTITION BY conv_id, pos ORDER BY h DESC, lang ASC) AS rk
       FROM (SELECT t.conv_id, t.pos, p.lang, count(*) AS h
-            FROM (SELECT conv_id, pos, unnest(regexp_extract_all(lower(content), '[a-zà-ÿ]+')) AS tok FROM fx_rules) t
+            FROM (SELECT conv_id, pos, unnest(regexp_extract_all(lower(content), {TOKEN})) AS tok FROM fx_rules) t
             JOIN fx_profile p ON p.tok = t.tok GROUP BY t.conv_id, t.pos, p.lang))
     WHERE rk = 1) b ON b.conv_id = r.conv_id AND b.pos = r.pos
 ),
@@ -159,7 +162,9 @@ fx_parsed2 AS (
 ),
 fx_ledger0 AS (
   SELECT task, rn, event_type IN ('click', 'purchase') AS ok,
-         CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'view' THEN 'api' WHEN 'signup' THEN 'other' END AS kind
+         CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'view' THEN 'api' WHEN 'signup' THEN 'other' END AS kind,
+         CASE event_type WHEN 'error' THEN 'Rate limit reached, retry later' WHEN 'view' THEN 'The server had an error'
+              WHEN 'signup' THEN 'Cannot connect to host api.x.com: rate limit?' END AS message
   FROM (SELECT user_id * 10 + event_id % 10 AS task, event_type,
                row_number() OVER (PARTITION BY user_id * 10 + event_id % 10 ORDER BY ts, event_id) AS rn
         FROM events)
@@ -170,7 +175,8 @@ fx_ledger AS (
          CAST(coalesce(s.fs, count(*)) AS BIGINT) AS tries,
          CASE WHEN s.fs IS NOT NULL THEN 'succeeded' WHEN count(*) >= {K.MAX_TRIES} THEN 'failed' ELSE 'in_progress' END AS status,
          CAST(count(*) FILTER (WHERE l.rn < coalesce(s.fs, {K.MAX_TRIES + 1})) AS BIGINT) AS n_errors,
-         coalesce(string_agg(l.kind, ',' ORDER BY l.rn) FILTER (WHERE l.rn < coalesce(s.fs, {K.MAX_TRIES + 1})), '') AS errors
+         coalesce(string_agg(l.kind, ',' ORDER BY l.rn) FILTER (WHERE l.rn < coalesce(s.fs, {K.MAX_TRIES + 1})), '') AS errors,
+         coalesce(string_agg(l.message, '; ' ORDER BY l.rn) FILTER (WHERE l.rn < coalesce(s.fs, {K.MAX_TRIES + 1})), '') AS messages
   FROM fx_ledger0 l JOIN (SELECT task, min(rn) FILTER (WHERE ok) AS fs FROM fx_ledger0 GROUP BY task) s USING (task)
   GROUP BY l.task, s.fs
 )
@@ -226,24 +232,32 @@ FROM (SELECT doc_id, lang, text, CAST(row_number() OVER (PARTITION BY lang ORDER
 """
 
 ORACLE["starter_verdict_requests"] = f"""
-SELECT custom_id, content AS user_content, CAST({K.STARTER_VERDICT_PARAMS['temperature']} AS DOUBLE) AS temperature,
+SELECT custom_id, a.attempt, content AS user_content, CAST({K.STARTER_VERDICT_PARAMS['temperature']} AS DOUBLE) AS temperature,
        CAST({K.STARTER_VERDICT_PARAMS['max_tokens']} AS BIGINT) AS max_tokens
-FROM fx_attempts WHERE flow = 'starter' AND attempt = 0
+FROM fx_attempts a JOIN fx_win w USING (custom_id) WHERE a.flow = 'starter' AND (w.a_star IS NULL OR a.attempt <= w.a_star)
+"""
+
+ORACLE["seed_scenes"] = """
+SELECT CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS scene_id, text AS scene FROM documents
 """
 
+# Sampling values of the turn requests, by hand.
+TURN_SAMPLING = ("0.9::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, 1.0::DOUBLE AS frequency_penalty, "
+                 "0.6::DOUBLE AS presence_penalty, 512::BIGINT AS max_tokens")
+
 ORACLE["user_turn_requests"] = f"""
 SELECT d.lang || '_r1_m1_turn-' || u.pos || '-' || u.conv_id AS custom_id,
-       {USER_PROMPT_BASE} || {q(P.DEFAULT_PROMPTS['user_turn_cue'])} AS prompt
+       {USER_PROMPT_BASE} || {q(P.DEFAULT_PROMPTS['user_turn_cue'])} AS prompt, {TURN_SAMPLING}
 FROM fx_msgs u JOIN fx_dial d USING (conv_id)
 WHERE u.role = 'user' AND u.pos > 0 AND u.conv_id % 6 <> 5
 """
 
 ORACLE["assistant_turn_requests"] = f"""
 SELECT d.lang || '_r1_m2_turn-' || u.pos || '-' || u.conv_id AS custom_id, CAST(0 AS BIGINT) AS msg_pos,
-       'system' AS role, {q(P.DEFAULT_PROMPTS['assistant_system'])} AS content
+       'system' AS role, {q(P.DEFAULT_PROMPTS['assistant_system'])} AS content, {TURN_SAMPLING}
 FROM fx_msgs u JOIN fx_dial d USING (conv_id) WHERE u.role = 'assistant'
 UNION ALL
-SELECT d.lang || '_r1_m2_turn-' || u.pos || '-' || u.conv_id, h.pos + 1, h.role, h.content
+SELECT d.lang || '_r1_m2_turn-' || u.pos || '-' || u.conv_id, h.pos + 1, h.role, h.content, {TURN_SAMPLING}
 FROM fx_msgs u JOIN fx_dial d USING (conv_id) JOIN fx_msgs h ON h.conv_id = u.conv_id AND h.pos < u.pos
 WHERE u.role = 'assistant'
 """
@@ -255,17 +269,19 @@ SELECT custom_id, msg_pos, 'text' AS part_type, content AS part_text FROM (
 """
 
 ORACLE["turn_verdict_requests"] = f"""
-SELECT u.custom_id,
+SELECT u.custom_id, u.attempt, 0.1::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, 1.0::DOUBLE AS frequency_penalty,
+       0.6::DOUBLE AS presence_penalty, 512::BIGINT AS max_tokens,
        {q(P.SCENE_HEAD)} || d.scene || {NL} || {NL} || {q(P.HISTORY_HEAD)}
        || {hist('h.conv_id = u.conv_id AND h.pos < u.pos', 'keep', terminate=True)}
        || {q(P.RESPONSE_HEAD)} || 'user: ' || u.content AS prompt
-FROM fx_attempts u JOIN fx_dial d USING (conv_id)
-WHERE u.flow = 'turn' AND u.attempt = 0
+FROM fx_attempts u JOIN fx_dial d USING (conv_id) JOIN fx_win w ON w.custom_id = u.custom_id
+WHERE u.flow = 'turn' AND (w.a_star IS NULL OR u.attempt <= w.a_star)
 """
 
 ORACLE["dialogue_eval_requests"] = f"""
 SELECT 'dialogues/' || d.lang || '/user-a_bot-1-' || d.conv_id AS custom_id,
-       {q(P.DIALOGUE_HEAD)} || {hist('h.conv_id = d.conv_id', 'keep')} AS prompt
+       {q(P.DIALOGUE_HEAD)} || {hist('h.conv_id = d.conv_id', 'keep')} AS prompt,
+       0.0::DOUBLE AS temperature, 1.0::DOUBLE AS top_p, 2048::BIGINT AS max_tokens, 'json_object' AS response_format
 FROM fx_dial d
 """
 
@@ -291,24 +307,30 @@ WHERE r.flow = 'starter' AND r.attempt >= 1 AND r.attempt <= coalesce(w.a_star,
 """
 
 ORACLE["completion_extract"] = """
-SELECT custom_id, content, content IS NULL AS is_error FROM fx_comp
+SELECT CASE WHEN e = 1 THEN NULL ELSE custom_id END AS custom_id, attempt, content, error, content IS NULL AS is_error FROM fx_comp
+"""
+
+ORACLE["completion_files"] = """
+SELECT custom_id, attempt, content, error FROM fx_comp WHERE e <> 1
 """
 
 ORACLE["replay_complete"] = """
 SELECT a.custom_id, a.attempt, c.content, CASE WHEN c.custom_id IS NULL THEN 'missing' ELSE c.error END AS error
-FROM fx_attempts a LEFT JOIN fx_comp c ON c.custom_id = a.custom_id AND a.attempt = 0
-WHERE a.attempt <= 1
+FROM fx_attempts a LEFT JOIN fx_comp c ON c.custom_id = a.custom_id AND c.attempt = a.attempt AND a.attempt <= 3 AND c.e <> 1
 """
 
 ORACLE["echo_complete"] = """
-SELECT custom_id, 'echo: ' || content AS content FROM fx_attempts WHERE attempt = 0
+SELECT custom_id, attempt, CASE WHEN bad THEN NULL ELSE 'echo: ' || content END AS content,
+       CASE WHEN bad THEN 'refused; refused; refused; refused; refused' END AS error,
+       CAST(CASE WHEN bad THEN 5 ELSE 1 END AS BIGINT) AS tries
+FROM (SELECT *, attempt = 0 AND ends_with(custom_id, '7') AS bad FROM fx_attempts)
 """
 
 ORACLE["clean_response"] = """
-SELECT conv_id, pos, trim(trim(content, '"'), 'user: ') AS compat_text,
+SELECT conv_id, pos, attempt, trim(trim(content, '"'), 'user: ') AS compat_text,
        CASE WHEN starts_with(trim(content, '"'), 'user: ') THEN substring(trim(content, '"'), 7)
             ELSE trim(content, '"') END AS prefix_text
-FROM fx_attempts WHERE attempt = 0
+FROM fx_attempts
 """
 
 for _flow in ("starter", "turn"):
@@ -360,11 +382,14 @@ FROM lastu l LEFT JOIN lastb b USING (conv_id) LEFT JOIN newt n USING (conv_id)
 """
 
 ORACLE["new_dialogues"] = f"""
-SELECT d.row_idx, 'r1-fx-' || d.lang || '-m1-' || d.conv_id AS source, d.scene,
-       CAST(CASE WHEN contains(f.final_content, {END}) THEN 0 ELSE 1 END AS BIGINT) AS n_msgs,
-       contains(f.final_content, {END}) AS ended_default, false AS ended_compat
-FROM fx_fold f JOIN fx_dial d ON d.conv_id = f.conv_id
-WHERE f.flow = 'starter'
+WITH r AS (
+  SELECT lang, text AS scene, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS row_idx FROM documents
+)
+SELECT row_idx, 'r1-docs-' || lang || '-m1-' || row_idx AS source, lang, scene || {q(P.LANG_LINE)} || lang AS scene,
+       CAST(CASE WHEN row_idx % 11 = 5 OR row_idx % 10 = 3 THEN 0 ELSE 1 END AS BIGINT) AS n_msgs,
+       CASE WHEN row_idx % 11 <> 5 AND row_idx % 10 <> 3 THEN 'Hello r1-docs-' || lang || '-m1-' || row_idx END AS first_content,
+       row_idx % 11 <> 5 AND row_idx % 10 = 3 AS ended_default, false AS ended_compat, row_idx % 11 = 5 AS missing
+FROM r
 """
 
 ORACLE["end_rates"] = f"""
@@ -381,8 +406,8 @@ FROM t, n
 """
 
 ORACLE["orphan_check"] = """
-WITH v AS (SELECT custom_id FROM fx_attempts WHERE attempt = 0 AND conv_id % 12 <> 0),
-c AS (SELECT custom_id FROM fx_comp WHERE conv_id % 12 <> 1)
+WITH v AS (SELECT custom_id || '/' || attempt AS custom_id FROM fx_attempts WHERE conv_id % 12 <> 0),
+c AS (SELECT custom_id || '/' || attempt AS custom_id FROM fx_comp WHERE conv_id % 12 <> 1)
 SELECT 'verdict_without_completion' AS side,
        CAST((SELECT count(*) FROM v WHERE custom_id NOT IN (SELECT custom_id FROM c)) AS BIGINT) AS n
 UNION ALL
@@ -411,7 +436,9 @@ SELECT l.lang, u.user_model, t.target_model, CAST(coalesce(c.n, 0) AS BIGINT) AS
 FROM (SELECT unnest({LANGS_SQL}) AS lang) l
 CROSS JOIN (SELECT unnest(['user-a', 'user-b']) AS user_model) u
 CROSS JOIN (SELECT unnest(['bot-1', 'bot-2', 'bot-3', 'bot-4', 'bot-5', 'bot-6', 'bot-7', 'bot-8']) AS target_model) t
-LEFT JOIN (SELECT lang, count(*) AS n FROM fx_dial GROUP BY lang) c ON c.lang = l.lang
+LEFT JOIN (
+  SELECT lang, ['user-a', 'user-b'][(conv_id // 6) % 2 + 1] AS u, 'bot-' || ((conv_id // 12) % 8 + 1) AS t, count(*) AS n
+  FROM fx_dial GROUP BY ALL) c ON c.lang = l.lang AND c.u = u.user_model AND c.t = t.target_model
 """
 
 ORACLE["token_estimates"] = """
@@ -436,7 +463,7 @@ FROM e LEFT JOIN r USING (doc_id)
 """
 
 ORACLE["attempt_ledger"] = """
-SELECT task, tries, status, n_errors, errors FROM fx_ledger
+SELECT task, tries, status, n_errors, errors, messages FROM fx_ledger
 """
 
 ORACLE["run_counters"] = """
@@ -496,10 +523,13 @@ SELECT custom_id, issue, label, is_valid FROM fx_parsed2
 """
 
 ORACLE["issue_rates"] = """
-SELECT coalesce(d.lang, 'ALL') AS lang, p.issue, CAST(count(*) AS BIGINT) AS n, round(avg(p.label), 6) AS rate
-FROM fx_parsed2 p JOIN documents d USING (doc_id)
-WHERE p.is_valid
-GROUP BY GROUPING SETS ((p.issue, d.lang), (p.issue))
+WITH x AS (
+  SELECT 'judge-' || (p.doc_id % 2) AS evaluator, d.lang, 'bot-' || (p.doc_id % 3 + 1) AS model, p.issue, p.label
+  FROM fx_parsed2 p JOIN documents d USING (doc_id) WHERE p.is_valid
+)
+SELECT evaluator, lang, model, issue, CAST(count(*) AS BIGINT) AS n, round(avg(label), 6) AS rate FROM x GROUP BY ALL
+UNION ALL
+SELECT 'ALL', 'ALL', 'ALL', issue, CAST(count(*) AS BIGINT), round(avg(label), 6) FROM x GROUP BY issue
 """
 
 ORACLE["judge_agreement"] = """
@@ -532,11 +562,22 @@ WHERE r <= 5
 
 
 ORACLE["stream_ingest"] = """
-SELECT custom_id, content FROM fx_comp WHERE e > 1
+SELECT CASE WHEN e = 1 THEN NULL ELSE custom_id END AS custom_id, attempt, content, error FROM fx_comp
 """
 ORACLE["stream_rate_audit"] = ORACLE["rate_audit"]
-ORACLE["turn_loop"] = ORACLE["turn_fold"]
-ORACLE["starter_loop"] = ORACLE["starter_fold"]
+# The answers of attempt 0 are missing for some conversations: those attempts are rejected without a text.
+for _flow, _last in (("turn", K.MAX_TURN_ROUNDS), ("starter", K.MAX_STARTER_ROUNDS)):
+    _none = END if _flow == "turn" else "a0.content"
+    ORACLE[f"{_flow}_loop"] = f"""
+WITH l AS (
+  SELECT *, conv_id % 13 = 6 AND attempt = 0 AS lost FROM fx_attempts WHERE flow = '{_flow}'
+),
+w AS (SELECT custom_id, min(attempt) FILTER (WHERE accepted AND NOT lost) AS a FROM l GROUP BY custom_id)
+SELECT w.custom_id, w.a AS winning_attempt,
+       CASE WHEN w.a IS NOT NULL THEN x.content ELSE {_none} END AS final_content
+FROM w LEFT JOIN l x ON x.custom_id = w.custom_id AND x.attempt = w.a
+LEFT JOIN l a0 ON a0.custom_id = w.custom_id AND a0.attempt = 0 AND NOT a0.lost
+"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,13 +17,7 @@ from turnforge import schemas as S
 from turnforge.operators.render import request_json
 from turnforge.plans.fixtures import parse_completion_lines
 
-JSON5_OPTIONS = {
-    "multiLine": "true",
-    "allowComments": "true",
-    "allowSingleQuotes": "true",
-    "allowUnquotedFieldNames": "true",
-    "mode": "PERMISSIVE",
-}
+JSON5_OPTIONS = {"allowComments": "true", "allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
 
 
 def read_scenes_json5(spark: SparkSession, path: str, scene_field: str | None = None) -> DataFrame:
@@ -31,12 +25,11 @@ def read_scenes_json5(spark: SparkSession, path: str, scene_field: str | None =
 
     Comments, single quotes and bare keys are accepted; trailing commas are
     not.  A multi-line array is one unsplittable task, so large seed sets
-    belong in JSONL or Parquet (``read_scenes``).  ``_metadata.row_index``
-    within the single file gives the element position.
+    belong in JSONL or Parquet (``read_scenes``).  ``path`` is one file:
+    ids are positions in its array.
     """
-    raw = spark.read.options(**JSON5_OPTIONS).text(path, wholetext=True)
-    arr = F.from_json(F.col("value"), "array<string>", {"allowComments": "true", "allowSingleQuotes": "true",
-                                                        "allowUnquotedFieldNames": "true"})
+    raw = spark.read.text(path, wholetext=True)
+    arr = F.from_json(F.col("value"), "array<string>", JSON5_OPTIONS)
     out = raw.select(F.posexplode(arr).alias("scene_id", "scene"))
     if scene_field:
         out = out.withColumn("scene", F.get_json_object("scene", f"$.{scene_field}"))
@@ -61,7 +54,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def read_completions(spark: SparkSession, path: str) -> DataFrame:
     """S2 + P12: completion lines to ``custom_id, content, error, is_error``."""
     lines = spark.read.text(path)
-    return parse_completion_lines(lines).select("custom_id", "content", "error", "is_error")
+    extra = [c for c in lines.columns if c != "value"]  # partition columns, e.g. the attempt
+    return parse_completion_lines(lines).select("custom_id", *extra, "content", "error", "is_error")
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
@@ -78,11 +72,22 @@ def write_requests_jsonl(requests: DataFrame, path: str, sort_for_export: bool =
 
 
 def write_completions_jsonl(completions: DataFrame, path: str) -> None:
-    """Normalised ``{custom_id, response.body.choices[0].message}`` lines."""
+    """Normalised ``{custom_id, response.body.choices[0].message}`` lines.
+
+    A row without content is written in the failure form, its body a list with
+    the error; ``model`` is kept if the table has it; an ``attempt`` column
+    becomes the folder ``attempt=N``.
+    """
+    model = F.col("model") if "model" in completions.columns else F.lit(None).cast("string")
+    error = F.col("error") if "error" in completions.columns else F.lit(None).cast("string")
     msg = F.struct(F.lit("assistant").alias("role"), F.col("content").alias("content"))
-    body = F.struct(F.array(F.struct(msg.alias("message"))).alias("choices"))
-    line = F.to_json(F.struct(F.col("custom_id"), F.struct(body.alias("body")).alias("response")))
-    completions.select(line.alias("value")).write.mode("overwrite").text(path)
+    body = F.struct(model.alias("model"), F.array(F.struct(msg.alias("message"))).alias("choices"))
+    good = F.to_json(F.struct(F.col("custom_id"), F.struct(body.alias("body")).alias("response")))
+    failed = F.array(F.coalesce(error, F.lit("empty")))
+    bad = F.to_json(F.struct(F.col("custom_id"), F.struct(failed.alias("body")).alias("response")))
+    parts = ["attempt"] if "attempt" in completions.columns else []
+    out = completions.select(F.when(F.col("content").isNotNull(), good).otherwise(bad).alias("value"), *parts)
+    out.write.mode("overwrite").partitionBy(*parts).text(path)
 
 
 def write_dialogues(dialogues: DataFrame, path: str, partition_by: Sequence[str] = ("lang",),

@@ -1,13 +1,7 @@
-"""Read the input tables (one Parquet file or directory per table).
+"""Read the input tables (one Parquet file or directory per table), with declared schemas.
 
-A table stored as one file with a single row group scans as ONE task, so all
-row-level work before the first shuffle (tokenising document text,
-rendering prompts) would run on one core.  ``read_table`` therefore checks
-the scan's split count and, only when it is below the cluster's default
-parallelism, hash-partitions the rows by the table's natural key.  On a
-cluster reading many files the check is a no-op; when it fires the hash
-key is the one later group-bys use (``conv_id``, ``doc_id``), so that
-exchange is reused rather than added.
+The plan is the same at every size: how a scan is split is up to the file
+layout and ``spark.sql.files.maxPartitionBytes``.
 """
 
 from __future__ import annotations
@@ -17,11 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-# Natural key per table used when a single-split scan is spread.
-SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "events": "event_id", "labels": "doc_id",
-               "pages": "page_id"}
-
-
 # Declared input schemas (no inference; also saves a footer read per scan on the driver).
 SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
@@ -31,28 +20,6 @@ SCHEMAS = {
 }
 
 
-SPREAD_BYTES_PER_PARTITION = 1 << 20
-
-
-def _input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Total size of the files behind a scan (file-system metadata only, no data read)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    total = 0
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
-    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = SPREAD_KEYS.get(name)
-    if spread and key:
-        target = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-        if splits < target:
-            wanted = min(2 * target, -(-_input_bytes(spark, df) // SPREAD_BYTES_PER_PARTITION))
-            if wanted > splits:
-                df = df.repartition(int(wanted), key)
-    return df
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

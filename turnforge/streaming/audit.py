@@ -1,10 +1,9 @@
 """ST2: per-minute request load against a rate limit, as a stream.
 
-Event-time 1-minute windows with a watermark; ``update`` output through
-``foreachBatch`` into an append-only Parquet log of ``(batch, minute, n)``.
-The latest value per minute is the answer, so no window is lost when the
-stream stops before the watermark passes it, and no result is held on the
-driver.
+Each micro-batch is counted by minute and written to a folder of its own,
+named by the batch (a batch that is run again replaces it).  The load of a
+minute is the sum over batches, so events may come in any order and any
+number of triggers: none is late, and no state is kept between batches.
 """
 
 from __future__ import annotations
@@ -13,32 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+LOG_SCHEMA = "minute string, n bigint, batch_id bigint"
 
-def load_stream(spark: SparkSession, src_dir: str, schema: StructType, ts: str, delay: str,
+
+def load_stream(spark: SparkSession, src_dir: str, schema: StructType,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = reader.parquet(src_dir).withWatermark(ts, delay)
-    return ev.groupBy(F.window(F.col(ts), "1 minute").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return reader.parquet(src_dir)
 
 
 def run(spark: SparkSession, src_dir: str, schema: StructType, out_dir: str, checkpoint: str, ts: str = "ts",
-        delay: str = "10 minutes", max_files_per_trigger: int | None = None) -> None:
-    agg = load_stream(spark, src_dir, schema, ts, delay, max_files_per_trigger)
-
+        max_files_per_trigger: int | None = None) -> None:
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.lit(batch_id).cast("bigint").alias("batch_id"),
-                      F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss").alias("minute"),
-                      F.col("n").cast("bigint").alias("n"))
-         .write.mode("append").parquet(out_dir))
+        minute = F.date_format(F.window(F.col(ts), "1 minute")["start"], "yyyy-MM-dd HH:mm:ss")
+        (batch.where(F.col(ts).isNotNull()).groupBy(minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}"))
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    q = (load_stream(spark, src_dir, schema, max_files_per_trigger).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def latest(spark: SparkSession, out_dir: str, limit: int) -> DataFrame:
-    log = spark.read.parquet(out_dir)
-    g = log.groupBy("minute").agg(F.max_by(F.col("n"), F.col("batch_id")).alias("n"))
+    """Load per minute over all batches so far."""
+    g = spark.read.schema(LOG_SCHEMA).parquet(out_dir).groupBy("minute").agg(F.sum("n").cast("bigint").alias("n"))
     return g.select("minute", "n", (F.col("n") > limit).alias("over_limit"))

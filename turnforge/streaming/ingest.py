@@ -1,10 +1,12 @@
 """ST1: ingest completion files that land out of order and may repeat.
 
-``readStream`` (text lines, no inference) -> parse -> de-duplicate on
-``(custom_id, attempt)`` -> Parquet sink.  For a bounded backlog use
-``trigger(availableNow=True)``; the de-duplication state then covers exactly
-the files present.  For an unbounded run pass ``watermark`` (an event-time
-column and delay): ``dropDuplicatesWithinWatermark`` bounds the state.
+``readStream`` (text lines, no inference) -> parse -> de-duplicate on id and
+attempt -> Parquet sink.  The attempt is the ``attempt=N`` folder a file is in
+(0 without one): regenerated completions keep their ``custom_id``.  A line
+without an id is a dead letter, told from others by the hash of its text.
+For a bounded backlog use ``trigger(availableNow=True)``; the de-duplication
+state then covers exactly the files present.  For an unbounded run pass
+``watermark``: ``dropDuplicatesWithinWatermark`` bounds the state.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from turnforge.plans.fixtures import parse_completion_lines
 
-KEYS = ["custom_id", "attempt"]
+KEYS = ["line_key", "attempt"]
 
 
 def completion_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None,
@@ -22,16 +24,18 @@ def completion_stream(spark: SparkSession, src_dir: str, max_files_per_trigger:
     """Parsed, de-duplicated completion stream.
 
     ``watermark`` (a delay such as ``"1 hour"``) switches to
-    ``dropDuplicatesWithinWatermark`` on the file's arrival time
-    (``_metadata.file_modification_time``), which bounds the state of an
-    unbounded run; without it the state covers every key seen.
+    ``dropDuplicatesWithinWatermark`` on the time a line is read, so no line is
+    ever late, however old its file is; without it the state covers every key seen.
     """
-    reader = spark.readStream.format("text")
+    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.load(src_dir).select("value", F.col("_metadata.file_modification_time").alias("arrived"))
-    parsed = parse_completion_lines(lines).withColumn("attempt", F.lit(0))
-    parsed = parsed.select("custom_id", "attempt", "content", "error", "is_error", "arrived")
+    attempt = F.regexp_extract(F.col("_metadata.file_path"), "/attempt=([0-9]+)/", 1)
+    lines = reader.load(src_dir).select("value", F.coalesce(attempt.try_cast("int"), F.lit(0)).alias("attempt"),
+                                        F.current_timestamp().alias("arrived"))
+    parsed = parse_completion_lines(lines)
+    key = F.coalesce(F.concat(F.lit("id:"), "custom_id"), F.concat(F.lit("text:"), F.sha2(F.coalesce("value", F.lit("")), 256)))
+    parsed = parsed.select(key.alias("line_key"), "custom_id", "attempt", "content", "error", "is_error", "arrived")
     if watermark:
         return parsed.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(KEYS)
     return parsed.dropDuplicates(KEYS)
