@@ -23,7 +23,6 @@ each; null ids stay null; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
 from array import array
@@ -35,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnforge.llm.common import stored
+from turnforge.llm import words as W
+from turnforge.llm.common import chunks, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -44,7 +44,8 @@ CACHE_BYTES = 48  # longer words are not kept
 BLOCK_BITS = 10
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long"
-STOP = re.compile(rb"(?<=[a-z0-9])([.,])")
+STOPS = np.isin(np.arange(256), [ord("."), ord(",")])
+ASCII_ALNUM = W.ALNUM & (np.arange(256) < 128)
 _CACHE: dict = {}
 
 
@@ -61,12 +62,13 @@ def little_endian(ids: list[int]) -> bytes:
 
 
 class WordIds:
-    """Ids, as little-endian bytes, of texts; remembers those of recent words.
+    """Ids of texts; remembers those of recent words.
 
     A text is cut at ASCII white space and before a full stop or comma that
     follows an ASCII letter or digit: the tokenizer cuts there too, and it
-    lower-cases, so that one entry serves many forms of a word.  Words in use stay:
-    those of the last two generations of CACHE_WORDS words are kept.
+    lower-cases, so that one entry serves many forms of a word.  Words are
+    told by their 64-bit names.  Words in use stay: those of the last two generations of
+    CACHE_WORDS words are kept.
     """
 
     def __init__(self, path: str):
@@ -74,27 +76,36 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.kept: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.kept: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        split = [STOP.sub(rb" \1", t.lower()).split() for t in texts]
-        words = set().union(*split)
-        if len(self.kept) + len(words) > CACHE_WORDS:
+    def words(self, name: list[int], start: np.ndarray, end: np.ndarray, low: bytes) -> list[bytes]:
+        """Ids of the distinct words with these names and places, as little-endian bytes."""
+        if len(self.kept) + len(name) > CACHE_WORDS:
             self.older, self.kept = self.kept, {}
         known, older = self.kept, self.older
-        new = words.difference(known)
-        again = new.intersection(older)
-        known.update((w, older[w]) for w in again)
-        new = list(new - again)
-        for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = little_endian(e.ids)
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in new:
-            if len(w) > CACHE_BYTES:
-                del known[w]
+        out = [known.get(n) or older.get(n) for n in name]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(new, self.encode([low[start[k]:end[k]].decode() for k in new], add_special_tokens=False), strict=True):
+            out[k] = little_endian(e.ids)
+        known.update((n, ids) for n, ids, s, e in zip(name, out, start, end, strict=True) if e - s <= CACHE_BYTES)
         return out
 
+    def of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's begin (one more at the end)."""
+        stop = np.flatnonzero(STOPS[buf[1:]] & ASCII_ALNUM[buf[:-1]]) + 1
+        start, end, first = W.spans(buf, off, W.NOT_SPACE, stop)
+        if not len(start):
+            return np.empty(0, "<u4"), np.zeros(len(off), np.int64)
+        name, at, word = np.unique(W.names(buf, start, end), return_index=True, return_inverse=True)
+        ids = self.words(name.tolist(), start[at], end[at], W.LOWER[buf].tobytes())
+        size = np.array([len(x) for x in ids]) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        before = np.cumsum(size) - size
+        n = size[word]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.repeat(before[word] - upto[:-1], n) + np.arange(upto[-1])], upto[first]
+
 
 def word_ids(path: str) -> WordIds:
     if _CACHE.get("path") != path:
@@ -104,25 +115,24 @@ def word_ids(path: str) -> WordIds:
 
 def _cut(path: str, capacity: int, end_id: int):
     end = little_endian([end_id])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def cut(batches):
         encoder, task = word_ids(path), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+        seen = [0] * (capacity + 1)
         for batch in batches:
-            doc, text = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(doc), 256):
+            doc = batch.column(0).to_pylist()
+            for lo, hi, buf, off in chunks(batch):
+                ids, first = encoder.of(buf, off)
                 rows = []
-                for d, ids in zip(doc[lo:lo + 256], encoder.of(text.slice(lo, 256).cast(pa.binary()).to_pylist()), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at:at + 4 * capacity]
+                for k in range(hi - lo):
+                    raw = ids[first[k]:first[k + 1]].tobytes() + end
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at:at + 4 * capacity]
                         n = len(part) // 4
-                        rows.append((d, k, at // 4, n, zlib.crc32(part), task, int(seen[n])))
+                        rows.append((doc[lo + k], piece, at // 4, n, zlib.crc32(part), task, seen[n]))
                         seen[n] += 1
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "ordinal"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "ordinal"])
     return cut
 
 

@@ -51,13 +51,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n + 1], down[:n + 1]
 
 
-def spans(buf: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each text the number of words before it (one more at the end)."""
+def spans(buf: np.ndarray, off: np.ndarray, member: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and for each text the number of words before it (one more at the end).
+
+    A word also begins at each place in ``cuts``.
+    """
     n = len(buf)
     w = np.zeros(n + 2, bool)
     w[1:-1] = member[buf]
     cut = np.zeros(n + 1, bool)  # a text begins here
     cut[off] = True
+    if cuts is not None:
+        cut[cuts] = True
     starts = np.flatnonzero(w[1:-1] & (~w[:-2] | cut[:-1]))
     ends = np.flatnonzero(w[1:-1] & (~w[2:] | cut[1:])) + 1
     return starts, ends, np.searchsorted(starts, off, "left")
