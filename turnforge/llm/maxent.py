@@ -16,7 +16,7 @@ among the features.  Each round, tasks sum the expected counts over all training
 texts, Spark adds the tasks' blocks up, and the weights take a step along the
 gradient, observed minus expected, divided by the counts.
 
-Counts of the ``HEAD`` commonest words travel with the tasks; the other words of a text
+Counts of the commonest words, at most ``HEAD``, travel with the tasks; the other words of a text
 are joined with the table of counts.
 
 Cases: a null or empty text is one token, the end; without training texts all counts are
@@ -43,12 +43,13 @@ CLASSES = 1 + SINGLES + SUFFIXES
 BUCKETS = 1 << 15
 FEATURES = 3
 HEAD = 1 << 17
-ROUNDS = 2
-RATE = 0.6
+ROUNDS = 1
+RATE = 0.8
 PRIOR = 200.0
 BLOCK = 256  # rows of weights in a block that tasks send
 END = np.uint64(0x454E44)  # the end's name; words' names are mixed hashes
 CHUNK = 1 << 20
+STEP = 1 << 12  # tokens scored at once: their scores stay in the processor's cache
 
 
 @dataclass
@@ -99,17 +100,21 @@ def features(t: Tokens) -> np.ndarray:
     return np.stack([W.mix(before[0] + W.U(1)) & low, W.mix(before[1] * W.MULT + W.U(2)) & low, W.mix(W.mix(before[0]) * W.MULT + before[1]) & low], axis=1).astype(np.int64)
 
 
-def class_logs(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Natural logarithms of P(class | history) for each token's features."""
-    z = weights[f[:, 0]]
+def raw_scores(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Summed weights of each token's features, by class; the bias is in the weights (``with_bias``)."""
+    z = weights.take(f[:, 0], axis=0)
+    part = np.empty_like(z)
     for k in range(1, FEATURES):
-        z += weights[f[:, k]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        np.take(weights, f[:, k], axis=0, out=part, mode="clip")
+        z += part
     return z
 
 
+def with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights that sum to at most 3 * 25 for any history, so that their exponentials need no shift."""
+    return (np.clip(weights, -20, 20) + bias / FEATURES).astype(np.float32)
+
+
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -140,7 +145,7 @@ def _blocks(total: np.ndarray):
     for b in range(0, BUCKETS, BLOCK):
         part = total[b:b + BLOCK]
         if part.any():
-            yield b // BLOCK, part.astype(np.float32).tobytes()
+            yield b // BLOCK, np.ascontiguousarray(part, np.float32).tobytes()
 
 
 def _observed(singles):
@@ -164,20 +169,21 @@ def _packed(total: np.ndarray) -> pa.RecordBatch:
 
 def _expected(model):
     def expect(batches):
-        weights, bias = model.value
-        total = np.zeros((BUCKETS, CLASSES), np.float64)
+        weights = model.value
+        total = np.zeros((CLASSES, BUCKETS))
         for batch in batches:
             for _, _, buf, off in chunks(batch, limit=CHUNK):
                 f = features(tokens(buf, off))
-                for lo in range(0, len(f), 1 << 15):
-                    part = f[lo:lo + (1 << 15)]
-                    p = np.exp(class_logs(weights, bias, part))
-                    for k in range(FEATURES):
-                        order = np.argsort(part[:, k], kind="stable")
-                        bucket = part[order, k]
-                        new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                        total[bucket[new]] += np.add.reduceat(p[order], new, axis=0)
-        yield _packed(total)
+                by_class = np.empty((CLASSES, len(f)), np.float32)
+                for lo in range(0, len(f), STEP):
+                    p = raw_scores(weights, f[lo:lo + STEP])
+                    np.exp(p, out=p)
+                    p /= p.sum(axis=1, keepdims=True)
+                    by_class[:, lo:lo + STEP] = p.T
+                for bucket in np.ascontiguousarray(f.T):
+                    for c in range(CLASSES):
+                        total[c] += np.bincount(bucket, by_class[c], BUCKETS)
+        yield _packed(total.T)
     return expect
 
 
@@ -208,17 +214,20 @@ class Model:
     head: tuple[np.ndarray, np.ndarray]  # names, sorted, and counts
     singles: np.ndarray
     class_norm: np.ndarray  # log10(N_class + 0.5 (V_class + 1))
-    weights: np.ndarray
-    bias: np.ndarray
+    weights: np.ndarray  # with the bias
 
 
 def train(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> Model:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(texts.mapInArrow(_count, "name long, suffix int, n long").groupBy("name").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("c")), "word-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "name").limit(head).toArrow()
+    # the commonest words: those above the least power-of-two step that at most ``head`` words reach
+    steps = counts.groupBy(F.floor(F.log2("c") * 64).cast("int").alias("step")).agg(F.count("*").alias("words")).collect()
+    enough = min((r["step"] for r in steps if sum(q["words"] for q in steps if q["step"] >= r["step"]) <= head), default=1 << 20)
+    top = counts.where(F.floor(F.log2("c") * 64) >= enough).toArrow()
     name, c = top["name"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    singles = np.sort(name[name != END][:SINGLES])
+    singles = np.sort(name[np.lexsort((name, -c))][:SINGLES + 1])
+    singles = singles[singles != END][:SINGLES]
     order = np.argsort(name)
 
     single = F.col("name").isin([int(s) for s in singles.view(np.int64)])
@@ -234,13 +243,13 @@ def train(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> Model:
     share = (n_class + 0.5) / (n_class.sum() + 0.5 * CLASSES)
     of_bucket = observed.sum(axis=1, keepdims=True)
     weights = (np.log((observed + PRIOR * share) / (of_bucket + PRIOR)) - np.log(share)) / FEATURES
-    bias = np.log(share).astype(np.float32)
+    bias = np.log(share)
     for _ in range(rounds):
-        model = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+        model = docs.sparkSession.sparkContext.broadcast(with_bias(weights, bias))
         expected = _table(texts, _expected(model))
         model.unpersist()
         weights = weights + RATE * (observed - expected) / (np.maximum(observed, expected) + PRIOR * share)
-    return Model(counts, int(total["n"]), int(total["v"]), (name[order], c[order]), singles, np.log10(n_class + 0.5 * (v_class + 1)), weights.astype(np.float32), bias)
+    return Model(counts, int(total["n"]), int(total["v"]), (name[order], c[order]), singles, np.log10(n_class + 0.5 * (v_class + 1)), with_bias(weights, bias))
 
 
 ROWS = "row long, doc_id long, n_tokens long, known long, head_log double, class_log double, rare array<struct<name:long,tf:int>>"
@@ -248,7 +257,7 @@ ROWS = "row long, doc_id long, n_tokens long, known long, head_log double, class
 
 def _score(shared):
     def score(batches):
-        (names, counts), singles, norm, weights, bias = shared.value
+        (names, counts), singles, norm, weights = shared.value
         log_c = np.log10(counts + 0.5)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -258,9 +267,10 @@ def _score(shared):
                 c = classes(t, singles)
                 f = features(t)
                 token = np.empty(len(c))
-                for i in range(0, len(f), 1 << 15):
-                    part = class_logs(weights, bias, f[i:i + (1 << 15)])
-                    token[i:i + (1 << 15)] = part[np.arange(len(part)), c[i:i + (1 << 15)]]
+                for i in range(0, len(f), STEP):
+                    z = raw_scores(weights, f[i:i + STEP])
+                    own = z[np.arange(len(z)), c[i:i + STEP]]
+                    token[i:i + STEP] = own - np.log(np.exp(z, out=z).sum(axis=1))
                 token = token / np.log(10) - norm[c]
                 at, found = lookup(names, t.name)
                 doc = np.repeat(np.arange(n), np.diff(t.first))
@@ -281,7 +291,7 @@ def _score(shared):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (both log10) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.singles, model.class_norm, model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.head, model.singles, model.class_norm, model.weights))
     rows = stored(_text(docs).mapInArrow(_score(shared), ROWS), "scored-rows")
     rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.name", "r.tf")
     c = F.coalesce("c", F.lit(0))
