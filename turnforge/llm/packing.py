@@ -5,16 +5,15 @@
 2. Range-sort: lengths are whole numbers up to ``capacity``, so pieces and gaps in
    order of size are told by their counts per size.  Spark counts the pieces; the
    counts, at most ``capacity`` rows, are all the driver sees of them.
-3. Bulk-synchronous rounds on the counts: one sweep from the largest size down
-   gives every piece the smallest gap left that holds it (its successor), at most
-   one piece to a gap; all gaps are then updated and the next round begins.  The
-   first round has as many empty sequences as the tokens need at least; if
-   nothing fits any more, as many again as the rest needs.
-4. Conflicts are resolved by rank: the k-th piece of a size takes the k-th gap that
-   the rounds gave to this size.  Spark numbers the pieces of each size and looks
-   each number up in the rounds' table of runs.
+3. Bulk-synchronous rounds, a length at a time from the longest down.  A sweep
+   gives all pieces of the length their successors, the smallest gaps that hold them;
+   the gaps are updated and the sweep is repeated until the pieces are placed or
+   nothing holds them, when new sequences are opened.
+4. Conflicts are resolved by rank: the k-th piece of a length takes the k-th gap that
+   the rounds gave to it.  Spark numbers the pieces of each length and looks each
+   number up in the rounds' table of runs.
 
-The runs number at most twice the sizes for each round, whatever the corpus.
+The runs depend on the counts per size, not on the number of pieces.
 
 Cases: a null or empty text is one piece, the end id; repeated rows are packed
 each; null ids stay null; an empty table gives no rows; other columns are ignored.
@@ -142,51 +141,42 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
 
 def rounds(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Runs (length, rank, n, sequence, offset): pieces of ``length`` from ``rank`` on go to consecutive sequences.
+    """Runs (length, rank, n, sequence_id, offset): pieces of ``length`` from ``rank`` on go to consecutive sequences.
 
     ``counts[s]`` is the number of pieces of length s, up to the capacity.
     """
     capacity = len(counts) - 1
-    left = counts.astype(np.int64).copy()
-    used = np.zeros(capacity + 1, np.int64)
-    gaps: list[deque] = [deque() for _ in range(capacity + 1)]  # by size: runs of sequences
+    gaps: list[deque] = [deque() for _ in range(capacity + 1)]  # by size: runs (first sequence, how many)
+    there = np.zeros(capacity + 1, bool)  # sizes with gaps
     runs, opened = [], 0
-    sizes = np.arange(capacity + 1)
-
-    def open_more():
-        nonlocal opened
-        new = -(-int((left * sizes).sum()) // capacity)
-        gaps[capacity].append((opened, new))
-        opened += new
-
-    if left.any():
-        open_more()
-    while left.any():
-        after = []
-        stack: list[int] = []  # sizes that still have gaps of this round, the smallest on top
-        for s in range(capacity, 0, -1):
-            if gaps[s]:
-                stack.append(s)
-            while left[s] and stack:
-                g = stack[-1]
+
+    def add(size: int, first: int, n: int):
+        if size:
+            gaps[size].append((first, n))
+            there[size] = True
+
+    for s in range(capacity, 0, -1):
+        left, rank = int(counts[s]), 0
+        while left:
+            fit = there[s:]
+            at = int(fit.argmax())
+            if fit[at]:  # the successor: the smallest gap that holds the size
+                g = s + at
                 first, n = gaps[g].popleft()
-                m = min(n, int(left[s]))
+                m = min(n, left)
                 if m < n:
                     gaps[g].appendleft((first + m, n - m))
-                runs.append((s, int(used[s]), m, first, capacity - g))
-                used[s] += m
-                left[s] -= m
-                if g > s:
-                    after.append((g - s, first, m))
-                if not gaps[g]:
-                    stack.pop()
-        for g, first, m in after:
-            if gaps[g] and sum(gaps[g][-1]) == first:
-                gaps[g][-1] = (gaps[g][-1][0], gaps[g][-1][1] + m)
-            else:
-                gaps[g].append((first, m))
-        if not after and left.any() and not any(gaps[int(np.flatnonzero(left)[0]):]):
-            open_more()
+                there[g] = bool(gaps[g])
+                runs.append((s, rank, m, first, capacity - g))
+                add(g - s, first, m)
+                left, rank = left - m, rank + m
+            else:  # new sequences, each as full of this size as it gets
+                each = min(capacity // s, left)
+                n = left // each
+                for k in range(each):
+                    runs.append((s, rank + k * n, n, opened, k * s))
+                add(capacity - each * s, opened, n)
+                opened, left, rank = opened + n, left - each * n, rank + each * n
     table = np.array(runs, np.int64).reshape(-1, 5)
     return dict(zip(("length", "rank", "n", "sequence_id", "offset"), table.T, strict=True))
 
