@@ -11,7 +11,7 @@ import os
 import sys
 
 sys.path.insert(0, ".")
-from __spark_entry__ import queries  # noqa: E402
+from turnforge.plans.catalog import QUERIES  # noqa: E402
 from turnforge.session import local_session  # noqa: E402
 
 
@@ -21,12 +21,12 @@ def main():
     os.makedirs(out, exist_ok=True)
     spark = local_session("plans", "8")
     util = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils
-    for key, fn in sorted(queries().items()):
+    for key, fn in sorted(QUERIES.items()):
         df = fn(spark, sf)
         text = util.explainString(df._jdf.queryExecution(), "formatted")
         with open(f"{out}/{key}.txt", "w") as f:
             f.write(f"-- {key} @ {os.path.basename(sf)}\n{text}\n")
-    print("wrote", len(queries()), "plans to", out)
+    print("wrote", len(QUERIES), "plans to", out)
 
 
 if __name__ == "__main__":

@@ -5,6 +5,8 @@ is this project's own.  Only the layout (which parts appear, in what order,
 with or without newlines) carries meaning for the pipeline.
 """
 
+from turnforge.constants import LANG_LINE as LANG_LINE  # a fixed value, not wording
+
 DEFAULT_PROMPTS = {
     "starter_system": (
         "Write the first message a user would send in the scene described below. "
@@ -35,6 +37,5 @@ SCENE_HEAD = "Scene: "
 HISTORY_HEAD = "Conversation:\n"
 RESPONSE_HEAD = "Response to check:\n"
 DIALOGUE_HEAD = "Dialogue:\n"
-LANG_LINE = "\nLanguage/Culture: "
 REGEN_BLOCK_HEAD = "Rejected attempt:\nuser:"
 REGEN_BLOCK_REASON = "\nReason given:"

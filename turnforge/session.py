@@ -74,7 +74,3 @@ def stored(df, label: str):
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def materialize(df):
-    """``stored`` under the name the rule queries use."""
-    return stored(df, "materialized")
