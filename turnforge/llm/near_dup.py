@@ -15,10 +15,9 @@ as with t independent minima.
 Bands of ``ROWS`` coordinates make buckets.  Two sets of similarity 0.8 share none
 of 50 bands of 5 with probability (1 - 0.8^5)^50, under 3e-9.
 
-Verification.  In each bucket every member is compared with the smallest one, on
-full sets.  Members that this leaves in other components are compared with the
-next 2, 4, 8 ... members, so each candidate pair is either compared or
-already connected, and no bucket is expanded into pairs of connected documents.
+Verification, on full sets, in rounds of pivots (see ``_linked``): each candidate pair
+is compared, already connected, or ruled out by what both share with their
+pivot, and no bucket is expanded into pairs.
 
 Cases: null or empty texts, or texts without words, have empty sets and are
 linked with nothing; rows that repeat a doc_id count as that one document, with
@@ -39,6 +38,9 @@ from turnforge.llm.graph import components
 
 SIZE = 5
 PERCENT = 80
+SMALL = 8
+VOICES = 9
+CHUNK = 1 << 19  # bytes of text at once
 ROWS, BANDS = 5, 50
 SKETCH = ROWS * BANDS
 
@@ -80,7 +82,7 @@ def sketches(name: np.ndarray, text: np.ndarray, n: int, t: int = SKETCH) -> np.
 def _signatures(size: int):
     def sign(batches):
         for batch in batches:
-            for lo, hi, buf, off in chunks(batch, limit=1 << 20):
+            for lo, hi, buf, off in chunks(batch, limit=CHUNK):
                 n = hi - lo
                 name, text = distinct_shingles(buf, off, size)
                 count = np.bincount(text, minlength=n)
@@ -103,7 +105,7 @@ def _signatures(size: int):
 def _sets(size: int):
     def cut(batches):
         for batch in batches:
-            for lo, hi, buf, off in chunks(batch):
+            for lo, hi, buf, off in chunks(batch, limit=CHUNK):
                 name, text = distinct_shingles(buf, off, size)
                 offsets = np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(name.view(np.int64)))], ["doc_id", "names"])
@@ -114,61 +116,148 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets reach the similarity."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("names").alias("names_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("names").alias("names_b"))
-    both = F.size(F.array_intersect("names_a", "names_b"))
-    return (pairs.join(b, "b").join(a, "a")
-            .where(100 * both >= percent * (F.size("names_a") + F.size("names_b") - both)).select("a", "b"))
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and what else they have) with ``both``, the size of the intersection of the full sets, and the names of a and b."""
+    of_a = sets.select(F.col("doc_id").alias("a"), F.col("names").alias("names_a"))
+    of_b = sets.select(F.col("doc_id").alias("b"), F.col("names").alias("names_b"))
+    return pairs.join(of_b, "b").join(of_a, "a").withColumn("both", F.size(F.array_intersect("names_a", "names_b")).cast("long"))
+
+
+def _with_labels(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """``df`` with the component of the document in column ``node``: its own id if it has no link yet."""
+    known = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
+    return df.join(known, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__label", node)).drop("__node", "__label")
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after new links (a, b)."""
+    if labels is None:
+        return components(links)
+    ends = _with_labels(_with_labels(links.select("a", "b"), labels, "a", "x"), labels, "b", "y")
+    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    new = merged.join(labels, merged["node"] == labels["node"], "left_anti").select("node", F.col("node").alias("label"))
+    return stored(_with_labels(labels.union(new), merged, "label", "now").select("node", F.col("now").alias("label")), "labels")
+
+
+def _differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, label, load, n and ``w``, ``sure``, ``extra``, ``lost`` of group members (see ``_linked``).
+
+    The consensus P of a group is its pivot, less the shingles that at least half of
+    VOICES members lack, and with those outside it that more than half of them have.
+    Any set would do for the bounds; one near the members makes them sharp.
+    """
+    t = percent / (100 + percent)
+    arrays = (_compared(group, sets).withColumn("out", F.array_except("names_b", "names_a")).withColumn("miss", F.array_except("names_a", "names_b"))
+              .select("a", "n_a", "b", "n", "load", "label", "out", "miss"))
+    arrays = stored(arrays, "differences")
+    voices = arrays.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("load"), "b"))).where(F.col("place") <= VOICES)
+    size = voices.groupBy("a").agg(F.count("*").alias("m"))
+    each = voices.select("a", F.explode("out").alias("e"), F.lit(1).alias("is_out")).union(voices.select("a", F.explode("miss"), F.lit(0)))
+    often = (each.groupBy("a", "e", "is_out").agg(F.count("*").alias("c")).join(size, "a")
+             .where(F.when(F.col("is_out") == 1, 2 * F.col("c") > F.col("m")).otherwise(2 * F.col("c") >= F.col("m")))
+             .groupBy("a").agg(F.collect_list(F.when(F.col("is_out") == 1, F.col("e"))).alias("added"), F.collect_list(F.when(F.col("is_out") == 0, F.col("e"))).alias("removed")))
+    none = F.array().cast("array<bigint>")
+    both = arrays.join(often, "a", "left").withColumns({"added": F.coalesce("added", none), "removed": F.coalesce("removed", none)})
+    both = both.withColumn("extra", F.array_sort(F.concat(F.array_except("out", "added"), F.array_except("removed", "miss"))))
+    both = both.withColumn("lost", F.array_sort(F.concat(F.array_except("miss", "removed"), F.array_except("added", "out"))))
+    both = both.withColumn("w", (1 - t) * F.size("lost") + t * F.size("extra"))
+    return both.select("a", "b", "n", "load", "label", "w", "extra", "lost", ((1 - 2 * t) * (F.col("n_a") + F.size("added") - F.size("removed"))).alias("sure"))
+
+
+def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the documents that verified links connect.
+
+    ``members``: key (of a bucket), rep, n (its set's size) and load (how many
+    documents share its buckets).  In each round a bucket's most loaded member is
+    its pivot, and all others are compared with it on full sets; the buckets of
+    one pivot are a group.  Then, for members x, y of a group that are not connected:
+
+    Let P be the group's consensus set, E = x - P and D = P - x.  Then
+    |x & y| = |P| - |Dx| - |Dy| + (shared elements of Dx, Dy and of Ex, Ey), and a link
+    needs w_x + w_y - L shared elements, where t = percent / (100 + percent),
+    w = (1 - t)|D| + t|E| and L = (1 - 2t)|P|.
+
+    1. If w_x + w_y <= L they are linked, whatever they share.  The member with the
+       least w has all these links that any member has, so its star connects them.
+    2. Else they share an element of D or E.  The partner has w_y >= (w_x - L) / (1/t - 1),
+       as it cannot share more than it has, so x shares at least w_x + w_y - L of its
+       elements, and by prefix filtering one of the first |D| + |E| - that + 1, E (rare)
+       before D.  These elements are the buckets of the next round.
+
+    Buckets of at most ``SMALL`` members, twice as many in each round after the second, as few
+    are left then, are taken apart at once: their pairs that are not connected yet are compared.  So each pair that shares a bucket is compared,
+    connected, or cannot be linked, and no larger bucket is expanded into pairs.
+    """
+    labels, rounds = None, 0
+    reach, t = 100 + percent, percent / (100 + percent)
+    while True:
+        small = SMALL << max(rounds - 1, 0)
+        rounds += 1
+        many = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > small).select("key")
+        every, members = members, stored(members.join(many, "key"), "large-buckets")
+        few = every.join(many, "key", "left_anti")
+        pivot = members.groupBy("key").agg(F.min(F.struct((-F.col("load")).alias("o"), "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
+        pairs = members.join(pivot, "key").where("rep != a").select("a", "n_a", F.col("rep").alias("b"), "n", "load").distinct()
+        seen = stored(_compared(pairs, sets).select("a", "n_a", "b", "n", "load", "both"), "compared")
+        linked = reach * F.col("both") >= percent * (F.col("n") + F.col("n_a"))
+        labels = _joined(labels, seen.where(linked).select("a", "b"))
+
+        few = _with_labels(few.select("key", "rep", "n"), labels, "rep", "label")
+        other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+        pairs = (few.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
+                 .select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "b", F.col("n_b").alias("n")).distinct())
+        labels = _joined(labels, stored(_compared(pairs, sets).where(linked).select("a", "b"), "links"))
+
+        group = _with_labels(seen, labels, "b", "label")
+        apart = group.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("a")
+        group = group.join(apart, "a").drop("both")
+        if not group.limit(1).count():
+            return labels
+        group = stored(_differences(group, sets, percent), "groups")
+        centre = group.groupBy("a").agg(F.min(F.struct("w", "b")).alias("c")).select("a", F.col("c.w").alias("w_c"), F.col("c.b").alias("c"))
+        near = group.join(centre, "a").where((F.col("b") != F.col("c")) & (F.col("w") + F.col("w_c") <= F.col("sure") - 1e-6))
+        sure = stored(near.select(F.col("c").alias("a"), "b").distinct(), "links")
+        if sure.limit(1).count():
+            labels = _joined(labels, sure)
+            group = _with_labels(group.drop("label"), labels, "b", "label")
+
+        partner = F.greatest(F.lit(0.0), (F.col("w") - F.col("sure")) / (1 / t - 1))
+        need = F.greatest(F.lit(1), F.ceil(F.col("w") + partner - F.col("sure") - 1e-6)).cast("int")
+        elements = F.concat("extra", "lost")
+        prefix = F.slice(elements, F.lit(1), F.greatest(F.size(elements) - need + 1, F.lit(0)))
+        again = group.select("a", F.explode(prefix).alias("e"), F.col("b").alias("rep"), "n", "load", "label").withColumn("key", F.xxhash64("a", "e"))
+        shared = again.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        members = stored(again.join(shared, "key").select("key", "rep", "n", "load"), "bucket-members")
+        if not members.limit(1).count():
+            return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = _texts(docs)
-    every = stored(texts.mapInArrow(_signatures(size), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "signatures")
-    own = every.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    if own.where("rows > 1").limit(1).count():  # one text for each id
+    kinds = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+    every = stored(texts.mapInArrow(_signatures(size), kinds), "signatures")
+    if every.groupBy("doc_id").count().where("count > 1").limit(1).count():  # one text for each id
         texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        every = stored(texts.mapInArrow(_signatures(size), every.schema), "signatures")
-    classes = every.where("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    classes = stored(classes, "classes")
+        every = stored(texts.mapInArrow(_signatures(size), kinds), "signatures")
+    classes = stored(every.where("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
 
     reps = every.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = reps.select(F.posexplode("bands").alias("band", "key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1").select("band", "key")
-    members = stored(bands.join(shared, ["band", "key"]), "bucket-members")
-    candidates = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(texts.join(candidates, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, names array<long>"), "candidate-sets")
-
-    links, labels, pivots = None, None, 1
-    while True:
-        if labels is not None:  # members that are still apart from others of their bucket
-            label = F.coalesce("label", "rep")
-            members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", label)
-            apart = members.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
-            members = stored(members.join(apart, ["band", "key"], "left_semi"), "bucket-members")
-            if not members.limit(1).count():
-                break
-        else:
-            members = members.withColumn("label", F.col("rep"))
-        # the smallest members that have not been compared with all others yet
-        if pivots == 1:
-            low = members.groupBy("band", "key").agg(F.min(F.struct("rep", "label", "n")).alias("p")).select("band", "key", "p.*")
-        else:
-            low = members.withColumn("place", F.row_number().over(Window.partitionBy("band", "key").orderBy("rep"))).where(F.col("place") <= pivots)
-        chosen = stored(low.select("band", "key", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), "pivots")
-        pairs = (members.join(chosen, ["band", "key"]).where((F.col("rep") > F.col("a")) & (F.col("label") != F.col("label_a")))
-                 .where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")).select("a", F.col("rep").alias("b")).distinct())
-        found = _verified(pairs, sets, percent)
-        links = stored(found if links is None else links.union(found), "links-so-far")
-        labels = components(links)
-        done = chosen.groupBy("band", "key").agg(F.max("a").alias("last"))
-        members = members.select("band", "key", "rep", "n").join(done, ["band", "key"]).where(F.col("rep") > F.col("last")).drop("last")
-        pivots *= 2
+    bands = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(bands.join(shared, "key"), "bucket-members")
+    load = stored(members.groupBy("rep").agg(F.sum("size").alias("load")), "candidates")
+    sets = stored(texts.join(load.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, names array<long>"), "candidate-sets")
+    labels = _linked(members.drop("size").join(load, "rep"), sets, percent)
 
     of_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("n_shingles", "fp1", "fp2", F.coalesce("label", "rep").alias("component_id"))
     out = every.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, ["n_shingles", "fp1", "fp2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
-    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(size), every.schema)
+    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_signatures(size), kinds)
     return out.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component, all columns as they were; of rows that repeat an id, each stays or goes with it."""
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
