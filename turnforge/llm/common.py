@@ -33,7 +33,10 @@ def with_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows are told apart by (doc_id, row_hash): a repeated id with another text
     is a row of its own, a fully repeated row gets the same result twice.
     """
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row_hash", F.hash("text"))
+    key = F.col(doc_id)
+    if doc_id != "doc_id" or dict(docs.dtypes)[doc_id] != "bigint":  # an alias would keep Spark from sharing exchanges
+        key = key.cast("long").alias("doc_id")
+    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row_hash", F.hash("text"))
 
 
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
