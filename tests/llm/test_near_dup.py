@@ -73,6 +73,50 @@ def test_chains_stars_and_shared_passages(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def linked_sets(spark, sets, pivot, percent=80):
+    """Components (by smallest member) of sets that are all in one bucket, ``pivot`` the most loaded."""
+    members = spark.createDataFrame([(1, k, len(s), 1000 if k == pivot else 1) for k, s in sets.items()], "key long, rep long, n long, load long")
+    arrays = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "doc_id long, names array<long>")
+    label = {r.node: r.label for r in N._linked(members, arrays, percent).collect()}
+    return {k: label.get(k, k) for k in sets}
+
+
+def components_of(sets, percent=80):
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {k: find(k) for k in sets}
+
+
+def test_a_link_at_the_threshold_in_a_large_bucket(spark):
+    p = set(range(90))
+    sets = {k: p | {1000 + 10 * k, 1001 + 10 * k} for k in range(24)}  # 72/92 of the last one
+    sets[0] |= {5000, 5001}
+    sets[50] = set(p)
+    sets[51] = set(range(72))  # 72/90 of 50 only
+    want = components_of(sets)
+    assert want[51] == 0 and components_of({k: s for k, s in sets.items() if k != 50})[51] == 51
+    assert linked_sets(spark, sets, 0) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_buckets_equal_brute_force_near_the_threshold(spark, seed):
+    pick = random.Random(seed)
+    p = list(range(90))
+    sets = {0: set(p) | {5000, 5001, 5002}, 1: set(p)}
+    for k in range(2, 60):
+        lost = pick.choice([0, 3, 9, 17, 18, 18, 19])
+        sets[k] = set(pick.sample(p, 90 - lost)) | {100 + pick.randrange(60) for _ in range(pick.choice([0, 0, 1, 9, 20]))}
+    assert linked_sets(spark, sets, 0) == components_of(sets)
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(no_docs(spark)).count() == 0
 

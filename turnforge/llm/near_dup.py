@@ -146,7 +146,6 @@ def _differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     VOICES members lack, and with those outside it that more than half of them have.
     Any set would do for the bounds; one near the members makes them sharp.
     """
-    t = percent / (100 + percent)
     arrays = (_compared(group, sets).withColumn("out", F.array_except("names_b", "names_a")).withColumn("miss", F.array_except("names_a", "names_b"))
               .select("a", "n_a", "b", "n", "load", "label", "out", "miss"))
     arrays = stored(arrays, "differences")
@@ -160,8 +159,8 @@ def _differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = arrays.join(often, "a", "left").withColumns({"added": F.coalesce("added", none), "removed": F.coalesce("removed", none)})
     both = both.withColumn("extra", F.array_sort(F.concat(F.array_except("out", "added"), F.array_except("removed", "miss"))))
     both = both.withColumn("lost", F.array_sort(F.concat(F.array_except("miss", "removed"), F.array_except("added", "out"))))
-    both = both.withColumn("w", (1 - t) * F.size("lost") + t * F.size("extra"))
-    return both.select("a", "b", "n", "load", "label", "w", "extra", "lost", ((1 - 2 * t) * (F.col("n_a") + F.size("added") - F.size("removed"))).alias("sure"))
+    both = both.withColumn("w", (100 * F.size("lost") + percent * F.size("extra")).cast("long"))
+    return both.select("a", "b", "n", "load", "label", "w", "extra", "lost", ((100 - percent) * (F.col("n_a") + F.size("added") - F.size("removed"))).alias("sure"))
 
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,13 +173,13 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Let P be the group's consensus set, E = x - P and D = P - x.  Then
     |x & y| = |P| - |Dx| - |Dy| + (shared elements of Dx, Dy and of Ex, Ey), and a link
-    needs w_x + w_y - L shared elements, where t = percent / (100 + percent),
-    w = (1 - t)|D| + t|E| and L = (1 - 2t)|P|.
+    needs (w_x + w_y - L) / (100 + percent) shared elements, where w = 100|D| + percent|E|
+    and L = (100 - percent)|P|; all are whole numbers, so a link at the threshold counts.
 
     1. If w_x + w_y <= L they are linked, whatever they share.  The member with the
        least w has all these links that any member has, so its star connects them.
-    2. Else they share an element of D or E.  The partner has w_y >= (w_x - L) / (1/t - 1),
-       as it cannot share more than it has, so x shares at least w_x + w_y - L of its
+    2. Else they share an element of D or E.  The partner has w_y >= (w_x - L) percent / 100,
+       as it cannot share more than it has, so x shares at least (w_x - L) / 100 of its
        elements, and by prefix filtering one of the first |D| + |E| - that + 1, E (rare)
        before D.  These elements are the buckets of the next round.
 
@@ -189,7 +188,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     connected, or cannot be linked, and no larger bucket is expanded into pairs.
     """
     labels, rounds = None, 0
-    reach, t = 100 + percent, percent / (100 + percent)
+    reach = 100 + percent
     while True:
         small = SMALL << max(rounds - 1, 0)
         rounds += 1
@@ -215,14 +214,13 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return labels
         group = stored(_differences(group, sets, percent), "groups")
         centre = group.groupBy("a").agg(F.min(F.struct("w", "b")).alias("c")).select("a", F.col("c.w").alias("w_c"), F.col("c.b").alias("c"))
-        near = group.join(centre, "a").where((F.col("b") != F.col("c")) & (F.col("w") + F.col("w_c") <= F.col("sure") - 1e-6))
+        near = group.join(centre, "a").where((F.col("b") != F.col("c")) & (F.col("w") + F.col("w_c") <= F.col("sure")))
         sure = stored(near.select(F.col("c").alias("a"), "b").distinct(), "links")
         if sure.limit(1).count():
             labels = _joined(labels, sure)
             group = _with_labels(group.drop("label"), labels, "b", "label")
 
-        partner = F.greatest(F.lit(0.0), (F.col("w") - F.col("sure")) / (1 / t - 1))
-        need = F.greatest(F.lit(1), F.ceil(F.col("w") + partner - F.col("sure") - 1e-6)).cast("int")
+        need = F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("sure")) / 100)).cast("int")
         elements = F.concat("extra", "lost")
         prefix = F.slice(elements, F.lit(1), F.greatest(F.size(elements) - need + 1, F.lit(0)))
         again = group.select("a", F.explode(prefix).alias("e"), F.col("b").alias("rep"), "n", "load", "label").withColumn("key", F.xxhash64("a", "e"))
