@@ -36,6 +36,30 @@ def test_header_inside_an_article_stays():
     assert extract(f"<header><h1>Site</h1></header><main><header><h1>Title</h1></header><p>{LONG}</p><footer>by me</footer></main>") == "Title " + " ".join(LONG.split())
 
 
+ONCE = " ".join(LONG.split())
+BODY = f"<p>{LONG}</p>" * 9
+NINE = " ".join([ONCE] * 9)
+
+
+def test_what_stands_beside_the_main_block_stays():
+    assert extract(f"<body><div class=wrap><h1>T</h1><div class=lead>{LONG}</div><div class=body>{BODY}</div></div><footer>f</footer>") == f"T {ONCE} {NINE}"
+    assert extract(f"<body><h1>T</h1><div class=body>{BODY}</div>") == f"T {NINE}"
+    assert extract(f"<main><h1>T</h1><p>intro</p><article>{BODY}</article></main>") == f"T intro {NINE}"
+
+
+def test_head_without_its_end_tag():
+    for start in ("<body>", "", "<div>", "<p>", "<b>x</b>", "plain "):
+        text = {"<b>x</b>": "x ", "plain ": "plain "}.get(start, "") + ONCE
+        assert extract(f"<html><head><meta charset=utf-8><title>t</title><style>p{{}}</style>\n{start}<p>{LONG}</p></html>") == text, start
+    assert extract(f"<html><head><title>t</title></head><body><article><p>{LONG}</p></article></body></html>") == ONCE
+
+
+def test_boilerplate_paragraphs_and_inline_elements():
+    page = f"<div><p class=cookie-notice>We use cookies<p>{LONG}</p><p hidden>gone</p><p>a<span hidden>x<span>y</span>z</span>b <a class='share'>Share</a><p>{LONG}</div>"
+    assert extract(page) == f"{ONCE} ab {ONCE}"
+    assert extract(f"<div><p><span hidden>never closed<p>{LONG}</div>") == ONCE
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep " + LONG
     odd = ["", None, "   ", "plain text &lt;b&gt; &#x41;&nbsp;x", "<p>a<p>b<br>c", "<p>un<b>closed", "<!-- only --><script>x", "<", "<article></article>", "<div hidden>x</div><p>y", "<td>1</td><td>2</td>", "x" * 300_000, deep]

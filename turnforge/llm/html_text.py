@@ -4,16 +4,17 @@
    lines.  A light tree of container elements remembers where each line stands.
 2. Lines in navigation, headers, footers, asides, forms, scripts, hidden elements, and
    in elements named (class, id, role) as menus, notices, adverts, sidebars or
-   reader comments, are boilerplate.  A name does not count on an element that
-   holds the article or its title, nor a header inside an article.
+   reader comments, are boilerplate, inline ones as well.  A name does not count on an
+   element that holds the article or its title, nor a header inside an article.
 3. Each line's ratio of characters to tags is smoothed with a Gaussian over the
    lines; lines above the standard deviation of the page's ratios are content.
-4. The content region is the smallest element that holds four fifths of the
-   content's characters, widened to the article it stands in.  All its lines
-   but the boilerplate are the text, so short paragraphs stay.
+4. The content region is the smallest element that holds all content lines, widened to the
+   outermost article or main it stands in; on a page that has none, it also holds the
+   page's titles (h1).  All its lines but the boilerplate are the text, so short paragraphs stay.
 
 Cases: a null or empty page, or one without text, gives the empty text; broken markup is
-read as the parser does, unclosed elements end with the page; repeated rows
+read as the parser does, a head ends with the first text or tag of the body, a p with the
+next block, other unclosed elements end with the page; repeated rows
 are extracted each; other columns are ignored.
 """
 
@@ -32,11 +33,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = set("head script style noscript template iframe object svg math canvas audio video title".split())
 AROUND = set("nav footer aside form button select textarea menu dialog fieldset".split())
+IN_HEAD = set("base basefont bgsound head html link meta noframes noscript script style template title".split())
+IN_P = SILENT | VOID - {"hr"} | set("button select textarea label".split())  # do not end an open p
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMED = re.compile(r"(?:ad|ads|adv|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|comments?|commentlist|disqus|replies|respond|related|recommend\w*|share|sharing|social|footer|masthead|toolbar|widgets?|pagination|pager|skip|login|signup)")
 HEADING = re.compile(r"(?:header|topbar|site-?header|page-?header)")
 LAYOUT = re.compile(r"(?:with|has|no|without|is|show|hide)[-_]")  # says what stands beside it
-REGION = 0.8
 SIGMA = 1.0
 
 
@@ -47,6 +49,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.kind = [-1], ["#page"], [""]  # kind: "", "silent", "around", "named" or "header"
         self.open = [0]
+        self.muted: list[tuple[str, int]] = []  # open inline elements from a boilerplate one on, and the depth they stand at
         self.text: list[str] = []
         self.lines: list[tuple[str, int, int]] = []
         self.tags = 0
@@ -58,15 +61,32 @@ class Lines(HTMLParser):
             self.tags = 0
         self.text = []
 
+    def close_from(self, k):
+        self.end_line()
+        del self.open[k:]
+        while self.muted and self.muted[-1][1] > k:
+            self.muted.pop()
+
+    def end_head(self, tag):
+        """Head's end tag may be left out: its end is the body or the first thing that cannot stand in it."""
+        tops = [self.tag[k] for k in self.open[:4]]
+        if "head" in tops and (tag == "body" or (self.tag[self.open[-1]] == "head" and tag not in IN_HEAD)):
+            self.close_from(tops.index("head"))
+
     def handle_starttag(self, tag, attrs):
+        self.end_head(tag)
         self.tags += 1
         if tag in INLINE:
+            if tag not in VOID and (self.muted or self.kind_of(tag, dict(attrs)) not in ("", "header")):
+                self.muted.append((tag, len(self.open)))
             return
         if tag == "br":
             self.text.append(" ")
             return
+        if tag not in IN_P and self.tag[self.open[-1]] == "p":
+            self.close_from(len(self.open) - 1)
         self.end_line()
-        if tag in VOID or tag == "p":
+        if tag in VOID:
             return
         self.parent.append(self.open[-1])
         self.tag.append(tag)
@@ -75,21 +95,28 @@ class Lines(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE and tag != "p":
+        if tag not in VOID:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in INLINE or tag in VOID:
+            for k in range(len(self.muted) - 1, -1, -1):
+                if self.muted[k] == (tag, len(self.open)):
+                    del self.muted[k:]
+                    break
             return
         self.end_line()
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == tag:
-                del self.open[k:]
+                self.close_from(k)
                 break
 
     def handle_data(self, data):
-        self.text.append(data)
+        if self.tag[self.open[-1]] == "head" and data.strip():
+            self.end_head("#text")
+        if not self.muted:
+            self.text.append(data)
 
     def above(self, tags: tuple[str, ...]) -> list[bool]:
         """For each element, whether one of ``tags`` stands in it."""
@@ -139,17 +166,18 @@ def content(page: Lines) -> list[str]:
     kernel = np.exp(-x ** 2 / (2 * SIGMA ** 2))
     smooth = np.convolve(ratio, kernel, "full")[3:3 + len(ratio)] / np.convolve(np.ones(len(ratio)), kernel, "full")[3:3 + len(ratio)]
     chosen = smooth >= min(ratio.std(), smooth.max())
+    has_article = any(inside[node] for _, _, node in lines)
     mass = np.zeros(n)
     for (_, _, node), s, yes in zip(lines, size, chosen, strict=True):
-        mass[node] += s if yes else 0
+        mass[node] += s if yes or (page.tag[node] == "h1" and not has_article) else 0
     for k in range(n - 1, 0, -1):  # parents come before their children
         mass[page.parent[k]] += mass[k]
-    region = max(k for k in range(n) if mass[k] >= REGION * mass[0])
-    article = region
-    while article >= 0 and page.tag[article] not in ("article", "main"):
-        article = page.parent[article]
-    if article >= 0:
-        region = article
+    region = max(k for k in range(n) if mass[k] == mass[0] and page.tag[k] not in ("p", "h1"))
+    up = region
+    while up >= 0:
+        if page.tag[up] in ("article", "main"):
+            region = up
+        up = page.parent[up]
     within = [k == region for k in range(n)]
     for k in range(1, n):
         within[k] |= within[page.parent[k]]
