@@ -168,6 +168,18 @@ def test_spans_and_redaction_on_odd_rows(spark):
     assert secrets.redact(no_docs(spark)).count() == 0
 
 
+def test_words_of_the_documents_are_no_secrets(spark):
+    ordinary = ["exchange", "patience", "umbrella", "mountains", "Geduldig", "Schlüssel", "Nachricht", "bonjour", "toujours", "quelqu", "siempre", "mientras", "corazones", "pregunta"]
+    values = [*ordinary, "xkqjzwvyab", "f3Qz81Lmw"]
+    rows = [(k, f"{name}: {v}", "en", "a", 1) for k, v in enumerate(values) for name in ("token", "Password")]
+    rows += [(100 + k, f"Some text with {v}, and more of it.", "en", "a", 1) for k, v in enumerate(ordinary)]
+    docs = spark.createDataFrame(rows, odd_docs(spark).schema)
+    found = {r.doc_id: r.s for r in secrets.with_spans(docs, ["doc_id"]).select("doc_id", secrets.listed("spans").alias("s")).collect()}
+    assert [values[k] for k in range(len(values)) if found[k]] == values[-2:]
+    clean = {r.text for r in secrets.redact(docs).collect()}
+    assert clean == {r[1] for r in rows if r[0] not in (14, 15)} | {"token: [secret]", "Password: [secret]"}
+
+
 def brute_base_scores(rows):
     split = lambda t: [*words_of(lower_ascii(t)), None]
     c = collections.Counter()

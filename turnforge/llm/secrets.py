@@ -12,6 +12,11 @@ repeats, keyboard walks and brute-force characters; a change of segment doubles
 the cost.  So `changeme123`, `2024-05-01` or a word are left alone and a random
 value is not.  A guess that overlaps a base span is not added again.
 
+Words are the fixed list and, in Spark, the words of all documents in any language: a word
+that occurs c times among N words outside credential values has rank N / c, as no more
+words can be as common.  Only words that stand in a value in doubt are looked up; at most
+``KNOWN`` of them, the commonest, are broadcast.
+
 Offsets are code points, the end exclusive.  A value's costs are found in time
 proportional to its length.
 
@@ -22,18 +27,25 @@ columns are ignored; redacting keeps a null text null.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from math import comb, log10
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnforge.llm.common import stored
+
 KINDS = ["assign", "access", "hex", "guess"]
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(r"""(?ai)(?:password|passwd|passphrase|pwd|secret|token|credential|(?:api|access|private|auth)_?key)["']?[\x20\t]*[:=][\x20\t]*(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"',;]+))""")
 LEAST_COST = 10.0  # decimal logarithm of guesses
+KNOWN = 1 << 17  # words of the documents that travel with the tasks
+RUN = re.compile(r"[^\W\d_]{3,}")
+LONGEST_KNOWN = 24
+FLUSH = 200_000  # words a task counts before it sends them
 
 # Words people put where a password goes, the commonest first (own choice).
 WORDS = """password secret changeme admin token test example qwerty welcome letmein login user root key default
@@ -58,9 +70,11 @@ def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else log10(26) if c.isalpha() else log10(33)
 
 
-def _word_cost(word: str) -> float | None:
+def _word_cost(word: str, known: dict[str, float] | None = None) -> float | None:
     low = word.lower()
     rank = RANK.get(low)
+    if known and low in known:
+        rank = min(rank or known[low], known[low])
     swapped = 0.0
     if rank is None:
         rank, swapped = RANK.get(low.translate(LOOKS_LIKE)), SWITCH
@@ -74,10 +88,10 @@ def _word_cost(word: str) -> float | None:
     return log10(rank + 1) + swapped + case
 
 
-def segments_from(value: str, i: int, run_end: int, walk_end: int):
+def segments_from(value: str, i: int, run_end: int, walk_end: int, known: dict[str, float] | None = None):
     """(end, cost) of the words, dates, repeats and walks that begin at ``i``."""
-    for j in range(i + 3, min(len(value), i + LONGEST) + 1):
-        cost = _word_cost(value[i:j])
+    for j in range(i + 3, min(len(value), i + (max(LONGEST, LONGEST_KNOWN) if known else LONGEST)) + 1):
+        cost = _word_cost(value[i:j], known)
         if cost is not None:
             yield j, cost
     if value[i].isdigit():
@@ -91,8 +105,8 @@ def segments_from(value: str, i: int, run_end: int, walk_end: int):
         yield walk_end, log10(47 * 2) + log10(walk_end - i)
 
 
-def guess_cost(value: str) -> float:
-    """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
+def guess_cost(value: str, known: dict[str, float] | None = None) -> float:
+    """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes; ``known``: ranks of words besides the fixed ones."""
     n = len(value)
     low = value.lower()
     run, walk = [n] * (n + 1), [n] * (n + 1)  # where the repeat and the walk that hold i end
@@ -106,12 +120,12 @@ def guess_cost(value: str) -> float:
         best = min(brute[i], other[i])
         free = 0.0 if i == 0 else SWITCH
         brute[i + 1] = min(brute[i + 1], min(brute[i], other[i] + free) + _char_cost(value[i]))
-        for j, cost in segments_from(value, i, run[i], walk[i]):
+        for j, cost in segments_from(value, i, run[i], walk[i], known):
             other[j] = min(other[j], best + free + cost)
     return min(brute[n], other[n])
 
 
-def scan(text: str) -> list[tuple[str, int, int]]:
+def scan(text: str, known: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind in the order of KINDS."""
     found = [("hex", *m.span()) for m in HEX.finditer(text)]
     if "AKIA" in text:
@@ -121,7 +135,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         taken = sorted((s, e) for _, s, e in found)
         for m in CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
-            if not any(s < end and start < e for s, e in taken) and guess_cost(text[start:end]) >= LEAST_COST:
+            if not any(s < end and start < e for s, e in taken) and guess_cost(text[start:end], known) >= LEAST_COST:
                 found.append(("guess", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -129,20 +143,63 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _scan_batches(batches):
+def _doubtful(batches):
+    """Letter strings in the values that the fixed words leave as guesses."""
     for batch in batches:
-        names = [n for n in batch.schema.names if n != "__scan"]
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t or "")] for t in part.column("__scan").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(spans, pa.list_(SPAN))], [*names, "spans"])
+        found = set()
+        for text in batch.column(0).to_pylist():
+            for kind, start, end in scan(text or ""):
+                if kind == "guess":
+                    for run in RUN.findall(text[start:end].lower()):
+                        found.update(run[i:j] for i in range(len(run)) for j in range(i + 3, min(len(run), i + LONGEST_KNOWN) + 1))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
+
+
+def _count_words(batches):
+    """Words outside credential values, as often as they stand there."""
+    def flush():
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    seen: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                seen.update(w for w in RUN.findall(CONTEXT.sub(" ", text).lower()) if len(w) <= LONGEST_KNOWN)
+                if len(seen) > FLUSH:
+                    yield flush()
+                    seen.clear()
+    yield flush()
+
+
+def known_words(docs: DataFrame) -> dict[str, float]:
+    """Ranks of the words of ``docs`` that stand in a value in doubt, the ``KNOWN`` commonest of them."""
+    texts = docs.select("text")
+    doubtful = stored(texts.mapInArrow(_doubtful, "word string").distinct(), "doubtful-words")
+    if not doubtful.limit(1).count():
+        return {}
+    counts = stored(texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0]
+    got = counts.join(doubtful, "word", "left_semi").orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    return {r.word: total / r.n for r in got}
+
+
+def _scan_batches(shared):
+    def scan_all(batches):
+        for batch in batches:
+            names = [n for n in batch.schema.names if n != "__scan"]
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in scan(t or "", shared.value)] for t in part.column("__scan").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(spans, pa.list_(SPAN))], [*names, "spans"])
+    return scan_all
 
 
 def with_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every row and ``spans``, an array of (kind, start, end)."""
     part = docs.select(*keep, F.col("text").alias("__scan"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields if f.name != "__scan")
-    return part.mapInArrow(_scan_batches, f"{kinds}, spans array<struct<kind:string,start:long,end:long>>")
+    known = docs.sparkSession.sparkContext.broadcast(known_words(docs))
+    return part.mapInArrow(_scan_batches(known), f"{kinds}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def listed(spans: str, base_only: bool = False) -> Column:
@@ -151,20 +208,23 @@ def listed(spans: str, base_only: bool = False) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _redact_batches(batches):
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        out = []
-        for text in batch.column(at).to_pylist():
-            pieces, upto = [], 0
-            for _, start, end in scan(text or ""):
-                if start >= upto:
-                    pieces += [text[upto:start], "[secret]"]
-                upto = max(upto, end)
-            out.append("".join([*pieces, text[upto:]]) if pieces else text)
-        yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+def _redact_batches(shared):
+    def redact_all(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            out = []
+            for text in batch.column(at).to_pylist():
+                pieces, upto = [], 0
+                for _, start, end in scan(text or "", shared.value):
+                    if start >= upto:
+                        pieces += [text[upto:start], "[secret]"]
+                    upto = max(upto, end)
+                out.append("".join([*pieces, text[upto:]]) if pieces else text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+    return redact_all
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of overlapping secrets in ``text`` replaced by `[secret]`, all other columns as they were."""
-    return docs.mapInArrow(_redact_batches, docs.schema)
+    known = docs.sparkSession.sparkContext.broadcast(known_words(docs))
+    return docs.mapInArrow(_redact_batches(known), docs.schema)
