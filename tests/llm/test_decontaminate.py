@@ -37,6 +37,14 @@ def test_equals_brute_force_on_odd_rows(spark):
     assert as_set(got, "doc_id", "n_words", "n_hit", "item_ids") == brute(odd_rows(), ITEMS)
 
 
+def test_items_without_an_id_hit_and_contaminate(spark):
+    items = spark.createDataFrame([(None, prose(8, 80)), (None, None), (4, "?")], "item_id long, text string")
+    docs = odd_docs(spark)
+    got = {r.doc_id: (r.n_hit, r.item_ids) for r in D.contamination(docs, items).where("n_hit > 0").collect()}
+    assert got == {d: (80, []) for d in (50, 51, 52)}
+    assert as_set(D.clean(docs, items), "doc_id") == sorted(((r[0],) for r in odd_rows() if r[0] not in got), key=repr)
+
+
 def test_a_full_bitmap_changes_nothing(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = D.contamination(odd_docs(spark), items, bits=7)

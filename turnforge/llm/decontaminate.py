@@ -17,8 +17,8 @@ makes the fewest candidates.
 4. Per document: the union of matched word ranges, and the items they belong to.
 
 Cases: a null or empty text has no words and no hit; an item without words has
-no window; repeated items count each by its id, a repeated item row once; a null
-item_id is not counted; a null doc_id is a document like any other; repeated
+no window; repeated items count each by its id, a repeated item row once; an item
+with a null item_id hits like any other but is not among the ids; a null doc_id is a document like any other; repeated
 documents are judged row by row; columns besides the id and the text are ignored.
 """
 
@@ -118,7 +118,7 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
     """(documents with n_words, matches): matches has a row for each document row, word range and item."""
     spark = docs.sparkSession
     docs = with_key(docs)
-    cut = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("item_id is not null").mapInArrow(_cut_items(window, shingle), WINDOWS)
+    cut = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_cut_items(window, shingle), WINDOWS)
     cut = stored(cut.distinct(), "item-windows")
     windows = cut.dropDuplicates(["window"]).select("window", "n", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("names") - 1).alias("offset"), "names", "sizes")).alias("s")).select("window", "n", "s.offset", F.col("s.names").alias("name"), F.col("s.sizes").alias("size"))
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # 1 to ``shingle``
