@@ -219,6 +219,13 @@ def test_the_model_is_a_distribution_and_beats_the_base_on_held_out_texts(spark)
         assert abs(mass + 0.5 / 10 ** model.class_norm[k] - 1) < 1e-6
 
 
+def test_training_goes_on_after_the_first_step(spark):
+    docs = read(spark, SF_MID, "documents")
+    train, held = docs.where(maxent.fold_of() != 1), docs.where(maxent.fold_of() == 1)
+    one, all_ = (maxent.score(held, m).agg({"score": "sum"}).first()[0] for m in (maxent.train(train, rounds=1), maxent.train(train)))
+    assert all_ > one + 1
+
+
 def test_language_model_on_empty_tables(spark):
     assert maxent.language_model_scores(no_docs(spark)).count() == 0
     one = spark.createDataFrame([(1, None), (None, None)], "doc_id long, text string")

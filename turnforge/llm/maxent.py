@@ -43,8 +43,8 @@ CLASSES = 1 + SINGLES + SUFFIXES
 BUCKETS = 1 << 15
 FEATURES = 3
 HEAD = 1 << 17
-ROUNDS = 1
-RATE = 0.8
+ROUNDS = 2
+RATE = 0.6
 PRIOR = 200.0
 BLOCK = 256  # rows of weights in a block that tasks send
 END = np.uint64(0x454E44)  # the end's name; words' names are mixed hashes
