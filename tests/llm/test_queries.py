@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_quality_classifier": "doc_id held_out score predicted",
     "op10_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score",
+    "op11_phrases": "lang rank phrase a l r n score",
+    "op12_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op13_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 
 

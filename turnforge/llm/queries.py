@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnforge.llm import decision_list, decontaminate, html_text, maxent, near_dup, packing, rule_ensemble, secrets, suffix_dedup, warc
+from turnforge.llm import alignment, decision_list, decontaminate, html_text, maxent, near_dup, packing, phrases, rule_ensemble, secrets, sharding, suffix_dedup, warc
 from turnforge.llm.common import read
 from turnforge.llm.stats import BASE
 
@@ -58,6 +58,19 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.language_model_scores(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.assign(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -69,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_model": op10_language_model,
+    "op11_phrases": op11_phrases,
+    "op12_sharding": op12_sharding,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {}
@@ -154,3 +170,31 @@ select b.page_id, cast(octet_length(encode(b.html)) as bigint) as payload_bytes,
   case when b.page_id = r.first then null else r.first end as refers_to
 from b join r on b.html = r.html
 """
+
+SQL["op11_phrases"] = r"""
+with p as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+g as materialized (
+  select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase, count(*) as f
+  from (select lang, words, k, unnest(generate_series(1, len(words) - k + 1)) as i from w, (select unnest([1, 2, 3, 4]) as k) s where len(words) >= k) x
+  group by all),
+c as materialized (select lang, k, phrase, f as a, string_split(phrase, ' ') as words from g where k > 1 and f >= 30),
+cuts as (
+  select x.lang, x.phrase, a, j, l.f as l, r.f as r, cast(2000000::hugeint * a // (l.f + r.f) as bigint) as score
+  from (select lang, k, phrase, a, words, unnest(generate_series(1, k - 1)) as j from c) x
+  join g l on l.lang = x.lang and l.phrase = array_to_string(x.words[1:j], ' ')
+  join g r on r.lang = x.lang and r.phrase = array_to_string(x.words[j + 1:x.k], ' ')),
+best as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as nth from cuts) x where nth = 1),
+inner_part as (
+  select lang, array_to_string(words[i:i + s - 1], ' ') as phrase, max(a) as longer
+  from (select lang, words, a, k, s, unnest(generate_series(1, k - s + 1)) as i from c, (select unnest([2, 3]) as s) t where s < k) x group by all),
+ranked as (
+  select b.lang, b.phrase, a, l, r, score, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join inner_part i on i.lang = b.lang and i.phrase = b.phrase where longer is null or 100 * longer < 80 * a)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+  cast(n as bigint) as n, score
+from ranked join (select lang, sum(f) as n from g where k = 1 group by lang) t using (lang) where rank <= 2000
+"""
