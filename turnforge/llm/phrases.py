@@ -20,7 +20,8 @@ out phrases of which a part is rare.  What is not rare is told by a bitmap of
 part through but drops none that is not.
 
 Words are told by 64-bit names mixed with their language, so everything is per
-language.  The words of phrases themselves are joined at the end.
+language.  Transducers of single words carry the words themselves, which are
+joined to the phrases at the end.
 
 Cases: a null or empty text has no words; a null language is `und`; repeated
 rows count each; ties go by the phrase; an empty table gives no rows; other
@@ -48,8 +49,8 @@ HELD = 2_000_000  # phrases that a task counts before it builds transducers of t
 SEPARATES = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
 WORD = ~(SEPARATES | np.isin(np.arange(256), [32, 9]))
 
-SHARD = "range int, counts binary, name long, lang string, word string, n long"
-UNION = "range int, counts binary, since int, bits binary"
+SHARD = "range int, counts binary, words binary, lang string, n long"
+UNION = "range int, counts binary, since int, bits binary, names array<long>, words array<string>"
 ASKED = "owner int, sender int, w1 long, w2 long, w3 long, f long"
 ANSWER = "range int, kind int, w1 long, w2 long, w3 long, value long"
 SCORED = "w1 long, w2 long, w3 long, w4 long, a long, l1 long, l2 long, l3 long, r1 long, r2 long, r3 long, cover long"
@@ -228,29 +229,41 @@ class Shard:
         return out
 
 
-def _rows(built=(), symbols=(), totals=()) -> pa.RecordBatch:
-    n, m, k = len(built), len(symbols), len(totals)
-    none = lambda x: [None] * x
+def _rows(built=(), totals=()) -> pa.RecordBatch:
+    n, k = len(built), len(totals)
     return pa.RecordBatch.from_arrays([
-        pa.array([r for r, _ in built] + none(m + k), pa.int32()), pa.array([c for _, c in built] + none(m + k), pa.binary()),
-        pa.array(none(n) + [s[0] for s in symbols] + none(k), pa.int64()), pa.array(none(n) + [s[1] for s in symbols] + [t[0] for t in totals], pa.string()),
-        pa.array(none(n) + [s[2] for s in symbols] + none(k), pa.string()), pa.array(none(n + m) + [t[1] for t in totals], pa.int64()),
-    ], ["range", "counts", "name", "lang", "word", "n"])
+        pa.array([b[0] for b in built] + [None] * k, pa.int32()), pa.array([b[1] for b in built] + [None] * k, pa.binary()),
+        pa.array([b[2] if len(b) > 2 else None for b in built] + [None] * k, pa.binary()),
+        pa.array([None] * n + [t[0] for t in totals], pa.string()), pa.array([None] * n + [t[1] for t in totals], pa.int64()),
+    ], ["range", "counts", "words", "lang", "n"])
+
+
+def _with_words(built: list[tuple[int, bytes]], said: dict[int, bytes]):
+    """Each range's transducer of single words with the words, in its order: lengths, then all bytes (`language, tab, word`)."""
+    for owner, raw in built:
+        words = [said[n] for n in Counts.unpack(raw).levels[0][1].tolist()]
+        yield owner, raw, np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words)
 
 
 def _count_words(ranges: int, held: int):
     def count(batches):
-        shard, totals = Shard(1, ranges, held), {}
+        shard, totals, said = Shard(1, ranges, held), {}, {}
         for batch in batches:
             langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
             for lo, hi, buf, off in chunks(batch):
-                name, _, _, _, text = _words(batch, lo, hi, buf, off)
+                name, _, starts, ends, text = _words(batch, lo, hi, buf, off)
                 for lang, n in zip(langs[lo:hi], np.bincount(text, minlength=hi - lo).tolist(), strict=True):
                     totals[lang] = totals.get(lang, 0) + n
                 shard.add(name[:, None])
+                names, at = np.unique(name, return_index=True)
+                low, prefix = W.LOWER[buf].tobytes(), [f"{x}\t".encode() for x in langs[lo:hi]]
+                for n, i in zip(names.tolist(), at.tolist(), strict=True):
+                    if n not in said:
+                        said[n] = prefix[text[i]] + low[starts[i]:ends[i]]
                 if shard.full():
-                    yield _rows(built=shard.built())
-        yield _rows(built=shard.built(), totals=list(totals.items()))
+                    yield _rows(built=list(_with_words(shard.built(), said)))
+                    said = {}
+        yield _rows(built=list(_with_words(shard.built(), said)), totals=list(totals.items()))
     return count
 
 
@@ -271,11 +284,10 @@ def _count_pairs(frequent, ranges: int, held: int):
 
 def _count_longer(frequent, frequent_pairs, ranges: int, held: int):
     def count(batches):
-        shard, said = Shard(LONGEST, ranges, held), set()
+        shard = Shard(LONGEST, ranges, held)
         for batch in batches:
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
             for lo, hi, buf, off in chunks(batch):
-                name, joined, starts, ends, text = _words(batch, lo, hi, buf, off)
+                name, joined, *_ = _words(batch, lo, hi, buf, off)
                 known = _in(frequent.value, name)
                 pair = np.zeros(len(name) + 2, bool)  # with the next word a pair that is not rare
                 at = np.flatnonzero(joined[:-1] & known[:-1] & known[1:])
@@ -288,15 +300,8 @@ def _count_longer(frequent, frequent_pairs, ranges: int, held: int):
                     if k < 3:
                         paths[:len(three), k] = name[three + k]
                 shard.add(paths)
-                used = np.flatnonzero(pair[:-2] | np.append(False, pair[:-3])) if len(name) else np.empty(0, np.int64)
-                names, first = np.unique(name[used], return_index=True)
-                low = W.LOWER[buf].tobytes()
-                new = [(n, used[i]) for n, i in zip(names.view(np.int64).tolist(), first.tolist(), strict=True) if n not in said]
-                said.update(n for n, _ in new)
-                built = shard.built() if shard.full() else []
-                yield _rows(built=built, symbols=[(n, langs[lo + text[i]], low[starts[i]:ends[i]].decode()) for n, i in new])
-                if len(said) > held:
-                    said = set()  # some words are sent once more
+                if shard.full():
+                    yield _rows(built=shard.built())
         yield _rows(built=shard.built())
     return count
 
@@ -312,13 +317,26 @@ def _unite(least: int, bits: int):
         since = int(bit[0]) >> 3 if len(bit) else 0
         marks = np.zeros(((int(bit[-1]) >> 3) - since + 1) * 8 if len(bit) else 0, np.uint8)
         marks[bit - 8 * since] = 1
+        names, words = _said(table, paths[:, 0]) if table.column("words").null_count < table.num_rows else (None, None)
         return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int32()), "counts": [Counts.of(paths, n).pack()],
-                         "since": pa.array([since], pa.int32()), "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+                         "since": pa.array([since], pa.int32()), "bits": [np.packbits(marks, bitorder="little").tobytes()],
+                         "names": pa.array([names], pa.list_(pa.int64())), "words": pa.array([words], pa.list_(pa.string()))})
     return unite
 
 
+def _said(table: pa.Table, kept: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The kept names of a range and their words, from the shards that hold them."""
+    out = {}
+    for counts, words in zip(table.column("counts").to_pylist(), table.column("words").to_pylist(), strict=True):
+        name = Counts.unpack(counts).levels[0][1]
+        ends = np.cumsum(np.frombuffer(words, "<u4", len(name)).astype(np.int64)) + 4 * len(name)
+        at = np.flatnonzero(np.isin(name, kept))
+        out.update((int(name[i]), words[int(ends[i - 1]) if i else 4 * len(name):int(ends[i])]) for i in at)
+    return kept.view(np.int64), [out[n].decode() for n in kept.tolist()]
+
+
 def _united(shards: DataFrame, label: str, least: int, bits: int) -> DataFrame:
-    rows = shards.where("range is not null").select("range", "counts")
+    rows = shards.where("range is not null").select("range", "counts", "words")
     return stored(rows.groupBy("range").applyInArrow(_unite(least, bits), UNION), label)
 
 
@@ -418,7 +436,7 @@ def candidates(docs: DataFrame, least: int = LEAST, bits: int = BITMAP_BITS, hel
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"), F.xxhash64(lang).alias("key"))
     context = spark.sparkContext
 
-    words = stored(texts.mapInArrow(_count_words(ranges, held), SHARD), "phrase-words")
+    words = stored(texts.mapInArrow(_count_words(ranges, held // 4), SHARD), "phrase-words")
     single = _united(words, "phrase-words-united", least, bits)
     totals = words.where("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = context.broadcast(_bitmap(single, bits))
@@ -426,9 +444,10 @@ def candidates(docs: DataFrame, least: int = LEAST, bits: int = BITMAP_BITS, hel
     pairs = _united(texts.mapInArrow(_count_pairs(frequent, ranges, held), SHARD), "phrase-pairs-united", least, bits)
     frequent_pairs = context.broadcast(_bitmap(pairs, bits))
 
-    longer = stored(texts.mapInArrow(_count_longer(frequent, frequent_pairs, ranges, held), SHARD), "phrase-longer")
-    symbols = longer.where("name is not null").groupBy("name").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
-    counts = _united(longer.select("range", "counts").unionByName(pairs.select("range", "counts")), "phrases", least, bits)
+    longer = texts.mapInArrow(_count_longer(frequent, frequent_pairs, ranges, held), SHARD).select("range", "counts", "words")
+    counts = _united(longer.unionByName(pairs.select("range", "counts", F.lit(None).cast("binary").alias("words"))), "phrases", least, bits)
+    symbol = single.select(F.explode(F.arrays_zip("names", "words")).alias("s"))
+    symbols = symbol.select(F.col("s.names").alias("name"), F.regexp_extract("s.words", r"(?s)^(.*)\t", 1).alias("lang"), F.substring_index("s.words", "\t", -1).alias("word"))
 
     asked = counts.select("range", "counts").mapInArrow(_ask(ranges), ASKED)
     owned = counts.select(F.col("range").alias("owner"), "counts").unionByName(single.select((F.col("range") + ranges).alias("owner"), "counts"))
