@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnforge.constants import COMPAT_COMPLETION_ALLOWANCE, MAX_TRIES
-from turnforge.operators.ordering import running_totals
+from turnforge.operators.ordering import ordinal
+from turnforge.operators.starts import start_units
 
 
 def chars_estimator(text: Column, chars_per_token: int = 4) -> Column:
@@ -38,25 +39,20 @@ def estimate_tokens(messages: Column, allowance: Column | int = COMPAT_COMPLETIO
 
 def rate_plan(df: DataFrame, order: str, tokens: str, requests_per_minute: int,
               tokens_per_minute: int) -> DataFrame:
-    """W4 (+ W2 ``task_id``): earliest start (seconds) of each request under both budgets, in ``order``.
-
-    With all requests ready at t=0 and in-order admission, request i (1-based)
-    with running token sum C_i starts no earlier than
-    ``max(0, 60 (i - R) / R, 60 (C_i - K) / K)``.  It is a lower bound (§4.4).
-    Requests estimated above K can never be admitted (T13): flagged
-    ``oversize``, given no start, and left out of the running sums.
-    The running sums are a two-level prefix sum, so no task sees all rows.
+    """W4 (+ W2 ``task_id``): start (seconds) of each request under both budgets, in ``order``.
+
+    All requests are ready at t=0, admission is in order, and both buckets are
+    full then and never hold more than a minute's worth: the times are those
+    of the sequential loop (``turnforge.operators.starts``).  Requests estimated
+    above a minute's tokens can never be admitted (T13): flagged ``oversize``,
+    given no start, and no budget is spent on them.
     """
     over = F.col(tokens) > F.lit(tokens_per_minute)
-    staged = df.withColumn("oversize", over)
-    rt = running_totals(staged, [], order,
-                        {"_t": F.lit(1), "_i": F.when(~over, F.lit(1)), "_c": F.when(~over, F.col(tokens))})
-    rt = rt.withColumn("task_id", (F.col("_t") - 1).cast("bigint")).drop("_t")      # W2
-    r, k = float(requests_per_minute), float(tokens_per_minute)
-    start = F.greatest(F.lit(0.0), F.lit(60.0) * (F.col("_i") - F.lit(requests_per_minute)) / F.lit(r),
-                       F.lit(60.0) * (F.col("_c") - F.lit(tokens_per_minute)) / F.lit(k))
-    return rt.withColumn("start_s", F.when(F.col("oversize"), F.lit(None).cast("double"))
-                         .otherwise(F.round(start, 6))).drop("_i", "_c")
+    rt = ordinal(df.withColumn("oversize", over), [], order, "task_id")     # W2
+    units = start_units(df.where(~over), order, tokens, requests_per_minute, tokens_per_minute)
+    units = units.select(F.col(order).alias("_o"), "start")
+    seconds = F.round(F.col("start") * F.lit(60.0) / F.lit(float(requests_per_minute * tokens_per_minute)), 6)
+    return rt.join(units, rt[order] == units["_o"], "left").withColumn("start_s", seconds).drop("_o", "start")
 
 
 def retry_ledger(attempts: DataFrame, task: str, order: Sequence[str], success: Column, error_kind: Column,

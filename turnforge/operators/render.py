@@ -80,13 +80,15 @@ def starter_verdict_requests(completions: DataFrame, model: str,
                     decode_row_idx(F.col("custom_id")), attempt, messages, params_struct(**params))
 
 
-def user_turn_prompt(scene: Column, dialogue: Column, cue: str | None) -> Column:
+def user_turn_prompt(scene: Column, dialogue: Column | None, cue: str | None, history: Column | None = None) -> Column:
     """Scene, history with newlines deleted (T9), then the closing cue.
 
+    ``history`` is the text of the messages if it is rendered already.
+
     ``cue=None`` gives the regeneration base, which drops the cue (T8).
     """
-    parts = [F.lit(P.SCENE_HEAD), scene, F.lit("\n" + P.HISTORY_HEAD), history_text(dialogue, "delete"),
-             F.lit("\n\n")]
+    parts = [F.lit(P.SCENE_HEAD), scene, F.lit("\n" + P.HISTORY_HEAD),
+             history if history is not None else history_text(dialogue, "delete"), F.lit("\n\n")]
     if cue is not None:
         parts.append(F.lit(cue))
     return F.concat(*parts)
@@ -95,9 +97,10 @@ def user_turn_prompt(scene: Column, dialogue: Column, cue: str | None) -> Column
 def user_turn_requests(dialogues: DataFrame, run_id: str, model: str, turn,
                        prompts: Mapping[str, str] = P.DEFAULT_PROMPTS,
                        params: Mapping = K.USER_TURN_PARAMS) -> DataFrame:
-    """P6 over open dialogues only (F1)."""
+    """P6 over open dialogues only (F1); a ``history`` column (text) stands for ``dialogue``."""
     open_rows = dialogues.where(~F.coalesce(F.col("ended"), F.lit(False)))
-    prompt = user_turn_prompt(F.col("scene"), F.col("dialogue"), prompts["user_turn_cue"])
+    texts = (None, F.col("history")) if "history" in dialogues.columns else (F.col("dialogue"), None)
+    prompt = user_turn_prompt(F.col("scene"), texts[0], prompts["user_turn_cue"], texts[1])
     messages = F.array(msg("system", F.lit(prompts["user_turn_system"])), msg("user", prompt))
     turn_c = F.col(turn) if isinstance(turn, str) else F.lit(turn)
     cid = turn_custom_id(F.col("lang"), run_id, model_short(F.lit(model)), turn_c, F.col("row_idx"))
@@ -206,10 +209,16 @@ def wrapped(model: Column) -> Column:
     return F.coalesce(model.contains(K.TYPED_PARTS_MODEL_TAG), F.lit(False))
 
 
+def message_json(messages: Column, model: Column) -> Column:
+    """The messages as JSON: a wrapped model (P14) gets each content as a list of typed parts, the others as a string."""
+    typed = F.transform(typed_parts(messages, model), lambda m: F.struct(m["role"].alias("role"), m["parts"].alias("content")))
+    return F.when(wrapped(model), F.to_json(typed)).otherwise(F.to_json(messages))
+
+
 def request_json(requests: DataFrame) -> Column:
-    """The request envelope as one JSON line."""
+    """The request envelope as one JSON line (S4); messages of wrapped models are typed parts."""
     body = F.struct(
-        F.col("model").alias("model"), F.col("messages").alias("messages"),
+        F.col("model").alias("model"), F.parse_json(message_json(F.col("messages"), F.col("model"))).alias("messages"),
         F.col("params.temperature").alias("temperature"), F.col("params.top_p").alias("top_p"),
         F.col("params.frequency_penalty").alias("frequency_penalty"),
         F.col("params.presence_penalty").alias("presence_penalty"),

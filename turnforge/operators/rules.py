@@ -7,14 +7,14 @@ The original delegates these checks to a model judge.  These columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnforge.functions.text import has_speaker_tag, placeholder_hits, sentence_count, token_set, tokens
+from turnforge.functions.text import has_speaker_tag, placeholder_hits, sentence_count, tokens
 from turnforge.operators.ordering import previous_value
+from turnforge.operators.similarity import nearest_earlier
 
 KEY, POS = "conv_id", "pos"
-SALTS = 4
 
 
 def concise(msgs: DataFrame, role: str = "user", max_sentences: int = 2) -> DataFrame:
@@ -30,43 +30,9 @@ def placeholder(msgs: DataFrame) -> DataFrame:
         "flag", F.col("metric") > 0)
 
 
-def earlier_similarity(msgs: DataFrame, earlier: Column | None = None, same_role: bool = True) -> DataFrame:
-    """Max token-set Jaccard of each message with earlier messages of the same dialogue.
-
-    Exact, via an inverted index: only pairs sharing at least one token can
-    have a non-zero Jaccard, so messages are exploded to distinct tokens and
-    joined on ``(conv_id, [role,] token)``; pair intersections are counted with
-    a map-side partial aggregate.  A token that is common in a long dialogue is
-    spread over ``SALTS`` keys: later messages are dealt over them by position and
-    the earlier ones are copied to each.  ``earlier`` optionally filters
-    which earlier messages count (e.g. only assistant ones).
-    Returns ``conv_id, pos, sim`` for every message (0 when nothing matches).
-    """
-    ts = msgs.select(KEY, POS, "role", token_set(F.col("content")).alias("_ts"))
-    base = ts.select(KEY, POS, "role", F.size("_ts").alias("_n"))
-    toks = ts.select(KEY, POS, "role", F.size("_ts").alias("_n"), F.explode("_ts").alias("_tok"))
-    later = toks.select(KEY, F.col(POS).alias("_pb"), F.col("role").alias("_rb"), F.col("_n").alias("_nb"), "_tok")
-    prior = toks if earlier is None else toks.where(earlier)
-    prior = prior.select(KEY, F.col(POS).alias("_pa"), F.col("role").alias("_ra"), F.col("_n").alias("_na"), "_tok")
-    on = [KEY, "_tok"]
-    if same_role:
-        later = later.withColumnRenamed("_rb", "_role")
-        prior = prior.withColumnRenamed("_ra", "_role")
-        on = [KEY, "_role", "_tok"]
-    later = later.withColumn("_salt", F.pmod(F.xxhash64("_pb"), F.lit(SALTS)))
-    prior = prior.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    pairs = later.join(prior, [*on, "_salt"]).where(F.col("_pa") < F.col("_pb"))
-    inter = pairs.groupBy(KEY, "_pb", "_pa").agg(F.count(F.lit(1)).alias("_i"), F.first("_na").alias("_na"),
-                                                 F.first("_nb").alias("_nb"))
-    jac = F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i"))
-    best = inter.groupBy(KEY, F.col("_pb").alias(POS)).agg(F.max(jac).alias("_sim"))
-    return base.join(best, [KEY, POS], "left").select(KEY, POS, "role",
-                                                       F.coalesce(F.col("_sim"), F.lit(0.0)).alias("sim"))
-
-
 def repetition(msgs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Q2: max Jaccard with an earlier same-role message; flagged at ``threshold``."""
-    s = earlier_similarity(msgs, same_role=True)
+    s = nearest_earlier(msgs, [KEY, "role"])
     return s.select(KEY, POS, F.round(F.col("sim"), 6).alias("metric")).withColumn(
         "flag", F.col("metric") >= threshold)
 
@@ -125,7 +91,7 @@ def role_confusion(msgs: DataFrame, copy_threshold: float = 0.5) -> DataFrame:
     """
     prev = previous_value(msgs, [KEY], POS, ["role"])
     alt = F.coalesce(F.col("prev_role") == F.col("role"), F.lit(False))
-    sim = earlier_similarity(msgs, earlier=F.col("role") == "assistant", same_role=False).select(KEY, POS, "sim")
+    sim = nearest_earlier(msgs, [KEY], F.col("role") == "assistant", (copy_threshold,))  # exact from the threshold on
     j = prev.join(sim, [KEY, POS], "left")
     copy = F.coalesce(F.col("sim") >= copy_threshold, F.lit(False))
     metric = alt.cast("bigint") + has_speaker_tag(F.col("content")).cast("bigint") + copy.cast("bigint")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from turnforge import constants as K
 from turnforge.functions.identity import decode_row_idx, model_short, turn_custom_id
 from turnforge.functions.text import clean_compat, clean_prefix, has_end_marker, history_text
-from turnforge.operators import budget, complete, fold, judge, render, rules, transcript, triage
+from turnforge.operators import attempt_log, budget, complete, fold, journal, judge, render, rules, segments, transcript, triage
 from turnforge.sources import io
 from turnforge.operators.ordering import ordinal
 from turnforge.plans.fixtures import ASSISTANT_MODEL, GEN_MODEL, RUN_ID, STARTER_DATASET, Fixtures
@@ -115,12 +115,32 @@ def _turn_snapshots(fx: Fixtures) -> DataFrame:
 
 @query
 def q_user_turn_requests(spark, sf):
-    req = render.user_turn_requests(_turn_snapshots(Fixtures(spark, sf)), RUN_ID, GEN_MODEL, "turn")
+    """P6 over segmented dialogues: the history is rendered a segment at a time; only a prompt's texts are gathered."""
+    fx = Fixtures(spark, sf)
+    asks = _asks(fx, "user", 1).where(F.col("conv_id") % 6 != 5)      # F1
+    history = segments.texts_before(_segments(fx), asks).select(F.col("conv_id").alias("_c"), F.col("upto").alias("turn"), "history")
+    heads = fx.dialogues.select("conv_id", "row_idx", "lang", "scene", "ended")
+    rows = heads.join(history, heads["conv_id"] == history["_c"])
+    req = render.user_turn_requests(rows, RUN_ID, GEN_MODEL, "turn")
     return req.select("custom_id", _last_content(req).alias("prompt"), *_params(*SAMPLING))
 
 
+SEGMENT = 4     # fixture size; the library's default is larger
+
+
+def _segments(fx: Fixtures) -> DataFrame:
+    return segments.to_segments(fx.msgs, SEGMENT, chained=False)
+
+
+def _asks(fx: Fixtures, role: str, min_pos: int) -> DataFrame:
+    return fx.msgs.where((F.col("role") == role) & (F.col("pos") >= min_pos)).select("conv_id", F.col("pos").alias("upto"))
+
+
 def _assistant_requests(fx: Fixtures) -> DataFrame:
-    return render.assistant_turn_requests(fx.snapshots("assistant", 0), RUN_ID, ASSISTANT_MODEL, "turn")
+    before = segments.dialogues_before(_segments(fx), _asks(fx, "assistant", 0)).select(F.col("conv_id").alias("_c"), F.col("upto").alias("turn"), "dialogue")
+    heads = fx.dialogues.select("conv_id", "row_idx", "lang", "ended")
+    rows = heads.join(before, heads["conv_id"] == before["_c"])
+    return render.assistant_turn_requests(rows, RUN_ID, ASSISTANT_MODEL, "turn")
 
 
 @query
@@ -278,6 +298,19 @@ def q_echo_complete(spark, sf):
     return _as_attempts(out).select("custom_id", "attempt", "content", "error", F.col("tries").cast("bigint").alias("tries"))
 
 
+@query
+def q_journal_complete(spark, sf):
+    """A first run asks for some requests, a second one for all; those in the journal are not asked for again."""
+    a = Fixtures(spark, sf).attempts
+    reqs = a.select("custom_id", "attempt", F.lit(GEN_MODEL).alias("model"),
+                    F.array(render.msg("system", F.lit("s")), render.msg("user", F.col("content"))).alias("messages"))
+    path = scratch_path(spark, "journal")
+    batch = 512
+    journal.complete_journaled(reqs.where(F.col("attempt") <= 1), RefusingEcho, path, batch)
+    out = journal.complete_journaled(reqs, RefusingEcho, path, batch)
+    return _as_attempts(out).select("custom_id", "attempt", "content", "error", F.col("tries").cast("bigint").alias("tries"))
+
+
 @query
 def q_clean_response(spark, sf):
     a = Fixtures(spark, sf).attempts
@@ -319,6 +352,19 @@ def q_turn_fold(spark, sf):
     return f.select("custom_id", F.col("winning_attempt").cast("bigint").alias("winning_attempt"), "final_content")
 
 
+@query
+def q_turn_fold_merged(spark, sf):
+    """The log is bucketed by id and grows a round at a time; each round is folded alone and merged into the winners."""
+    a = Fixtures(spark, sf).attempts.where(F.col("flow") == "turn").select("custom_id", "content", "accepted", F.col("attempt").cast("int").alias("attempt"))
+    a = stored(a, "turn-attempts")
+    log = attempt_log.AttemptLog(spark, scratch_path(spark, "log"), buckets=8)
+    for r in range(K.MAX_TURN_ROUNDS + 1):
+        log.append(a.where(F.col("attempt") == r), r)
+        log.merge(r)
+    f = log.folded("turn")
+    return f.select("custom_id", F.col("winning_attempt").cast("bigint").alias("winning_attempt"), "final_content")
+
+
 @query
 def q_round_convergence(spark, sf):
     """S8 + A1: the rounds appended to the attempt log, read back and counted."""
@@ -334,17 +380,24 @@ def q_round_convergence(spark, sf):
 
 @query
 def q_append_turn(spark, sf):
+    """J5 on segments: each dialogue up to its last user turn, the new text appended as a segment of its own."""
     fx = Fixtures(spark, sf)
-    d = fx.dialogues
-    last_user = F.array_max(F.transform("dialogue", lambda m, i: F.when(m["role"] == "user", i)))
-    d = d.withColumn("pos", last_user.cast("bigint"))
-    d = d.withColumn("dialogue", F.when(F.col("pos") > 0, F.slice("dialogue", 1, F.col("pos").cast("int")))
-                     .otherwise(F.col("dialogue")))
-    turns = _fold(fx, "turn").select("conv_id", "pos", F.col("final_content").alias("content"))
-    out = transcript.append_turn(d, turns, ["conv_id", "pos"], "user", GEN_MODEL, "prefix")
-    last = F.try_element_at(F.col("dialogue"), F.lit(-1))
-    return out.select("conv_id", F.size("dialogue").cast("bigint").alias("n_msgs"), "ended",
-                      last["role"].alias("last_role"), last["content"].alias("last_content"))
+    path = scratch_path(spark, "segments")
+    last_user = fx.msgs.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.col("pos"))).alias("_p"))
+    m = fx.msgs.join(last_user, "conv_id")
+    m = m.where(F.coalesce((F.col("_p") == 0) | (F.col("pos") < F.col("_p")), F.lit(True)))
+    segments.to_segments(m.select("conv_id", "pos", "role", "content"), SEGMENT).write.parquet(path)
+    table = segments.read(spark, path)
+    turns = _fold(fx, "turn").join(last_user, "conv_id").where(F.col("pos") == F.col("_p")).select("conv_id", F.col("final_content").alias("content"))
+    new = stored(segments.append(segments.heads(table), turns, "user", GEN_MODEL, "prefix"), "appended")
+    segments.attach(spark, path, new)
+    table = segments.read(spark, path)
+    every = fx.dialogues.select("conv_id")
+    ended = new.select("conv_id", F.col("ended"))
+    counts = segments.heads(table).select("conv_id", "next_pos")
+    out = every.join(counts, "conv_id", "left").join(ended, "conv_id", "left").join(segments.last_messages(table), "conv_id", "left")
+    return out.select("conv_id", F.coalesce("next_pos", F.lit(0)).cast("bigint").alias("n_msgs"), F.coalesce("ended", F.lit(False)).alias("ended"),
+                      "last_role", "last_content")
 
 
 @query
@@ -572,16 +625,71 @@ def q_stratified_sample(spark, sf):
 
 # --- streaming and the driver loop -------------------------------------------------------
 
-@query
-def q_stream_ingest(spark, sf):
-    """ST1: completion files of all attempts arrive in reversed order, some of them twice; no line is lost."""
-    from turnforge.streaming.ingest import ingest
+def _ingested(spark, sf, contradict: bool) -> DataFrame:
+    """ST1: errors come before their answers, in triggers of their own; then lines of all attempts arrive in reversed order,
+    some twice; then, with ``contradict``, other answers to some."""
+    from turnforge.streaming import ingest
     base = scratch_path(spark, "stream-ingest")
-    lines = stored(Fixtures(spark, sf).completion_lines.select("value", "attempt", (F.col("conv_id") % 4).alias("_f")), "stream-lines")
+    fx = Fixtures(spark, sf)
+    columns = ["value", "attempt", "custom_id", "conv_id", "e", (F.col("conv_id") % 4).alias("_f")]
+    lines = stored(fx.completion_lines.join(fx.attempts.select("custom_id", "attempt", "content"), ["custom_id", "attempt"]).select(*columns, "content"), "stream-lines")
+
+    def put(rows: DataFrame) -> None:
+        rows.select("value", "attempt").repartition("attempt").write.mode("append").partitionBy("attempt").text(f"{base}/in")
+
+    def body(inner) -> F.Column:
+        return F.to_json(F.struct("custom_id", F.struct(F.struct(inner).alias("body")).alias("response")))
+
+    failed = F.to_json(F.struct("custom_id", F.struct(F.array(F.lit("zz")).alias("body")).alias("response")))
+    put(lines.where((F.col("e") != 1) & (F.col("conv_id") % 5 == 2)).withColumn("value", failed))
+    ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/chk")
     for k in (3, 2, 1, 0, 1):
-        lines.where(F.col("_f") == k).select("value", "attempt").write.mode("append").partitionBy("attempt").text(f"{base}/in")
-    ingest(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=64)
-    return _as_attempts(spark.read.parquet(f"{base}/out")).select("custom_id", "attempt", "content", "error")
+        put(lines.where(F.col("_f") == k))
+    ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/chk", max_files_per_trigger=24)
+    if not contradict:
+        return _as_attempts(ingest.latest(spark, f"{base}/out"))
+    other = body(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.concat("content", F.lit("~")).alias("content")).alias("message"))).alias("choices"))
+    put(lines.where(~F.col("e").isin(0, 1, 3) & (F.col("conv_id") % 7 == 3)).withColumn("value", other))
+    ingest.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/chk")
+    return _as_attempts(ingest.latest(spark, f"{base}/out"))
+
+
+@query
+def q_stream_ingest(spark, sf):
+    """ST1: the answer of each id and attempt, whatever arrived first; no line is lost."""
+    return _ingested(spark, sf, False).select("custom_id", "attempt", "content", "error")
+
+
+@query
+def q_stream_conflicts(spark, sf):
+    """ST1: lines and contradictions of each id and attempt."""
+    return _ingested(spark, sf, True).select("custom_id", "attempt", "n_lines", "conflict")
+
+
+ORPHAN_SLICES = 2
+
+
+@query
+def q_stream_orphans(spark, sf):
+    """Requests and completions as two streams in slices of time; a request that is not answered in 30 minutes is an orphan."""
+    from turnforge.streaming import orphans
+    base = scratch_path(spark, "stream-orphans")
+    conv, pos, att = F.col("conv_id"), F.col("pos"), F.col("attempt")
+    minute = conv * 2 + pos
+    delay = (conv * 13 + pos * 7 + att * 5) % 50
+    at = lambda m: F.timestamp_seconds(F.lit(1_700_000_000) + m * 60)
+    rows = stored(Fixtures(spark, sf).attempts.select("custom_id", "attempt", minute.alias("m"), (minute + delay).alias("a"),
+                                                      ((conv * 3 + pos + att) % 11 != 0).alias("comes")), "orphan-rows")
+    last = rows.agg(F.max("a")).first()[0] or 0
+    sides = (("requests", "m", "asked", rows), ("completions", "a", "answered", rows.where("comes")))
+    for k in range(ORPHAN_SLICES):
+        for name, when, column, side in sides:
+            part = side.where(F.floor(F.col(when) * ORPHAN_SLICES / (last + 1)) == k).select("custom_id", "attempt", at(F.col(when)).alias(column))
+            (part.unionByName(part.limit(5)) if name == "completions" else part).write.mode("append").parquet(f"{base}/{name}")
+        orphans.run(spark, f"{base}/requests", f"{base}/completions", f"{base}/out", f"{base}/chk")
+    orphans.heartbeat(spark, f"{base}/requests", f"{base}/completions", "2100-01-01 00:00:00")
+    orphans.run(spark, f"{base}/requests", f"{base}/completions", f"{base}/out", f"{base}/chk")
+    return orphans.pairs(spark, f"{base}/out").select("custom_id", "attempt", F.col("answered").isNotNull().alias("answered"))
 
 
 @query

@@ -446,20 +446,19 @@ SELECT doc_id, CAST(4 + ceil(length('user') / 4) + ceil(length(text) / 4) + 2 +
 FROM documents
 """
 
+# The throttled loop, a request at a time: last start, and when each bucket is full again, in units of 60 / (200 * 5000) s.
 ORACLE["rate_plan"] = """
-WITH e AS (SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS est FROM documents),
-r AS (
-  SELECT doc_id, est,
-         count(*) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i,
-         sum(est) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
-  FROM e WHERE est <= 5000
+WITH RECURSIVE e AS (SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS est FROM documents),
+r AS (SELECT doc_id, est, row_number() OVER (ORDER BY doc_id) AS i FROM e WHERE est <= 5000),
+t(i, s, fr, ft) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT
+  UNION ALL
+  SELECT x.i, x.s, greatest(x.fr, x.s) + 5000, greatest(x.ft, x.s) + x.est * 200
+  FROM (SELECT r.i, r.est, t.fr, t.ft, greatest(t.s, t.fr - 199 * 5000, t.ft - (5000 - r.est) * 200) AS s FROM t JOIN r ON r.i = t.i + 1) x
 )
 SELECT e.doc_id, CAST(row_number() OVER (ORDER BY e.doc_id) - 1 AS BIGINT) AS task_id,
-       CASE WHEN e.est > 5000 THEN NULL
-            ELSE round(greatest(0.0::DOUBLE, 60.0::DOUBLE * (r.i - 200) / 200.0::DOUBLE,
-                                60.0::DOUBLE * (r.c - 5000) / 5000.0::DOUBLE), 6) END AS start_s,
-       e.est > 5000 AS oversize
-FROM e LEFT JOIN r USING (doc_id)
+       round(t.s * 60.0::DOUBLE / 1000000.0::DOUBLE, 6) AS start_s, e.est > 5000 AS oversize
+FROM e LEFT JOIN r USING (doc_id) LEFT JOIN t USING (i)
 """
 
 ORACLE["attempt_ledger"] = """
@@ -565,6 +564,19 @@ ORACLE["stream_ingest"] = """
 SELECT CASE WHEN e = 1 THEN NULL ELSE custom_id END AS custom_id, attempt, content, error FROM fx_comp
 """
 ORACLE["stream_rate_audit"] = ORACLE["rate_audit"]
+ORACLE["stream_conflicts"] = """
+SELECT CASE WHEN e = 1 THEN NULL ELSE custom_id END AS custom_id, attempt,
+       CAST(CASE WHEN conv_id % 4 = 1 THEN 2 ELSE 1 END + CASE WHEN e <> 1 AND conv_id % 5 = 2 THEN 1 ELSE 0 END
+            + CASE WHEN content IS NOT NULL AND conv_id % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) AS n_lines,
+       content IS NOT NULL AND conv_id % 7 = 3 AS conflict
+FROM fx_comp
+"""
+ORACLE["stream_orphans"] = """
+SELECT custom_id, attempt, (conv_id * 3 + pos + attempt) % 11 <> 0 AND (conv_id * 13 + pos * 7 + attempt * 5) % 50 <= 30 AS answered
+FROM fx_attempts
+"""
+ORACLE["journal_complete"] = ORACLE["echo_complete"]
+ORACLE["turn_fold_merged"] = ORACLE["turn_fold"]
 # The answers of attempt 0 are missing for some conversations: those attempts are rejected without a text.
 for _flow, _last in (("turn", K.MAX_TURN_ROUNDS), ("starter", K.MAX_STARTER_ROUNDS)):
     _none = END if _flow == "turn" else "a0.content"
@@ -585,7 +597,9 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for key, body in ORACLE.items():
         body = body.strip()
-        if body.upper().startswith("WITH "):
+        if body.upper().startswith("WITH RECURSIVE "):
+            out[key] = "WITH RECURSIVE " + FIXTURE_CTES.strip() + ",\n" + body[15:]
+        elif body.upper().startswith("WITH "):
             out[key] = "WITH " + FIXTURE_CTES.strip() + ",\n" + body[5:]
         else:
             out[key] = "WITH " + FIXTURE_CTES.strip() + "\n" + body

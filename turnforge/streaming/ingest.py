@@ -1,32 +1,38 @@
-"""ST1: ingest completion files that land out of order and may repeat.
-
-``readStream`` (text lines, no inference) -> parse -> de-duplicate on id and
-attempt -> Parquet sink.  The attempt is the ``attempt=N`` folder a file is in
-(0 without one): regenerated completions keep their ``custom_id``.  A line
-without an id is a dead letter, told from others by the hash of its text.
-For a bounded backlog use ``trigger(availableNow=True)``; the de-duplication
-state then covers exactly the files present.  For an unbounded run pass
-``watermark``: ``dropDuplicatesWithinWatermark`` bounds the state.
+"""ST1: ingest completion files that land out of order, may repeat and may contradict each other.
+
+``readStream`` (text lines, no inference) -> parse -> a state for each id and
+attempt -> one row of what is known so far, per micro-batch.  The attempt is the
+``attempt=N`` folder a file is in (0 without one): regenerated completions keep
+their ``custom_id``.  A line without an id is a dead letter, told from others by
+the hash of its text.
+
+The state folds lines in any order to the same result: an answer replaces an
+error, the smallest of several answers stays (as ``complete.replay`` has it),
+lines are counted, and answers that differ are a conflict.  It expires when a key
+has been silent for ``expire_ms``, in the time at which lines are read (so no line
+is late); a line that comes later opens a new state, and ``latest`` folds the
+states of a key, so expiry changes no result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnforge.plans.fixtures import parse_completion_lines
 
 KEYS = ["line_key", "attempt"]
+STATE = "custom_id string, least string, most string, error string, n_lines long, n_answers long, since long"
+OUT = f"line_key string, attempt int, {STATE}"
+EXPIRE_MS = 24 * 3600 * 1000
 
 
-def completion_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None,
-                      watermark: str | None = None) -> DataFrame:
-    """Parsed, de-duplicated completion stream.
-
-    ``watermark`` (a delay such as ``"1 hour"``) switches to
-    ``dropDuplicatesWithinWatermark`` on the time a line is read, so no line is
-    ever late, however old its file is; without it the state covers every key seen.
-    """
+def completion_lines(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The stream of parsed lines: line_key, attempt, custom_id, content, error, arrived."""
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -35,16 +41,57 @@ def completion_stream(spark: SparkSession, src_dir: str, max_files_per_trigger:
                                         F.current_timestamp().alias("arrived"))
     parsed = parse_completion_lines(lines)
     key = F.coalesce(F.concat(F.lit("id:"), "custom_id"), F.concat(F.lit("text:"), F.sha2(F.coalesce("value", F.lit("")), 256)))
-    parsed = parsed.select(key.alias("line_key"), "custom_id", "attempt", "content", "error", "is_error", "arrived")
-    if watermark:
-        return parsed.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(KEYS)
-    return parsed.dropDuplicates(KEYS)
-
-
-def ingest(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
-           max_files_per_trigger: int | None = None, watermark: str | None = None) -> None:
-    """Run the ingest over everything present now and stop (``availableNow``)."""
-    stream = completion_stream(spark, src_dir, max_files_per_trigger, watermark)
-    q = (stream.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out_dir))
+    return parsed.select(key.alias("line_key"), "attempt", "custom_id", "content", "error", "arrived").withWatermark("arrived", "0 seconds")
+
+
+def _least(old, new: pd.Series):
+    found = [x for x in [old, new.min() if len(new) else None] if x is not None]
+    return min(found) if found else None
+
+
+def _fold(expire_ms: int):
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        custom_id, least, most, error, n_lines, n_answers, since = state.get if state.exists else (None, None, None, None, 0, 0, None)
+        for lines in frames:
+            now = int(lines["arrived"].max().timestamp() * 1000)  # one time in a micro-batch
+            since = now if since is None else since
+            answers, errors = lines["content"].dropna(), lines["error"].dropna()
+            custom_id = _least(custom_id, lines["custom_id"].dropna())
+            least, error = _least(least, answers), _least(error, errors)
+            most = max([x for x in [most, answers.max() if len(answers) else None] if x is not None], default=None)
+            n_lines, n_answers = n_lines + len(lines), n_answers + len(answers)
+        known = (custom_id, least, most, error, n_lines, n_answers, since)
+        state.update(known)
+        state.setTimeoutTimestamp(now + expire_ms)
+        yield pd.DataFrame([(key[0], int(key[1]), *known)], columns=[c.split()[0] for c in OUT.split(", ")])
+    return fold
+
+
+def completion_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None, expire_ms: int = EXPIRE_MS) -> DataFrame:
+    """What is known of each key that a micro-batch has lines of."""
+    return completion_lines(spark, src_dir, max_files_per_trigger).groupBy(*KEYS).applyInPandasWithState(
+        _fold(expire_ms), OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def ingest(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str, max_files_per_trigger: int | None = None,
+           expire_ms: int = EXPIRE_MS) -> None:
+    """Run the ingest over everything present now and stop (``availableNow``); a micro-batch that is run again replaces its folder."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+
+    q = (completion_stream(spark, src_dir, max_files_per_trigger, expire_ms).writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest(spark: SparkSession, out_dir: str) -> DataFrame:
+    """custom_id, attempt, content, error, n_lines, conflict: what is known of each key over all states it had."""
+    log = spark.read.schema(f"{OUT}, batch_id bigint").parquet(out_dir)
+    last = log.groupBy(*KEYS, "since").agg(F.max_by(F.struct("custom_id", "least", "most", "error", "n_lines"), "batch_id").alias("s"))
+    every = last.groupBy(*KEYS).agg(F.min("s.custom_id").alias("custom_id"), F.min("s.least").alias("content"), F.max("s.most").alias("most"),
+                                    F.min("s.error").alias("error"), F.sum("s.n_lines").alias("n_lines"))
+    return every.select("custom_id", "attempt", "content", F.when(F.col("content").isNull(), F.col("error")).alias("error"), "n_lines",
+                        F.coalesce(F.col("content") != F.col("most"), F.lit(False)).alias("conflict"))
