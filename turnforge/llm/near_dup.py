@@ -163,6 +163,35 @@ def _differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n", "load", "label", "w", "extra", "lost", ((100 - percent) * (F.col("n_a") + F.size("added") - F.size("removed"))).alias("sure"))
 
 
+def _prefixes(group: DataFrame, labels: DataFrame, centre: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, load): the buckets in which members of a group meet that may still be linked (see ``_linked``)."""
+    reach = 100 + percent
+    known = _with_labels(group.drop("label"), labels, "b", "label")
+    known = known.join(_with_labels(centre, labels, "c", "label_c"), "a").withColumn("core", (F.col("b") == F.col("c")) | (F.col("w") + F.col("w_c") <= F.col("sure")))
+    least = known.where("not core").groupBy("a").agg(F.min("w").alias("w_out"))
+    alone = F.ceil((F.col("w") - F.col("sure")) / 100)
+
+    def need(partner: str):
+        return F.greatest(F.lit(1), alone, F.ceil((F.col("w") + F.col(partner) - F.col("sure")) / reach)).cast("int")
+
+    ways = F.array(F.when(F.col("core"), F.struct(F.lit(0).alias("t"), need("w_out").alias("need"))),
+                   F.when(~F.col("core") & (F.col("label") != F.col("label_c")), F.struct(F.lit(0).alias("t"), need("w_c").alias("need"))),
+                   F.when(~F.col("core"), F.struct(F.lit(1).alias("t"), need("w_out").alias("need"))))
+    rows = (known.join(least, "a").withColumn("elements", F.concat("extra", "lost"))
+            .withColumn("way", F.explode(F.filter(ways, lambda x: x.isNotNull() & (x["need"] <= F.size("elements")))))
+            .select("a", "b", "n", "load", "label", "core", "way.t", "way.need", F.explode("elements").alias("e")))
+    rows = stored(rows, "elements")
+
+    def met(table: DataFrame) -> DataFrame:
+        sides = table.groupBy("a", "t", "e").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("core").alias("all_core"), F.max("core").alias("any_core"))
+        return sides.where("low < high and (t = 1 or (any_core and not all_core))").select("a", "t", "e", "often")
+
+    shared = (rows.join(met(rows), ["a", "t", "e"]).groupBy("a", "t", "b", "n", "load", "label", "core", "need")
+              .agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("found")).where("size(found) >= need"))
+    prefix = stored(shared.select("a", "t", "b", "n", "load", "label", "core", F.explode(F.expr("slice(found, 1, size(found) - need + 1)")["e"]).alias("e")), "prefixes")
+    return stored(prefix.join(met(prefix), ["a", "t", "e"]).select(F.xxhash64("a", "t", "e").alias("key"), F.col("b").alias("rep"), "n", "load"), "bucket-members")
+
+
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the documents that verified links connect.
 
@@ -177,22 +206,27 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     and L = (100 - percent)|P|; all are whole numbers, so a link at the threshold counts.
 
     1. If w_x + w_y <= L they are linked, whatever they share.  The member with the
-       least w has all these links that any member has, so its star connects them.
-    2. Else they share an element of D or E.  The partner has w_y >= (w_x - L) percent / 100,
-       as it cannot share more than it has, so x shares at least (w_x - L) / 100 of its
-       elements, and by prefix filtering one of the first |D| + |E| - that + 1, E (rare)
-       before D.  These elements are the buckets of the next round.
-
-    Buckets of at most ``SMALL`` members, twice as many in each round after the second, as few
-    are left then, are taken apart at once: their pairs that are not connected yet are compared.  So each pair that shares a bucket is compared,
+       least w, the centre c, has all these links that any member has, so its star
+       connects them: the core.  All others, the outer members, have w > L - w_c.
+    2. Else they share an element of D or E, and one of the two is outer.  A core member
+       shares at least (w + m - L) / (100 + percent) of its elements with an outer one,
+       where m is the least w of an outer member, an outer member at least
+       (w + w_c - L) / (100 + percent) with a core one and (w + m - L) / (100 + percent)
+       with an outer one; and each at least (w - L) / 100, as no partner can
+       share more than it has.  Only elements that a possible partner of another
+       component has as well count, so a member with fewer of them than it
+       needs is done, and by prefix filtering a pair shares one of the first
+       (those elements) - need + 1 of both, the elements that fewest members have
+       first.  These elements are the buckets of the next round.
+
+    Buckets of at most ``SMALL`` members are taken apart at once: their pairs that are not
+    connected yet are compared.  So each pair that shares a bucket is compared,
     connected, or cannot be linked, and no larger bucket is expanded into pairs.
     """
-    labels, rounds = None, 0
+    labels = None
     reach = 100 + percent
     while True:
-        small = SMALL << max(rounds - 1, 0)
-        rounds += 1
-        many = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > small).select("key")
+        many = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("key")
         every, members = members, stored(members.join(many, "key"), "large-buckets")
         few = every.join(many, "key", "left_anti")
         pivot = members.groupBy("key").agg(F.min(F.struct((-F.col("load")).alias("o"), "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
@@ -213,19 +247,12 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if not group.limit(1).count():
             return labels
         group = stored(_differences(group, sets, percent), "groups")
-        centre = group.groupBy("a").agg(F.min(F.struct("w", "b")).alias("c")).select("a", F.col("c.w").alias("w_c"), F.col("c.b").alias("c"))
+        centre = stored(group.groupBy("a").agg(F.min(F.struct("w", "b")).alias("c")).select("a", F.col("c.w").alias("w_c"), F.col("c.b").alias("c")), "centres")
         near = group.join(centre, "a").where((F.col("b") != F.col("c")) & (F.col("w") + F.col("w_c") <= F.col("sure")))
         sure = stored(near.select(F.col("c").alias("a"), "b").distinct(), "links")
         if sure.limit(1).count():
             labels = _joined(labels, sure)
-            group = _with_labels(group.drop("label"), labels, "b", "label")
-
-        need = F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("sure")) / 100)).cast("int")
-        elements = F.concat("extra", "lost")
-        prefix = F.slice(elements, F.lit(1), F.greatest(F.size(elements) - need + 1, F.lit(0)))
-        again = group.select("a", F.explode(prefix).alias("e"), F.col("b").alias("rep"), "n", "load", "label").withColumn("key", F.xxhash64("a", "e"))
-        shared = again.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        members = stored(again.join(shared, "key").select("key", "rep", "n", "load"), "bucket-members")
+        members = _prefixes(group, labels, centre, percent)
         if not members.limit(1).count():
             return labels
 
