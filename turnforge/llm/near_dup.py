@@ -17,7 +17,7 @@ of 50 bands of 5 with probability (1 - 0.8^5)^50, under 3e-9.
 
 Verification, on full sets, in rounds of pivots (see ``_linked``): each candidate pair
 is compared, already connected, or ruled out by what both share with their
-pivot, and no bucket is expanded into pairs.
+pivot, and no bucket of more than ``SMALL`` members is expanded into pairs.
 
 Cases: null or empty texts, or texts without words, have empty sets and are
 linked with nothing; rows that repeat a doc_id count as that one document, with
