@@ -12,7 +12,8 @@ that tasks get whole.
 
 Look up: queries are range-sorted too.  A task finds a key's part in the manifest and its
 block in that part's directory by binary search, reads that block's byte range,
-finds the line by binary search, and reads the record's byte range.
+finds the line by binary search, and reads the record's byte range.  Tasks are dealt by the bytes
+of the archives, not by those of the narrow keys.
 
 Files are written and read through ``pyarrow.fs`` by URI, so the folder may be a mounted
 path or a store that it knows.  A task's attempt writes files of its own; only
@@ -46,6 +47,7 @@ from turnforge.llm.common import scratch_path, stored
 
 BLOCK_LINES = 1000
 ARCHIVE_BYTES = 1 << 30
+READ_BYTES = 1 << 22  # of archives, for a task to read
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -149,6 +151,7 @@ def write_archives(pages: DataFrame, root: str, least_bytes: int = 0) -> DataFra
     known = pages.withColumn("digest", F.sha1(body)).withColumn("size", F.length(body))
     same = (known.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
             .where("copies > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "first"))
+    same = stored(same, "payloads")  # narrow; Spark broadcasts it if its size allows, so that no html is shuffled
     known = known.join(same, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left")
     again = F.col("first").isNotNull() & ~F.struct("page_id", "url").eqNullSafe(F.struct("first.page_id", "first.url"))
     return stored(known.select("page_id", "url", "html", F.when(again, F.col("first.page_id")).alias("refers_to")).mapInArrow(_write(root), CAPTURES), "captures")
@@ -283,14 +286,23 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array([reversed_host(u) for u in batch.column(1).to_pylist()], pa.string()), batch.column(0)], ["key", "page_id"])
 
 
-def look_up(queries: DataFrame, archives: str, root: str, manifest: list[tuple]) -> DataFrame:
-    """Records (page_id, url, record_type, refers_to, payload_digest, payload_bytes) captured for the (page_id, url) of ``queries``, each once."""
+def reading_tasks(captures: DataFrame) -> int:
+    """Tasks to read all ``captures``: one for each ``READ_BYTES``, at most the number of shuffle partitions."""
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return max(1, min(-(-size // READ_BYTES), int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def look_up(queries: DataFrame, archives: str, root: str, manifest: list[tuple], tasks: int | None = None) -> DataFrame:
+    """Records (page_id, url, record_type, refers_to, payload_digest, payload_bytes) captured for the (page_id, url) of ``queries``, each once; by ``tasks`` tasks if given."""
     keys = queries.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(_keys, "key string, page_id long").distinct()
-    return keys.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(_look_up(archives, root, manifest), RECORDS)
+    order = ("key", "page_id")
+    dealt = keys.repartitionByRange(tasks, *order) if tasks else keys.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order).mapInArrow(_look_up(archives, root, manifest), RECORDS)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes and indexes the pages in a fresh folder, then reads every page's record back through the index."""
     root = scratch_path(pages.sparkSession, "warc")
-    manifest = write_index(write_archives(pages, f"{root}/archives", least_bytes), f"{root}/index")
-    return look_up(pages, f"{root}/archives", f"{root}/index", manifest)
+    captures = write_archives(pages, f"{root}/archives", least_bytes)
+    manifest = write_index(captures, f"{root}/index")
+    return look_up(pages, f"{root}/archives", f"{root}/index", manifest, reading_tasks(captures))
