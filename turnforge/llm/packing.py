@@ -5,10 +5,11 @@
 2. Range-sort: lengths are whole numbers up to ``capacity``, so pieces and gaps in
    order of size are told by their counts per size.  Spark counts the pieces; the
    counts, at most ``capacity`` rows, are all the driver sees of them.
-3. Bulk-synchronous rounds, a length at a time from the longest down.  A sweep
-   gives all pieces of the length their successors, the smallest gaps that hold them;
-   the gaps are updated and the sweep is repeated until the pieces are placed or
-   nothing holds them, when new sequences are opened.
+3. Best fit decreasing over the counts, in a loop on the driver instead of bulk-synchronous
+   rounds on Spark: a length at a time from the longest down, a sweep gives all pieces
+   of the length their successors, the smallest gaps that hold them; the gaps are updated and the
+   sweep is repeated until the pieces are placed or nothing holds them, when new
+   sequences are opened.
 4. Conflicts are resolved by rank: the k-th piece of a length takes the k-th gap that
    the rounds gave to it.  Spark numbers the pieces of each length and looks each
    number up in the rounds' table of runs.

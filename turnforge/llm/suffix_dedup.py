@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings across documents by distributed prefix doubling.
+"""Removal of repeated byte strings across documents by names of growing length at anchors.
 
 A byte goes if a ``LENGTH``-byte string that covers it also starts in a document with a
-smaller id.  Strings are ranked by names of growing length, as in prefix
-doubling: the name of 16 bytes is that of two names of 8 bytes at offset 8, the
+smaller id.  In place of prefix doubling over all positions, strings are told by names of two
+lengths at anchor positions: the name of 16 bytes is that of two names of 8 bytes at offset 8, the
 name of 50 bytes joins those of its 16-byte anchor and of the 34 bytes around it.  Spark sorts (name, document) pairs,
 positions whose name is unique to a document drop out, and the rest go on to
 the next length, until they are unique or past the threshold.
