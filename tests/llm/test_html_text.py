@@ -60,6 +60,36 @@ def test_boilerplate_paragraphs_and_inline_elements():
     assert extract(f"<div><p><span hidden>never closed<p>{LONG}</div>") == ONCE
 
 
+def test_page_shapes():
+    p, links = f"<p>{LONG}</p>", "<a href=1>Home</a> <a href=2>About us</a> <a href=3>Contact</a>"
+    shapes = [
+        (f'<div class="post social">{p}{p}</div><footer>f</footer>', f"{ONCE} {ONCE}"),
+        (f'<nav>{links}</nav><div class="widget-area main-content">{p}{p}</div>', f"{ONCE} {ONCE}"),
+        (f'<main><div class="alert">{p}</div></main>', ONCE),
+        (f'<article><h1>T</h1>{p}<section id="related-work"><h2>Related work</h2>{p}</section></article>', f"T {ONCE} Related work {ONCE}"),
+        (f'<article>{p}</article><article class="comment">{p}{p}</article><article class="comment">{p}</article>', ONCE),
+        (f'<main><h1>T</h1>{p}</main><section id=comments><article id="comment-7">{p}</article></section>', f"T {ONCE}"),
+        (f'<article>{p}<div class="discussion">{p}{p}{p}{p}{p}</div></article>', ONCE),
+        (f'<div class="cookieconsent">{p}</div><article>{p}</article>', ONCE),
+        (f'<div id="cookiebanner">{p}{p}{p}{p}{p}</div><article>{p}</article>', ONCE),
+        (f"<body><h1>T</h1><div class=t>{links}</div><div class=b>{p}</div>", f"T {ONCE}"),
+        (f"<body><h1>T</h1><ul><li><a href=1>Home</a><li><a href=2>About</a></ul><div class=b>{p}</div>", f"T {ONCE}"),
+        (f"<article>{p}<ul><li><a href=1>One source</a><li><a href=2>Two sources</a></ul></article>", f"{ONCE} One source Two sources"),
+        (f"<body><div class=b>{p}<p>See <a href=1>this</a> and <a href=2>that</a> page.</p></div>", f"{ONCE} See this and that page."),
+        (f'<article>{p}<div class="ad">Buy now</div><div class="newsletter-signup">Join the list</div>{p}</article>', f"{ONCE} {ONCE}"),
+        (f'<article>{p}<div class="related-posts"><a href=1>One</a><p>More to read</p></div></article>', ONCE),
+        (f'<div class="sidebar">{p}</div><article><p>A short article.</p></article>', "A short article."),
+        (f'<div class="content"><h1>T</h1>{p}<div class="share">Share this</div></div><div class="comments">{p}{p}{p}{p}{p}</div>', f"T {ONCE}"),
+        (f'<div class="page-header">Site</div><div id="main"><div class="entry">{p}</div></div><div class="pagination">{links}</div>', ONCE),
+        (f"<table><tr><td>{links}</td><td>{p}</td></tr></table>", ONCE),
+        (f'<body><a href=0>Skip<div class=b>{p}</div>', ONCE),
+        (f'<article>{p}<figure><img src=x><figcaption>A caption</figcaption></figure><blockquote>{p}</blockquote></article>', f"{ONCE} A caption {ONCE}"),
+        ('<div class="alert">Only this</div>', "Only this"),
+    ]
+    for page, want in shapes:
+        assert extract(page) == want, page
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep " + LONG
     odd = ["", None, "   ", "plain text &lt;b&gt; &#x41;&nbsp;x", "<p>a<p>b<br>c", "<p>un<b>closed", "<!-- only --><script>x", "<", "<article></article>", "<div hidden>x</div><p>y", "<td>1</td><td>2</td>", "x" * 300_000, deep]
