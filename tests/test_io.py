@@ -98,5 +98,7 @@ def test_sorted_export(spark, scratch):
     d = Fixtures(spark, SF_SMALL).dialogues.select("row_idx", F.col("seed_scene").alias("scene"), "lang")
     req = render.starter_requests(d, "r1", "fx", "m1")
     io.write_requests_jsonl(req, f"{scratch}/sorted", sort_for_export=True)
-    ids = [r.custom_id for r in spark.read.json(f"{scratch}/sorted").collect()]
+    files = spark.read.text(f"{scratch}/sorted").select(F.input_file_name()).distinct().collect()
+    ids = [r.custom_id for f in sorted(r[0] for r in files) for r in spark.read.json(f).collect()]
+    assert [int(x.rpartition("-")[2]) for x in ids] == sorted(r.row_idx for r in d.collect())  # 2 before 10
     assert len(ids) == req.count()

@@ -2,8 +2,10 @@
 pushdown and pruning reach the scan."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnforge.plans.catalog import QUERIES
+from turnforge.sources import io
 
 from .conftest import SF_SMALL
 
@@ -51,7 +53,6 @@ def test_topk_limit_is_pushed_below_the_shuffle(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    from pyspark.sql import functions as F
     from turnforge.plans.fixtures import Fixtures
     df = Fixtures(spark, SF_SMALL).msgs.where(F.col("conv_id") < 5)
     p = df._jdf.queryExecution().executedPlan().toString()
@@ -64,7 +65,6 @@ def test_ledger_first_tries_limited_before_shuffle(spark):
 
 
 def test_one_cell_of_the_grid_reads_one_partition(spark, scratch):
-    from turnforge.sources import io
     d = spark.range(12).selectExpr("id AS row_idx", "concat('l', id % 3) AS lang", "concat('u', id % 2) AS user_model")
     io.write_dialogues(d, scratch, ("lang", "user_model"))
     cell = spark.read.schema("row_idx bigint, lang string, user_model string").parquet(scratch).where("lang = 'l1' and user_model = 'u0'")
@@ -83,3 +83,32 @@ def test_no_cartesian_products(spark):
     for key in sorted(set(QUERIES) - EAGER):
         p = plan(QUERIES[key](spark, SF_SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key
+
+
+def scans(node):
+    """The file scans of an executed plan, inside stages of an adaptive plan too."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return scans(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return scans(node.plan())
+    if name == "FileSourceScanExec":
+        return [node]
+    children = node.children()
+    return [x for k in range(children.size()) for x in scans(children.apply(k))]
+
+
+def test_wanted_cells_prune_the_stored_partitions(spark, scratch):
+    rows = spark.range(64).select(F.col("id").alias("row_idx"), (F.col("id") % 16).cast("string").alias("lang"))
+    io.write_dialogues(rows, f"{scratch}/table", ("lang",))
+    spark.range(16).select(F.col("id").cast("string").alias("lang"), (F.col("id") * 10).alias("n")).write.parquet(f"{scratch}/cells")
+    table = spark.read.schema("row_idx bigint, lang string").parquet(f"{scratch}/table")
+    df = io.in_cells(table, spark.read.parquet(f"{scratch}/cells").where("n < 20"), ("lang",))
+    assert "dynamicpruning" in plan(df)
+    assert sorted(r.row_idx for r in df.collect()) == sorted([*range(0, 64, 16), *range(1, 64, 16)])
+    read = [s for s in scans(df._jdf.queryExecution().executedPlan()) if "dynamicpruning" in s.toString()]
+    assert [s.metrics().apply("numPartitions").value() for s in read] == [2]
+
+
+def test_registered_cells_prune(spark):
+    assert "dynamicpruning" in plan(QUERIES["thin_cells"](spark, SF_SMALL))

@@ -1,10 +1,13 @@
 """Nearest earlier message: exact against all pairs, and few candidates in a long dialogue."""
 
+import collections
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnforge.operators import rules as R
 from turnforge.operators import similarity as S
 
 
@@ -79,3 +82,21 @@ def test_no_messages_and_empty_texts(spark):
     rows = [(1, 0, "user", ""), (1, 1, "user", ""), (1, 2, "user", None), (2, 0, "user", "a"), (2, 1, "user", "A!")]
     msgs = spark.createDataFrame(rows, none.schema)
     assert sorted((r.conv_id, r.pos, r.sim) for r in S.nearest_earlier(msgs, ["conv_id"]).collect()) == [(1, 0, 0.0), (1, 1, 0.0), (1, 2, 0.0), (2, 0, 0.0), (2, 1, 1.0)]
+
+
+def test_common_tokens_go_through_the_broadcast_alone(spark):
+    pick = random.Random(5)
+    profile = {"the": "en", "der": "de", **{f"w{chr(97 + k)}": pick.choice(["en", "de", "fr"]) for k in range(26)}}
+    rows = [(c, p, "user", " ".join(["the"] * (p % 3 == 0) + ["der", "qq"] + pick.choices(list(profile), k=pick.randrange(6)))) for c in range(20) for p in range(8)]
+    rows += [(99, 0, "user", ""), (99, 1, "user", None), (99, 2, "user", "zz zz")]
+    msgs = spark.createDataFrame(rows, "conv_id long, pos long, role string, content string")
+    table = spark.createDataFrame(list(profile.items()), "tok string, lang string")
+    words = msgs.select(F.explode(F.split("content", " ")).alias("tok"))
+    assert {"der", "qq"} <= {r.tok for r in R.heavy_tokens(words, 10).collect()} and R.heavy_tokens(words, 10).count() <= 10
+
+    want = {}
+    for c, p, _, text in rows:
+        hits = collections.Counter(profile[t] for t in re.findall(r"[a-z]+", text or "") if t in profile)
+        want[c, p] = min(hits, key=lambda x: (-hits[x], x)) if hits else "unknown"
+    for limit in (1, 5, 1000):  # no, some or all tokens are heavy
+        assert {(r.conv_id, r.pos): r.detected for r in R.detect_language(msgs, table, limit).collect()} == want

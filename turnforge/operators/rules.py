@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from turnforge.functions.text import has_speaker_tag, placeholder_hits, sentence_count, tokens
 from turnforge.operators.ordering import previous_value
 from turnforge.operators.similarity import nearest_earlier
+from turnforge.session import stored
 
 KEY, POS = "conv_id", "pos"
+HEAVY, HEAVY_LETTERS = 1000, 64  # rows and letters of the broadcast table of common tokens
 
 
 def concise(msgs: DataFrame, role: str = "user", max_sentences: int = 2) -> DataFrame:
@@ -52,18 +54,35 @@ def language_profile(docs: DataFrame, lang: str = "lang", text: str = "text") ->
         F.min_by("lang", F.struct((-F.col("share")).alias("s"), F.col("lang").alias("l"))).alias("lang"))
 
 
-def detect_language(msgs: DataFrame, profile: DataFrame) -> DataFrame:
+def heavy_tokens(words: DataFrame, limit: int = HEAVY) -> DataFrame:
+    """The tokens of ``words`` (column tok) that make up at least one in ``limit`` of all: at most ``limit`` rows.
+
+    Only tokens of at most ``HEAVY_LETTERS`` letters are taken, so the table's bytes are bounded too.
+    """
+    counts = stored(words.where("tok is not null").groupBy("tok").agg(F.count(F.lit(1)).alias("n")), "token-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where((F.col("n") * limit >= total) & (F.length("tok") <= HEAVY_LETTERS)).select("tok")
+
+
+def detect_language(msgs: DataFrame, profile: DataFrame, limit: int = HEAVY) -> DataFrame:
     """Language with most token hits per message (ties by name), ``unknown`` if none.
 
-    One pass over the messages: tokens are exploded with ``explode_outer`` and
-    left-joined to the profile, so a message without any hit keeps a
-    single NULL-language row instead of needing a join back.  The winner is
-    ``min_by(lang, (-hits, lang))``.
+    A heavy-light join: heavy tokens (counted, see ``heavy_tokens``) meet their languages in a
+    broadcast of at most ``limit`` rows and are added up per message before anything moves; the
+    others are joined through a shuffle, where no token has one in ``limit`` of the rows.
+    A message without any hit keeps a row of its own.  The winner is ``min_by(lang, (-hits, lang))``.
     """
-    mt = msgs.select(KEY, POS, "role", F.explode_outer(tokens(F.col("content"))).alias("tok"))
-    hits = mt.join(profile, "tok", "left").groupBy(KEY, POS, "role", "lang").agg(
-        F.count(F.col("lang")).alias("_h"))
-    best = hits.groupBy(KEY, POS, "role").agg(
+    words = msgs.select(KEY, POS, "role", F.explode(tokens(F.col("content"))).alias("tok"))
+    heavy = heavy_tokens(words, limit)
+    known = stored(heavy.join(profile, "tok", "left").select("tok", F.col("lang").alias("heavy_lang"), F.lit(True).alias("heavy")), "heavy-tokens")
+    marked = words.join(F.broadcast(known), "tok", "left")
+    often = marked.where("heavy and heavy_lang is not null").select(KEY, POS, "role", F.col("heavy_lang").alias("lang"))
+    seldom = marked.where("heavy is null").select(KEY, POS, "role", "tok").join(profile, "tok").select(KEY, POS, "role", "lang")
+    none = msgs.select(KEY, POS, "role", F.lit(None).cast("string").alias("lang"))
+    hits = often.groupBy(KEY, POS, "role", "lang").agg(F.count(F.lit(1)).alias("_h")).unionByName(
+        seldom.groupBy(KEY, POS, "role", "lang").agg(F.count(F.lit(1)).alias("_h"))).unionByName(none.withColumn("_h", F.lit(0).cast("bigint")))
+    per_lang = hits.groupBy(KEY, POS, "role", "lang").agg(F.sum("_h").alias("_h"))
+    best = per_lang.groupBy(KEY, POS, "role").agg(
         F.min_by(F.col("lang"), F.struct((-F.col("_h")).alias("h"), F.col("lang").alias("l"))).alias("detected"))
     return best.withColumn("detected", F.coalesce(F.col("detected"), F.lit("unknown")))
 

@@ -476,18 +476,33 @@ def _cell(conv_id: F.Column, names: list[str], every: int) -> F.Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), at.cast("int"))
 
 
-@query
-def q_eval_grid(spark, sf):
-    """J9 + S9: dialogues stored by (language, user model, target model); each cell of the grid counts its own."""
+GRID_CELLS = ("lang", "user_model", "target_model")
+
+
+def _stored_grid(spark, sf) -> DataFrame:
+    """Dialogues stored by (language, user model, target model)."""
     d = Fixtures(spark, sf).dialogues.withColumns({"user_model": _cell(F.col("conv_id"), GRID_USERS, 6),
                                                    "target_model": _cell(F.col("conv_id"), GRID_TARGETS, 12)})
     path = scratch_path(spark, "grid")
-    cells = ("lang", "user_model", "target_model")
-    io.write_dialogues(d.select("row_idx", *cells), path, cells)
-    table = spark.read.schema("row_idx bigint, lang string, user_model string, target_model string").parquet(path)
-    counts = table.groupBy(*cells).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    io.write_dialogues(d.select("row_idx", *GRID_CELLS), path, GRID_CELLS)
+    return spark.read.schema("row_idx bigint, lang string, user_model string, target_model string").parquet(path)
+
+
+@query
+def q_eval_grid(spark, sf):
+    """J9 + S9: each cell of the grid counts its stored dialogues."""
+    counts = _stored_grid(spark, sf).groupBy(*GRID_CELLS).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     g = judge.grid(spark, lang=K.LANGUAGES, user_model=GRID_USERS, target_model=GRID_TARGETS)
-    return g.join(counts, list(cells), "left").select(*cells, F.coalesce("n", F.lit(0).cast("bigint")).alias("n_dialogues"))
+    return g.join(counts, list(GRID_CELLS), "left").select(*GRID_CELLS, F.coalesce("n", F.lit(0).cast("bigint")).alias("n_dialogues"))
+
+
+@query
+def q_thin_cells(spark, sf):
+    """The dialogues of cells with fewer than the mean of all cells, read from those partitions only."""
+    table = _stored_grid(spark, sf)
+    counts = stored(table.groupBy(*GRID_CELLS).agg(F.count(F.lit(1)).alias("n")), "cells")
+    mean = counts.agg((F.sum("n") / F.count(F.lit(1)))).first()[0] or 0.0
+    return io.in_cells(table, counts.where(F.col("n") < mean), GRID_CELLS).select("row_idx", *GRID_CELLS)
 
 
 # --- budget ---------------------------------------------------------------------------

@@ -441,6 +441,19 @@ LEFT JOIN (
   FROM fx_dial GROUP BY ALL) c ON c.lang = l.lang AND c.u = u.user_model AND c.t = t.target_model
 """
 
+ORACLE["thin_cells"] = """
+SELECT row_idx, lang, user_model, target_model FROM (
+  SELECT *, sum(n_first) OVER () / CAST(sum(is_first) OVER () AS DOUBLE) AS mean FROM (
+    SELECT *, count(*) OVER w AS n,
+           CASE WHEN row_number() OVER (w ORDER BY row_idx) = 1 THEN 1 ELSE 0 END AS is_first,
+           1 AS n_first
+    FROM (
+      SELECT row_idx, lang, ['user-a', 'user-b'][(conv_id // 6) % 2 + 1] AS user_model, 'bot-' || ((conv_id // 12) % 8 + 1) AS target_model
+      FROM fx_dial)
+    WINDOW w AS (PARTITION BY lang, user_model, target_model)))
+WHERE n < mean
+"""
+
 ORACLE["token_estimates"] = """
 SELECT doc_id, CAST(4 + ceil(length('user') / 4) + ceil(length(text) / 4) + 2 + 15 AS BIGINT) AS est_tokens
 FROM documents

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from turnforge import schemas as S
+from turnforge.functions.identity import decode_row_idx
 from turnforge.operators.render import request_json
 from turnforge.plans.fixtures import parse_completion_lines
 
@@ -64,10 +65,10 @@ def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_requests_jsonl(requests: DataFrame, path: str, sort_for_export: bool = False) -> None:
-    """One JSON request per line.  Order only matters for export (O1)."""
+    """One JSON request per line.  Order only matters for export (O1): by row index, as a number, then by id."""
     out = requests.select(request_json(requests).alias("value"), "custom_id")
     if sort_for_export:
-        out = out.orderBy("custom_id")
+        out = out.orderBy(decode_row_idx(F.col("custom_id")).asc_nulls_last(), "custom_id")
     out.select("value").write.mode("overwrite").text(path)
 
 
@@ -104,6 +105,16 @@ def write_dialogues(dialogues: DataFrame, path: str, partition_by: Sequence[str]
     out.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
+def in_cells(table: DataFrame, wanted: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """The rows of a partitioned ``table`` whose partition is among ``wanted``.
+
+    Which partitions are wanted is known at run time only; Spark turns the
+    join on partition columns into a dynamic pruning filter of the scan, if
+    ``wanted`` is a filtered table.  Its rows are distinct here, so no row is doubled.
+    """
+    return table.join(wanted.select(*cells).distinct(), list(cells))
+
+
 def append_attempts(attempts: DataFrame, path: str) -> None:
     """Append a round to the attempt log, partitioned by run and attempt."""
     attempts.write.mode("append").partitionBy("run_id", "attempt").parquet(path)
