@@ -73,6 +73,7 @@ def detect_language(msgs: DataFrame, profile: DataFrame, limit: int = HEAVY) ->
     A message without any hit keeps a row of its own.  The winner is ``min_by(lang, (-hits, lang))``.
     """
     words = msgs.select(KEY, POS, "role", F.explode(tokens(F.col("content"))).alias("tok"))
+    profile = stored(profile.select("tok", "lang"), "profile")  # read twice; a row for each token of the corpus
     heavy = heavy_tokens(words, limit)
     known = stored(heavy.join(profile, "tok", "left").select("tok", F.col("lang").alias("heavy_lang"), F.lit(True).alias("heavy")), "heavy-tokens")
     marked = words.join(F.broadcast(known), "tok", "left")
