@@ -8,20 +8,19 @@ the hash of its text.
 
 The state folds lines in any order to the same result: an answer replaces an
 error, the smallest of several answers stays (as ``complete.replay`` has it),
-lines are counted, and answers that differ are a conflict.  It expires when a key
-has been silent for ``expire_ms``, in the time at which lines are read (so no line
-is late); a line that comes later opens a new state, and ``latest`` folds the
-states of a key, so expiry changes no result.
+lines are counted, and answers that differ are a conflict.  It is an aggregate of
+Spark's own, so no key costs a call of Python, and lines of one task and key are
+folded before they move.  A state covers a span of ``expire_ms`` in the time at
+which lines are read (so no line is late) and expires when the span is over; a
+line that comes later opens a new state, and ``latest`` folds the states of a key,
+so expiry changes no result.  States are kept in RocksDB: their texts need not fit
+into the executors' memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from turnforge.plans.fixtures import parse_completion_lines
 
@@ -29,6 +28,8 @@ KEYS = ["line_key", "attempt"]
 STATE = "custom_id string, least string, most string, error string, n_lines long, n_answers long, since long"
 OUT = f"line_key string, attempt int, {STATE}"
 EXPIRE_MS = 24 * 3600 * 1000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def completion_lines(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -44,36 +45,13 @@ def completion_lines(spark: SparkSession, src_dir: str, max_files_per_trigger: i
     return parsed.select(key.alias("line_key"), "attempt", "custom_id", "content", "error", "arrived").withWatermark("arrived", "0 seconds")
 
 
-def _least(old, new: pd.Series):
-    found = [x for x in [old, new.min() if len(new) else None] if x is not None]
-    return min(found) if found else None
-
-
-def _fold(expire_ms: int):
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        custom_id, least, most, error, n_lines, n_answers, since = state.get if state.exists else (None, None, None, None, 0, 0, None)
-        for lines in frames:
-            now = int(lines["arrived"].max().timestamp() * 1000)  # one time in a micro-batch
-            since = now if since is None else since
-            answers, errors = lines["content"].dropna(), lines["error"].dropna()
-            custom_id = _least(custom_id, lines["custom_id"].dropna())
-            least, error = _least(least, answers), _least(error, errors)
-            most = max([x for x in [most, answers.max() if len(answers) else None] if x is not None], default=None)
-            n_lines, n_answers = n_lines + len(lines), n_answers + len(answers)
-        known = (custom_id, least, most, error, n_lines, n_answers, since)
-        state.update(known)
-        state.setTimeoutTimestamp(now + expire_ms)
-        yield pd.DataFrame([(key[0], int(key[1]), *known)], columns=[c.split()[0] for c in OUT.split(", ")])
-    return fold
-
-
 def completion_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None, expire_ms: int = EXPIRE_MS) -> DataFrame:
     """What is known of each key that a micro-batch has lines of."""
-    return completion_lines(spark, src_dir, max_files_per_trigger).groupBy(*KEYS).applyInPandasWithState(
-        _fold(expire_ms), OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    lines = completion_lines(spark, src_dir, max_files_per_trigger)
+    known = lines.groupBy(*KEYS, F.window("arrived", f"{expire_ms} milliseconds").alias("span")).agg(
+        F.min("custom_id").alias("custom_id"), F.min("content").alias("least"), F.max("content").alias("most"), F.min("error").alias("error"),
+        F.count(F.lit(1)).alias("n_lines"), F.count("content").alias("n_answers"))
+    return known.withColumn("since", F.unix_millis(F.col("span.start"))).select(*[c.split()[0] for c in OUT.split(", ")])
 
 
 def ingest(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str, max_files_per_trigger: int | None = None,
@@ -82,8 +60,14 @@ def ingest(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str, max
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
-    q = (completion_stream(spark, src_dir, max_files_per_trigger, expire_ms).writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    writer = (completion_stream(spark, src_dir, max_files_per_trigger, expire_ms).writeStream.outputMode("update").foreachBatch(sink)
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    was = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # a query takes the settings of its start
+    try:
+        q = writer.start()
+    finally:
+        spark.conf.set(PROVIDER, was)
     q.awaitTermination()
 
 
