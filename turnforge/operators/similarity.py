@@ -51,6 +51,7 @@ def token_sets(msgs: DataFrame, scope: Sequence[str], partner: Column) -> DataFr
     """scope, pos, partner, n, toks (rarest first), heavy (of each), best (bound by equal sets and by one shared token), first (of its set)."""
     sets = msgs.select(*scope, POS, partner.alias("partner"), token_set(F.col("content")).alias("ts")).withColumn("n", F.size("ts"))
     toks = sets.where("n > 0").select(*scope, POS, "partner", "n", F.explode("ts").alias("tok"))
+    toks = toks.repartition(*scope, "tok")  # dealt once: the counts below and the join with them find each token in its place
     # Per token: messages that hold it, and per size the first partner.  A token has at most as many sizes as messages have lengths.
     sized = toks.groupBy(*scope, "tok", "n").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("partner"), F.col(POS))).alias("first"))
     known = sized.groupBy(*scope, "tok").agg(
@@ -62,32 +63,42 @@ def token_sets(msgs: DataFrame, scope: Sequence[str], partner: Column) -> DataFr
         (1 / (F.col("n") + least - 1)).alias("one"))
     rows = each.groupBy(*scope, POS).agg(F.first("partner").alias("partner"), F.first("n").alias("n"),
                                          F.sort_array(F.collect_list("t")).alias("t"), F.max("one").alias("one"))
-    rows = rows.select(*scope, POS, "partner", "n", F.col("t.tok").alias("toks"), F.col("t.heavy").alias("heavy"), "one")
+    # Read twice below: stored, or all of the above would run (and shuffle) twice.
+    rows = stored(rows.select(*scope, POS, "partner", "n", F.col("t.tok").alias("toks"), F.col("t.heavy").alias("heavy"), "one"), "nearest-sets")
     same = rows.groupBy(*scope, "toks").agg(F.min(F.when(F.col("partner"), F.col(POS))).alias("first"))
     best = F.when(F.col("first") < F.col(POS), F.lit(1.0)).otherwise(F.coalesce("one", F.lit(0.0)))
     return rows.join(same, [*scope, "toks"]).select(*scope, POS, "n", "toks", "heavy", best.alias("best"), (F.col("first") == F.col(POS)).alias("first"))
 
 
 def _keyed(rows: DataFrame, scope: Sequence[str], at_least: Column) -> DataFrame:
-    """A row for each key by which a message with a partner of at least this similarity is found."""
+    """A row for each key by which a message with a partner of at least this similarity is found.
+
+    ``rest``: so many tokens two messages share at most, if the key is the first token (or two) that they share.
+    """
     c = F.greatest(F.lit(2), F.ceil(at_least * F.col("n") - 1e-9).cast("int"))
     alone = F.col("n") - c + 1  # so many of the rarest tokens hold the first shared one
 
     def keys(tok, i):
         later = F.slice("toks", i + 2, F.greatest(alone - i, F.lit(0)))
-        return F.when(F.get("heavy", i), F.transform(later, lambda u: F.struct(tok.alias("a"), u.alias("b")))).otherwise(
-            F.array(F.struct(tok.alias("a"), F.lit("").alias("b"))))
+        return F.when(F.get("heavy", i), F.transform(later, lambda u, k: F.struct(tok.alias("a"), u.alias("b"), (F.col("n") - i - k).alias("rest")))).otherwise(
+            F.array(F.struct(tok.alias("a"), F.lit("").alias("b"), (F.col("n") - i).alias("rest"))))
 
     head = F.slice("toks", F.lit(1), F.greatest(alone, F.lit(0)))
-    return rows.where("n > 1").select(*scope, POS, "n", F.explode(F.flatten(F.transform(head, keys))).alias("key"))
+    return rows.where("n > 1").select(*scope, POS, "n", at_least.alias("at_least"), F.explode(F.flatten(F.transform(head, keys))).alias("key"))
 
 
 def candidates(probes: DataFrame, partners: DataFrame, scope: Sequence[str], t: float) -> DataFrame:
-    """(scope, pos, other): pairs to compare, each once."""
+    """(scope, pos, other): pairs to compare, each once.
+
+    Messages of n and m tokens that are as similar as ``s`` differ in size by no more than that factor and share
+    s (n + m) / (1 + s) tokens at least, at the key that they share first: no pair is lost by these bounds.
+    """
     x = _keyed(probes, scope, F.greatest(F.lit(t), F.col("best"))).alias("x")
-    y = _keyed(partners, scope, F.lit(t)).alias("y")
-    fits = (F.col("y.n") >= t * F.col("x.n") - 1e-9) & (F.col("x.n") >= t * F.col("y.n") - 1e-9)
-    met = x.join(y, _on("x", "y", scope, F.col("x.key.a") == F.col("y.key.a"), F.col("x.key.b") == F.col("y.key.b"), F.col(f"y.{POS}") < F.col(f"x.{POS}"), fits))
+    y = _keyed(partners, scope, F.lit(t)).drop("at_least").alias("y")
+    s = F.col("x.at_least")
+    fits = (F.col("y.n") >= s * F.col("x.n") - 1e-9) & (F.col("x.n") >= s * F.col("y.n") - 1e-9)
+    enough = F.least("x.key.rest", "y.key.rest") * (1 + s) >= s * (F.col("x.n") + F.col("y.n")) - 1e-6
+    met = x.join(y, _on("x", "y", scope, F.col("x.key.a") == F.col("y.key.a"), F.col("x.key.b") == F.col("y.key.b"), F.col(f"y.{POS}") < F.col(f"x.{POS}"), fits, enough))
     return met.select(*[f"x.{c}" for c in scope], f"x.{POS}", F.col(f"y.{POS}").alias("other")).distinct()
 
 
