@@ -75,3 +75,22 @@ def test_small_capacity_and_a_hot_length(spark):
 
 def test_empty_table(spark):
     assert P.pack_documents(no_docs(spark), PATH).count() == 0
+
+def test_remembered_words_are_small_and_those_in_use_stay(monkeypatch):
+    """pipeline, pack: a word takes tens of bytes in a worker, not hundreds; the least used go first and are encoded anew."""
+    monkeypatch.setattr(P, "CACHE_WORDS", 1000)
+    encoder, tokenizer = P.WordIds(PATH), Tokenizer.from_file(PATH)
+    for turn in range(8):
+        texts = ["river the", " ".join(f"w{k}x{turn}" for k in range(400)), "a" * 300, "the w1x0"]
+        raw = [t.encode() for t in texts]
+        ids, first = encoder.of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for k, t in enumerate(texts):
+            assert ids[first[k]:first[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert (np.diff(encoder.name.astype(object)) > 0).all() and len(encoder.name) <= 2000
+    columns = (encoder.name, encoder.begin, encoder.size, encoder.used, encoder.flat)
+    assert sum(c.nbytes for c in columns) < 64 * len(encoder.name) and encoder.flat.base is None or encoder.flat.base.nbytes < 64 * len(encoder.name)
+    calls = []
+    encode = encoder.encode
+    encoder.encode = lambda words, **k: calls.append(words) or encode(words, **k)
+    encoder.of(np.frombuffer(b"the river", np.uint8), np.array([0, 9]))
+    assert not any(calls)

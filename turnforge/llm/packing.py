@@ -41,6 +41,8 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 500_000
 CACHE_BYTES = 48  # longer words are not kept
+ENCODED = 4096  # words given to the tokenizer at once
+CHUNK = 1 << 20  # bytes of text at once
 BLOCK_BITS = 10
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, ordinal long"
@@ -67,8 +69,9 @@ class WordIds:
     A text is cut at ASCII white space and before a full stop or comma that
     follows an ASCII letter or digit: the tokenizer cuts there too, and it
     lower-cases, so that one entry serves many forms of a word.  Words are
-    told by their 64-bit names.  Words in use stay: those of the last two generations of
-    CACHE_WORDS words are kept.
+    told by their 64-bit names, in a sorted table of numpy columns: some 40 bytes a
+    word, where Python objects take 200 and more.  Words in use stay: a table of twice
+    CACHE_WORDS words is cut to those used last.
     """
 
     def __init__(self, path: str):
@@ -76,20 +79,48 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.kept: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
-
-    def words(self, name: list[int], start: np.ndarray, end: np.ndarray, low: bytes) -> list[bytes]:
-        """Ids of the distinct words with these names and places, as little-endian bytes."""
-        if len(self.kept) + len(name) > CACHE_WORDS:
-            self.older, self.kept = self.kept, {}
-        known, older = self.kept, self.older
-        out = [known.get(n) or older.get(n) for n in name]
-        new = [k for k, ids in enumerate(out) if ids is None]
-        for k, e in zip(new, self.encode([low[start[k]:end[k]].decode() for k in new], add_special_tokens=False), strict=True):
-            out[k] = little_endian(e.ids)
-        known.update((n, ids) for n, ids, s, e in zip(name, out, start, end, strict=True) if e - s <= CACHE_BYTES)
-        return out
+        self.turn = 0
+        self.name, self.begin, self.size, self.used = np.empty(0, W.U), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.flat = np.empty(0, "<u4")
+
+    def words(self, name: np.ndarray, start: np.ndarray, end: np.ndarray, low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in one array, and where those of each of the distinct words with these (sorted) names and places begin and how many they are."""
+        self.turn += 1
+        place = np.searchsorted(self.name, name)
+        old = np.zeros(len(name), bool)
+        inside = place < len(self.name)
+        old[inside] = self.name[place[inside]] == name[inside]
+        begin, size = np.zeros(len(name), np.int64), np.zeros(len(name), np.int32)
+        begin[old], size[old] = self.begin[place[old]], self.size[place[old]]
+        self.used[place[old]] = self.turn
+
+        short = end - start <= CACHE_BYTES
+        new, more = np.flatnonzero(~old & short), np.flatnonzero(~old & ~short)
+        flat = [self.flat]
+        for some in (new, more):
+            for lo in range(0, len(some), ENCODED):
+                part = some[lo:lo + ENCODED]
+                ids = [e.ids for e in self.encode([low[s:e].decode() for s, e in zip(start[part], end[part], strict=True)], add_special_tokens=False)]
+                size[part] = [len(x) for x in ids]
+                flat.append(np.frombuffer(b"".join(map(little_endian, ids)), "<u4"))
+        fresh = np.concatenate([new, more])
+        begin[fresh] = len(self.flat) + np.cumsum(size[fresh], dtype=np.int64) - size[fresh]
+        every = np.concatenate(flat)
+        self.flat = every[:len(self.flat) + int(size[new].sum())]
+        if len(more):
+            self.flat = self.flat.copy()  # a view would hold the long ones' ids
+        for column, values in (("name", name[new]), ("begin", begin[new]), ("size", size[new]), ("used", np.full(len(new), self.turn))):
+            setattr(self, column, np.insert(getattr(self, column), place[new], values))
+        if len(self.name) > 2 * CACHE_WORDS:
+            self.forget()
+        return every, begin, size
+
+    def forget(self) -> None:
+        """Leave the CACHE_WORDS words used last."""
+        stay = np.sort(np.argsort(self.used, kind="stable")[len(self.used) - CACHE_WORDS:])
+        self.name, self.used, begin, self.size = self.name[stay], self.used[stay], self.begin[stay], self.size[stay]
+        self.begin = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.flat = self.flat[np.repeat(begin - self.begin, self.size) + np.arange(self.size.sum())]
 
     def of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and where each text's begin (one more at the end)."""
@@ -98,13 +129,10 @@ class WordIds:
         if not len(start):
             return np.empty(0, "<u4"), np.zeros(len(off), np.int64)
         name, at, word = np.unique(W.names(buf, start, end), return_index=True, return_inverse=True)
-        ids = self.words(name.tolist(), start[at], end[at], W.LOWER[buf].tobytes())
-        size = np.array([len(x) for x in ids]) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        before = np.cumsum(size) - size
+        flat, begin, size = self.words(name, start[at], end[at], W.LOWER[buf].tobytes())
         n = size[word]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(before[word] - upto[:-1], n) + np.arange(upto[-1])], upto[first]
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        return flat[np.repeat(begin[word] - upto[:-1], n) + np.arange(upto[-1])], upto[first]
 
 
 def word_ids(path: str) -> WordIds:
@@ -122,7 +150,7 @@ def _cut(path: str, capacity: int, end_id: int):
         seen = [0] * (capacity + 1)
         for batch in batches:
             doc = batch.column(0).to_pylist()
-            for lo, hi, buf, off in chunks(batch):
+            for lo, hi, buf, off in chunks(batch, limit=CHUNK):
                 ids, first = encoder.of(buf, off)
                 rows = []
                 for k in range(hi - lo):
