@@ -117,6 +117,44 @@ def test_large_buckets_equal_brute_force_near_the_threshold(spark, seed):
     assert linked_sets(spark, sets, 0) == components_of(sets)
 
 
+def cluster(pick, n, p=range(90)):
+    """A base, and copies of which some are linked with it, some with each other only, some with none."""
+    p = list(p)
+    sets = {0: set(p), 1: set(p[1:]) | {99}}
+    shared = [{200 + 10 * j + i for i in range(9)} for j in range(4)]
+    for k in range(2, n):
+        lost = pick.choice([1, 4, 9, 14, 18, 19])
+        sets[k] = set(pick.sample(p, 90 - lost)) | {10_000 + 100 * k + i for i in range(pick.choice([0, 2, 6, 12]))}
+        sets[k] |= pick.choice([set(), set(), *shared])
+    return sets
+
+
+def test_near_pivots_make_one_group(spark, monkeypatch):
+    """Buckets without the base are those of its group: no member is taken apart twice."""
+    pick = random.Random(7)
+    sets = cluster(pick, 60)
+    load = {k: 1000 if k == 0 else 200 - k for k in sets}
+    buckets = {1: list(sets)} | {key: pick.sample(range(2, 60), 14) for key in range(2, 12)}
+    members = spark.createDataFrame([(key, k, len(sets[k]), load[k]) for key, ks in buckets.items() for k in ks], "key long, rep long, n long, load long")
+    arrays = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "doc_id long, names array<long>")
+    rows = {}
+
+    def counted(df, label, stored=N.stored):
+        rows.setdefault(label, []).append((out := stored(df, label)).count())
+        return out
+    monkeypatch.setattr(N, "stored", counted)
+    label = {r.node: r.label for r in N._linked(members, arrays, 80).collect()}
+    assert {k: label.get(k, k) for k in sets} == components_of(sets)
+    assert rows["differences"][0] == len(sets) - 1
+
+
+@pytest.mark.parametrize("meet", [2, 256])
+def test_element_buckets_of_either_kind_equal_brute_force(spark, monkeypatch, meet):
+    monkeypatch.setattr(N, "MEET", meet, raising=False)
+    sets = cluster(random.Random(11), 120)
+    assert linked_sets(spark, sets, 0) == components_of(sets)
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(no_docs(spark)).count() == 0
 

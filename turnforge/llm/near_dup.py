@@ -39,6 +39,8 @@ from turnforge.llm.graph import components
 SIZE = 5
 PERCENT = 80
 SMALL = 8
+MEET = 256  # largest element bucket whose pairs meet at once
+NEAR = 60  # percent of similarity at which a pivot's buckets go to the pivot above it
 VOICES = 9
 CHUNK = 1 << 19  # bytes of text at once
 ROWS, BANDS = 5, 50
@@ -117,14 +119,16 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b and what else they have) with ``both``, the size of the intersection of the full sets, and the names of a and b."""
+    """``pairs`` (a, b and what else they have) with the full sets of a and b as ``names_a`` and ``names_b``."""
     of_a = sets.select(F.col("doc_id").alias("a"), F.col("names").alias("names_a"))
     of_b = sets.select(F.col("doc_id").alias("b"), F.col("names").alias("names_b"))
-    return pairs.join(of_b, "b").join(of_a, "a").withColumn("both", F.size(F.array_intersect("names_a", "names_b")).cast("long"))
+    return pairs.join(of_b, "b").join(of_a, "a")
 
 
-def _with_labels(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+def _with_labels(df: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
     """``df`` with the component of the document in column ``node``: its own id if it has no link yet."""
+    if labels is None:
+        return df.withColumn(name, F.col(node))
     known = labels.select(F.col("node").alias("__node"), F.col("label").alias("__label"))
     return df.join(known, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__label", node)).drop("__node", "__label")
 
@@ -133,22 +137,38 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, label) after new links (a, b)."""
     if labels is None:
         return components(links)
+    if not links.limit(1).count():
+        return labels
     ends = _with_labels(_with_labels(links.select("a", "b"), labels, "a", "x"), labels, "b", "y")
     merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     new = merged.join(labels, merged["node"] == labels["node"], "left_anti").select("node", F.col("node").alias("label"))
     return stored(_with_labels(labels.union(new), merged, "label", "now").select("node", F.col("now").alias("label")), "labels")
 
 
-def _differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _pivots(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, a, n_a): the document with which the members of each large bucket are compared.
+
+    That is the bucket's most loaded member, or, if this one is near the most
+    loaded pivot of all its buckets, that pivot.  A cluster of near copies then is
+    mostly one group, and its members are not taken apart again in the groups of
+    some of them.
+    """
+    first = F.min(F.struct((-F.col("load")).alias("o"), F.col("rep").alias("a"), F.col("n").alias("n_a"))).alias("p")
+    own = stored(members.groupBy("key").agg(first).select("key", "p"), "pivots")
+    above = members.join(own, "key").groupBy("rep", "n").agg(F.min("p").alias("up")).where("rep != up.a")
+    above = above.join(own.select(F.col("p.a").alias("rep")).distinct(), "rep", "left_semi")
+    tried = _compared(above.select(F.col("up.a").alias("a"), F.col("up.n_a").alias("n_a"), F.col("rep").alias("b"), "n"), sets).withColumn("both", F.size(F.array_intersect("names_a", "names_b")))
+    near = tried.where((100 + NEAR) * F.col("both") >= NEAR * (F.col("n") + F.col("n_a"))).select("b", F.col("a").alias("up"), F.col("n_a").alias("n_up"))
+    return own.join(near, F.col("p.a") == near["b"], "left").select("key", F.coalesce("up", "p.a").alias("a"), F.coalesce("n_up", "p.n_a").alias("n_a"))
+
+
+def _differences(arrays: DataFrame, percent: int) -> DataFrame:
     """a, b, label, load, n and ``w``, ``sure``, ``extra``, ``lost`` of group members (see ``_linked``).
 
     The consensus P of a group is its pivot, less the shingles that at least half of
     VOICES members lack, and with those outside it that more than half of them have.
     Any set would do for the bounds; one near the members makes them sharp.
     """
-    arrays = (_compared(group, sets).withColumn("out", F.array_except("names_b", "names_a")).withColumn("miss", F.array_except("names_a", "names_b"))
-              .select("a", "n_a", "b", "n", "load", "label", "out", "miss"))
-    arrays = stored(arrays, "differences")
     voices = arrays.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("load"), "b"))).where(F.col("place") <= VOICES)
     size = voices.groupBy("a").agg(F.count("*").alias("m"))
     each = voices.select("a", F.explode("out").alias("e"), F.lit(1).alias("is_out")).union(voices.select("a", F.explode("miss"), F.lit(0)))
@@ -164,7 +184,7 @@ def _differences(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(group: DataFrame, labels: DataFrame, centre: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, n, load): the buckets in which members of a group meet that may still be linked (see ``_linked``)."""
+    """(key, rep, n, load, w, sure, left, side): the buckets in which members of a group meet that may still be linked (see ``_linked``)."""
     reach = 100 + percent
     known = _with_labels(group.drop("label"), labels, "b", "label")
     known = known.join(_with_labels(centre, labels, "c", "label_c"), "a").withColumn("core", (F.col("b") == F.col("c")) | (F.col("w") + F.col("w_c") <= F.col("sure")))
@@ -177,28 +197,31 @@ def _prefixes(group: DataFrame, labels: DataFrame, centre: DataFrame, percent: i
     ways = F.array(F.when(F.col("core"), F.struct(F.lit(0).alias("t"), need("w_out").alias("need"))),
                    F.when(~F.col("core") & (F.col("label") != F.col("label_c")), F.struct(F.lit(0).alias("t"), need("w_c").alias("need"))),
                    F.when(~F.col("core"), F.struct(F.lit(1).alias("t"), need("w_out").alias("need"))))
-    rows = (known.join(least, "a").withColumn("elements", F.concat("extra", "lost"))
+    ways = (known.join(least, "a").withColumn("elements", F.concat("extra", "lost"))
             .withColumn("way", F.explode(F.filter(ways, lambda x: x.isNotNull() & (x["need"] <= F.size("elements")))))
-            .select("a", "b", "n", "load", "label", "core", "way.t", "way.need", F.explode("elements").alias("e")))
-    rows = stored(rows, "elements")
+            .select("a", "b", "n", "load", "label", "core", "w", "sure", "way.t", "way.need", "elements"))
+    ways = stored(ways, "ways")
+    rows = ways.select("a", "b", "t", "label", "core", F.explode("elements").alias("e"))
 
     def met(table: DataFrame) -> DataFrame:
         sides = table.groupBy("a", "t", "e").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("core").alias("all_core"), F.max("core").alias("any_core"))
         return sides.where("low < high and (t = 1 or (any_core and not all_core))").select("a", "t", "e", "often")
 
-    shared = (rows.join(met(rows), ["a", "t", "e"]).groupBy("a", "t", "b", "n", "load", "label", "core", "need")
-              .agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("found")).where("size(found) >= need"))
-    prefix = stored(shared.select("a", "t", "b", "n", "load", "label", "core", F.explode(F.expr("slice(found, 1, size(found) - need + 1)")["e"]).alias("e")), "prefixes")
-    return stored(prefix.join(met(prefix), ["a", "t", "e"]).select(F.xxhash64("a", "t", "e").alias("key"), F.col("b").alias("rep"), "n", "load"), "bucket-members")
+    found = rows.select("a", "b", "t", "e").join(met(rows), ["a", "t", "e"]).groupBy("a", "t", "b").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("found"))
+    prefix = (ways.drop("elements").join(found, ["a", "t", "b"]).where("size(found) >= need").withColumn("size", F.size("found"))
+              .select("a", "t", "b", "n", "load", "label", "core", "w", "sure", "size", F.posexplode(F.expr("slice(found, 1, size(found) - need + 1)")["e"]).alias("place", "e")))
+    prefix = stored(prefix, "prefixes")
+    return stored(prefix.join(met(prefix), ["a", "t", "e"])
+                  .select(F.xxhash64("a", "t", "e").alias("key"), F.col("b").alias("rep"), "n", "load", "w", "sure", (F.col("size") - F.col("place")).alias("left"), F.when(F.col("t") == 0, F.col("core")).alias("side")), "bucket-members")
 
 
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the documents that verified links connect.
 
     ``members``: key (of a bucket), rep, n (its set's size) and load (how many
-    documents share its buckets).  In each round a bucket's most loaded member is
-    its pivot, and all others are compared with it on full sets; the buckets of
-    one pivot are a group.  Then, for members x, y of a group that are not connected:
+    documents share its buckets).  In each round a large bucket has a
+    pivot (see ``_pivots``) with which its members are compared on full sets; the
+    buckets of one pivot are a group.  Then, for members x, y of a group that are not connected:
 
     Let P be the group's consensus set, E = x - P and D = P - x.  Then
     |x & y| = |P| - |Dx| - |Dy| + (shared elements of Dx, Dy and of Ex, Ey), and a link
@@ -219,40 +242,50 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
        (those elements) - need + 1 of both, the elements that fewest members have
        first.  These elements are the buckets of the next round.
 
-    Buckets of at most ``SMALL`` members are taken apart at once: their pairs that are not
-    connected yet are compared.  So each pair that shares a bucket is compared,
-    connected, or cannot be linked, and no larger bucket is expanded into pairs.
+    Small buckets (at most ``SMALL`` members, ``MEET`` if they are of an element) are taken
+    apart at once: their pairs that are not connected yet are compared.  A pair whose
+    first common element is x's i-th and y's j-th of f_x and f_y shares at most
+    min(f_x - i, f_y - j) + 1 (``left``), so it is compared there only if that is
+    enough for w_x + w_y; and in buckets of t = 0 a core member meets outer ones only.
+    So each pair that shares a bucket is compared, connected, or cannot be linked,
+    and no larger bucket is expanded into pairs.
     """
-    labels = None
+    labels, small = None, SMALL
     reach = 100 + percent
+    linked = reach * F.col("both") >= percent * (F.col("n") + F.col("n_a"))
+    members = members.select("key", "rep", "n", "load", F.lit(0).alias("w"), F.lit(0).alias("sure"), F.lit(0).alias("left"), F.lit(None).cast("boolean").alias("side"))
     while True:
-        many = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL).select("key")
+        many = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > small).select("key")
         every, members = members, stored(members.join(many, "key"), "large-buckets")
-        few = every.join(many, "key", "left_anti")
-        pivot = members.groupBy("key").agg(F.min(F.struct((-F.col("load")).alias("o"), "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("a"), F.col("p.n").alias("n_a"))
-        pairs = members.join(pivot, "key").where("rep != a").select("a", "n_a", F.col("rep").alias("b"), "n", "load").distinct()
-        seen = stored(_compared(pairs, sets).select("a", "n_a", "b", "n", "load", "both"), "compared")
-        linked = reach * F.col("both") >= percent * (F.col("n") + F.col("n_a"))
-        labels = _joined(labels, seen.where(linked).select("a", "b"))
-
-        few = _with_labels(few.select("key", "rep", "n"), labels, "rep", "label")
-        other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        pairs = (few.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
+        large = members.limit(1).count()
+        few = every
+        if large:
+            few = every.join(many, "key", "left_anti")
+            pairs = members.join(_pivots(members, sets), "key").where("rep != a").select("a", "n_a", F.col("rep").alias("b"), "n", "load").distinct()
+            out, miss = F.array_except("names_b", "names_a"), F.array_except("names_a", "names_b")
+            seen = stored(_compared(pairs, sets).select("a", "n_a", "b", "n", "load", out.alias("out"), miss.alias("miss")), "differences")
+            labels = _joined(labels, seen.withColumn("both", F.col("n") - F.size("out")).where(linked).select("a", "b"))
+
+        few = _with_labels(few.select("key", "rep", "n", "w", "sure", "left", "side"), labels, "rep", "label")
+        other = few.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("w").alias("w_b"), F.col("left").alias("left_b"), F.col("side").alias("side_b"))
+        pairs = (few.join(other, "key").where((F.col("rep") < F.col("b")) & (F.col("label") != F.col("label_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+                                              & (F.col("w") + F.col("w_b") - F.col("sure") <= reach * F.least("left", "left_b")) & (F.col("side").isNull() | (F.col("side") != F.col("side_b"))))
                  .select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "b", F.col("n_b").alias("n")).distinct())
-        labels = _joined(labels, stored(_compared(pairs, sets).where(linked).select("a", "b"), "links"))
+        compared = _compared(pairs, sets).withColumn("both", F.size(F.array_intersect("names_a", "names_b")))
+        labels = _joined(labels, stored(compared.where(linked).select("a", "b"), "links"))
+        if not large:
+            return labels
 
         group = _with_labels(seen, labels, "b", "label")
         apart = group.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("a")
-        group = group.join(apart, "a").drop("both")
+        group = group.join(apart, "a")
         if not group.limit(1).count():
             return labels
-        group = stored(_differences(group, sets, percent), "groups")
+        group = stored(_differences(group, percent), "groups")
         centre = stored(group.groupBy("a").agg(F.min(F.struct("w", "b")).alias("c")).select("a", F.col("c.w").alias("w_c"), F.col("c.b").alias("c")), "centres")
         near = group.join(centre, "a").where((F.col("b") != F.col("c")) & (F.col("w") + F.col("w_c") <= F.col("sure")))
-        sure = stored(near.select(F.col("c").alias("a"), "b").distinct(), "links")
-        if sure.limit(1).count():
-            labels = _joined(labels, sure)
-        members = _prefixes(group, labels, centre, percent)
+        labels = _joined(labels, stored(near.select(F.col("c").alias("a"), "b").distinct(), "links"))
+        members, small = _prefixes(group, labels, centre, percent), MEET
         if not members.limit(1).count():
             return labels
 
